@@ -6,6 +6,7 @@ its segmentations into pieces, by the forward algorithm; a text's is the product
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -16,11 +17,13 @@ from pyspark.sql import functions as F
 from .common import Memo, as_bytes, slices
 from .quality import held_out
 
-#: Bounds of the fit: documents of each language, characters taken of all of them, distinct words of each language.
+#: Bounds of the fit: documents and distinct words of each language.
 SAMPLE_DOCS, SAMPLE_WORDS = 400, 15_000
-LONGEST_PIECE, LONGEST_WORD = 12, 48
+LONGEST_PIECE, LONGEST_WORD = 12, 40
 _WORD = re.compile(r"[^\W\d_]+")
 _PIECES: dict[str, dict[str, int]] = {}
+_SUMS: dict[str, dict] = {}
+_CHUNKS: dict[str, Memo] = {}
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -35,71 +38,91 @@ def vocabulary(path: str) -> dict[str, int]:
     return _PIECES[path]
 
 
-def _lattice(word: str, pieces: dict[str, int]) -> list[list[tuple[int, int]]]:
-    """For each end, the (start, piece) edges; a character outside the vocabulary has the piece len(pieces)."""
-    n, unknown = len(word), len(pieces)
-    edges = [[] for _ in range(n + 1)]
+def _edges(words: list[str], pieces: dict[str, int]):
+    """Words of one length: (start, end, piece of each word), by end; len(pieces) is an unknown character, one more no piece."""
+    n, unknown = len(words[0]), len(pieces)
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST_PIECE), j):
-            p = pieces.get(word[i:j])
-            if p is not None:
-                edges[j].append((i, p))
-            elif j - i == 1:
-                edges[j].append((i, unknown))
-    return edges
+            none = unknown + (j - i > 1)
+            p = np.fromiter((pieces.get(w[i:j], none) for w in words), np.int32, len(words))
+            if j - i == 1 or (p < none).any():
+                yield i, j, p
+
+
+def _by_length(words) -> dict[int, list[str]]:
+    groups: dict[int, list[str]] = {}
+    for w in words:
+        groups.setdefault(len(w), []).append(w)
+    return groups
+
+
+def _forward(edges, n: int, table: np.ndarray, rows: int) -> np.ndarray:
+    """Summed probability of all segmentations of each prefix: positions x words x languages."""
+    alpha = np.zeros((n + 1, rows, table.shape[1]))
+    alpha[0] = 1
+    for i, j, p in edges:
+        alpha[j] += alpha[i] * table[p]
+    return alpha
 
 
 class Languages:
-    """Piece probabilities of each language; ``table`` is pieces (and one for unknown characters) x languages."""
+    """Piece probabilities of each language; ``table`` is pieces, unknown character and a row of zeros x languages."""
 
     def __init__(self, names: list[str], table: np.ndarray, path: str):
         self.names, self.table, self.path = names, table, path
+        self.key = hashlib.sha1(repr((names, path)).encode() + table.tobytes()).hexdigest()
 
-    def word(self, word: str) -> np.ndarray:
-        """Log-probability of the word in each language: the forward sum over all segmentations.
+    def words(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word in each language: the forward sum over all segmentations.
 
-        Sums are scaled at each step, so no length underflows.
+        An endless run of letters is taken in stretches of LONGEST_WORD, so no length underflows.
         """
-        pieces, total, n = vocabulary(self.path), np.zeros(len(self.names)), len(word)
-        for at in range(0, n, LONGEST_WORD):  # an endless run of letters is taken in stretches
-            part = word[at : at + LONGEST_WORD]
-            edges, alpha = _lattice(part, pieces), [np.ones(len(self.names))]
-            table = self.table
-            for j in range(1, len(part) + 1):
-                alpha.append(sum(alpha[i] * table[p] for i, p in edges[j]))
-            total += np.log(np.maximum(alpha[-1], 1e-300))
-        return total
-
-
-def fit_pieces(counts: dict[str, dict[str, int]], path: str, rounds: int = 3, smoothing: float = 0.1) -> Languages:
+        out = np.zeros((len(words), len(self.names)))
+        parts = [(k, w[at : at + LONGEST_WORD]) for k, w in enumerate(words) for at in range(0, len(w), LONGEST_WORD)]
+        places: dict[str, list[int]] = {}
+        for k, w in parts:
+            places.setdefault(w, []).append(k)
+        pieces = vocabulary(self.path)
+        for n, group in _by_length(places).items():
+            last = np.log(np.maximum(_forward(_edges(group, pieces), n, self.table, len(group))[-1], 1e-300))
+            for w, s in zip(group, last, strict=True):
+                for k in places[w]:
+                    out[k] += s
+        return out
+
+
+def fit_pieces(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, smoothing: float = 0.1) -> Languages:
     """Expectation-maximisation of piece probabilities from word counts of each language (forward-backward)."""
     names, pieces = sorted(counts), vocabulary(path)
-    v, k = len(pieces) + 1, len(names)
-    words: dict[str, np.ndarray] = {}
+    v, k = len(pieces) + 2, len(names)
+    total: dict[str, np.ndarray] = {}
     for x, name in enumerate(names):
         for w, n in counts[name].items():
-            words.setdefault(w[:LONGEST_WORD], np.zeros(k))[x] += n
-    lattices = [(_lattice(w, pieces), n) for w, n in words.items()]
+            total.setdefault(w[:LONGEST_WORD], np.zeros(k))[x] += n
+    groups = [(n, np.array([total[w] for w in ws]), list(_edges(ws, pieces))) for n, ws in _by_length(total).items()]
+
+    def normal(x: np.ndarray) -> np.ndarray:
+        x = x + smoothing
+        x[-1] = 0
+        return x / x.sum(0)
+
+    gather = lambda p, x: np.stack([np.bincount(p, x[:, c], v) for c in range(k)], 1)
     table = np.zeros((v, k))
-    for edges, n in lattices:  # first guess: pieces as often as words contain them, longer ones favoured
-        for j, es in enumerate(edges):
-            for i, p in es:
-                table[p] += n * (j - i)
-    table = (table + smoothing) / (table + smoothing).sum(0)
+    for _, weight, edges in groups:  # first guess: pieces as often as words contain them, longer ones favoured
+        for i, j, p in edges:
+            table += gather(p, weight * (j - i))
+    table = normal(table)
     for _ in range(rounds):
-        new = np.full((v, k), smoothing)
-        for edges, n in lattices:
-            m = len(edges) - 1
-            alpha = [np.ones(k)]
-            for j in range(1, m + 1):
-                alpha.append(sum(alpha[i] * table[p] for i, p in edges[j]))
-            beta = [np.zeros(k) for _ in range(m)] + [n / np.maximum(alpha[m], 1e-300)]
-            for j in range(m, 0, -1):
-                for i, p in edges[j]:
-                    b = beta[j] * table[p]
-                    beta[i] = beta[i] + b
-                    new[p] += alpha[i] * b
-        table = new / new.sum(0)
+        new = np.zeros((v, k))
+        for n, weight, edges in groups:
+            alpha = _forward(edges, n, table, len(weight))
+            beta = np.zeros_like(alpha)
+            beta[n] = weight / np.maximum(alpha[n], 1e-300)
+            for i, j, p in reversed(edges):
+                b = beta[j] * table[p]
+                beta[i] += b
+                new += gather(p, alpha[i] * b)
+        table = normal(new)
     return Languages(names, table, path)
 
 
@@ -132,34 +155,29 @@ def detect(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        from locusframe.llm.language import _CHUNKS as chunks_of
+        from locusframe.llm.language import _SUMS as sums
+
         m = shared.value
         k = len(m.names)
 
-        def fresh(keys: list[bytes]) -> list[np.ndarray]:
-            out = []
-            for w in keys:
-                s = np.zeros(k, np.float64)
-                for x in _WORD.findall(w.decode("utf-8", "replace").lower()):
-                    s = s + memo_words[x]
-                out.append(s)
-            return out
-
-        class Words(dict):
-            def __missing__(self, x):
-                if len(self) > 200_000:
-                    self.clear()
-                s = self[x] = m.word(x)
-                return s
-
-        memo_words = _WORD_SUMS.setdefault(id(m), Words())
-        memo = _CHUNK_SUMS.setdefault(id(m), Memo(fresh, 300_000))
-        memo.make = fresh
+        def fresh(keys: list[bytes]) -> np.ndarray:
+            parts = [_WORD.findall(w.decode("utf-8", "replace").lower()) for w in keys]
+            known = sums.setdefault(m.key, {})
+            new = list({w for p in parts for w in p} - known.keys())
+            if len(known) > 200_000:
+                known.clear()
+                new = list({w for p in parts for w in p})
+            known.update(zip(new, m.words(new), strict=True))
+            zero = np.zeros(k)
+            return [known[p[0]] if len(p) == 1 else sum((known[w] for w in p), zero) for p in parts]
+
+        memo = chunks_of.setdefault(m.key, Memo(fresh, 300_000))
         for b in slices(batches, 256):
             pred, score = [], []
             for t in as_bytes(b.column(1)):
                 chunks = t.split()
-                text = t.decode("utf-8", "replace")
-                if not k or not any(map(str.isalpha, text)):
+                if not k or not _WORD.search(t.decode("utf-8", "replace")):
                     pred.append("und")
                     score.append(0.0)
                     continue
@@ -171,7 +189,3 @@ def detect(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     return docs.select(id_col, text_col, held_out(id_col).alias("_held")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
-
-
-_WORD_SUMS: dict[int, dict] = {}
-_CHUNK_SUMS: dict[int, Memo] = {}

@@ -25,14 +25,15 @@ _LETTERS, _DIGITS, _REPEAT = re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.co
 _MEMOS: dict[int, Memo] = {}
 
 
-def _slots(words: list[bytes]) -> list[tuple[int, int]]:
-    """Feature of each word and of its shape: letters and digits give a class, other characters stay, runs count once."""
+def _slots(words: list[bytes]) -> list[int]:
+    """Feature of each word (low 16 bits) and of its shape: letters and digits give a class, other characters stay, runs count once."""
     out = []
     for w in words:
         t = w.decode("utf-8", "replace")
-        case = "A" if t.isupper() and len(t) > 1 else "a"
-        shape = _REPEAT.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub(case, t)))[:16]
-        out.append((SHAPES + 16 + zlib.crc32(t.lower().encode()) % (FEATURES - SHAPES - 16), zlib.crc32(shape.encode()) % SHAPES))
+        shape = "A" if t.isupper() and len(t) > 1 else "a"
+        if not t.isalpha():
+            shape = _REPEAT.sub(r"\1", _DIGITS.sub("0", _LETTERS.sub(shape, t)))[:16]
+        out.append(SHAPES + 16 + zlib.crc32(t.lower().encode()) % (FEATURES - SHAPES - 16) | zlib.crc32(shape.encode()) % SHAPES << 16)
     return out
 
 
@@ -56,14 +57,13 @@ def features(texts: list[bytes]) -> np.ndarray:
     for row, p in zip(x, parts, strict=True):
         n = len(p)
         if n:
-            at = np.array(list(map(get, p)), np.int64)
-            counts = np.bincount(at.ravel(), minlength=FEATURES)
-            row[:] = np.log1p(counts)
-            shapes = counts[:SHAPES]
-            row[:SHAPES] = 12 * np.sqrt(shapes / n)
-            same = float((at[1:, 0] == at[:-1, 0]).mean()) if n > 1 else 0.0
+            at = np.fromiter(map(get, p), np.int64, n)
+            word = at & 65535
+            row[:] = np.log1p(np.bincount(word, minlength=FEATURES))
+            row[:SHAPES] = 12 * np.sqrt(np.bincount(at >> 16, minlength=SHAPES) / n)
+            same = float((word[1:] == word[:-1]).mean()) if n > 1 else 0.0
             row[SHAPES + min(3, int(same * 8))] = 6
-            row[SHAPES + 4 + min(3, int(len(set(p)) / n ** 0.7))] = 3
+            row[SHAPES + 4 + min(3, int(len(set(p)) / n**0.7))] = 3
         row[SHAPES + 8 + min(7, int(np.log10(n + 1) * 2))] = 1
     return x
 
