@@ -44,6 +44,13 @@ def op3_token_counts(spark, sf_dir):
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_query
+def op4_line_dedup(spark, sf_dir):
+    from .lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @_query
 def op7_language(spark, sf_dir):
     from .language import detect, fit_languages
@@ -59,6 +66,13 @@ def op8_warc(spark, sf_dir):
     return page_archive(_table(spark, sf_dir, "pages"))
 
 
+@_query
+def op9_minhash_near_dedup(spark, sf_dir):
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=4).drop("text_hash")
+
+
 @_query
 def op10_quality_classifier(spark, sf_dir):
     from .quality import fit_quality, score_quality
@@ -67,5 +81,5 @@ def op10_quality_classifier(spark, sf_dir):
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op7_language, op8_warc, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
