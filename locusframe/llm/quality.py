@@ -149,9 +149,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max
     return Voter([r["t"].encode() for r in got], [r["y"] for r in got], prior)
 
 
-def score_quality(docs: DataFrame, voter: Voter, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, voter: Voter, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", keep_hash: bool = False) -> DataFrame:
     """Identifier, held_out, score (0 to 1, higher: label 1 likelier) and predicted (score >= threshold) of each row.
 
+    With ``keep_hash`` also text_hash, Spark's xxhash64 of the text.
+
     Whole texts; null texts are scored as empty ones. Narrow: the fitted model is broadcast, blocks of 256
     rows are compared with all labelled vectors.
     """
@@ -163,6 +165,7 @@ def score_quality(docs: DataFrame, voter: Voter, threshold: float = 0.7, id_col:
         model = shared.value
         for b in slices(batches, 256):
             s = model.scores(as_bytes(b.column(1))).astype(float).clip(0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32())], names=[id_col, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), *[b.column(3)] * keep_hash], names=[id_col, "held_out", "score", "predicted", *["text_hash"] * keep_hash])
 
-    return docs.select(id_col, text_col, held_out(id_col).alias("_held")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int")
+    columns = [id_col, text_col, held_out(id_col).alias("_held"), *[F.xxhash64(text_col).alias("_hash")] * keep_hash]
+    return docs.select(*columns).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int" + ", text_hash long" * keep_hash)

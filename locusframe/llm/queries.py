@@ -51,6 +51,20 @@ def op4_line_dedup(spark, sf_dir):
     return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@_query
+def op5_sentencepiece(spark, sf_dir):
+    from .segments import sampled_segmentations
+
+    return sampled_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op6_decontamination(spark, sf_dir):
+    from .leaks import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 @_query
 def op7_language(spark, sf_dir):
     from .language import detect, fit_languages
@@ -81,5 +95,5 @@ def op10_quality_classifier(spark, sf_dir):
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_decontamination, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {}
