@@ -1,9 +1,75 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: quality classifier, line dedup, near-dedup, benchmark decontamination, SentencePiece encoding.
 
+Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written as Parquet and read again as the next
+one's ``docs``. All but the last return the columns of ``docs`` in their order.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from locusframe.llm.common import ship, stash
+from locusframe.llm.leaks import without_leaks
+from locusframe.llm.lines import dedup_lines
+from locusframe.llm.neardup import near_duplicates
+from locusframe.llm.quality import fit_quality, score_quality
+from locusframe.llm.rules import SPACE
+from locusframe.llm.segments import sampled_segmentations
+
+#: Near-duplicate stage: shingles of five words, similarity of 0.8 or more.
+SHINGLE, PERCENT = 5, 80
+#: SQL has no nearest-neighbour vote in a latent space, sketch or lattice sampling.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    """The documents, through all stages."""
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the quality classifier predicts as label 1; fitted on the labels of ``sf_dir`` outside the held-out quarter."""
+    ship(spark)
+    voter = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = score_quality(docs.select("doc_id", "text"), voter, keep_hash=True)
+    good = scored.filter("predicted = 1").select(F.col("doc_id").alias("_lf_i"), F.col("text_hash").alias("_lf_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_lf_i")) & (F.xxhash64("text") == F.col("_lf_h"))
+    return docs.join(stash(good, "good"), same, "left_semi")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later repeated runs of lines. Rows that lose their last word to it go; n_chars follows the text."""
+    out = dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & (F.trim("text", F.lit(SPACE)) == "")
+    out = out.filter(~emptied)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the least doc_id, of each group of near-duplicates; documents without links stay."""
+    ship(spark)
+    found = near_duplicates(docs, k=SHINGLE, percent=PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("_lf_i"), F.col("text_hash").alias("_lf_h")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_lf_i")) & (F.xxhash64("text") == F.col("_lf_h"))
+    return docs.join(stash(found, "near-gone"), same, "left_anti")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark of ``sf_dir``."""
+    ship(spark)
+    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of each document, with their inclusion scores."""
+    ship(spark)
+    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of ``sf_dir`` through all stages; each stage's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
