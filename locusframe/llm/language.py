@@ -129,14 +129,14 @@ def fit_pieces(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, sm
 def fit_languages(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Learn from text and non-null language of rows outside the held-out quarter.
 
-    A bounded sample: of each language the ``sample_docs`` texts with the smallest hash (a window limit that
+    Only hashes are ranked, the texts of the sample are picked by a broadcast of one limit for each language. A bounded sample: of each language the ``sample_docs`` texts with the smallest hash (a window limit that
     Spark applies in each partition first), and of their words the ``sample_words`` most frequent, ties by word.
     """
     known = docs.filter(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
     best = Window.partitionBy("lang").orderBy("h")
     light = known.select("lang", F.xxhash64("t").alias("h")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs)
     limits = light.groupBy("lang").agg(F.max("h").alias("top"))
-    near = known.withColumn("h", F.xxhash64("t")).join(limits, "lang").filter("h <= top").dropDuplicates(["lang", "h"])
+    near = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(limits), "lang").filter("h <= top").dropDuplicates(["lang", "h"])
     words = near.select("lang", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").count()
     ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).filter(F.col("r") <= sample_words)
     counts: dict[str, dict[str, int]] = {}

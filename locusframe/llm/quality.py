@@ -127,11 +127,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max
     """
     marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     train = marked.filter(~held_out("_id") & F.col("_id").isNotNull())
-    keyed = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(train, "_id")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))  # texts don't move
     known = train.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in known}
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
-    light = keyed.select("_id", "y", F.xxhash64("t").alias("h"), F.octet_length("t").alias("size"))
+    light = hashed.join(train, "_id")
     chosen = []
     for y in (0, 1):  # two bounded reports of the smallest hashes
         got = light.filter(F.col("y") == y).dropDuplicates(["h"]).orderBy("h").limit(rows).collect()
