@@ -166,7 +166,7 @@ def score_quality(docs: DataFrame, voter: Voter, threshold: float = 0.7, id_col:
         model = shared.value
         for b in slices(batches, 256):
             s = model.scores(as_bytes(b.column(1))).astype(float).clip(0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), *[b.column(3)] * keep_hash], names=[id_col, "held_out", "score", "predicted", *["text_hash"] * keep_hash])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), *(b.column(i) for i in range(3, b.num_columns))], names=[id_col, "held_out", "score", "predicted", *["text_hash"] * keep_hash])
 
     columns = [id_col, text_col, held_out(id_col).alias("_held"), *[F.xxhash64(text_col).alias("_hash")] * keep_hash]
     return docs.select(*columns).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, score double, predicted int" + ", text_hash long" * keep_hash)
