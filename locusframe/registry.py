@@ -1,4 +1,5 @@
 """Registered queries over the driver's tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans.driver_queries import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
