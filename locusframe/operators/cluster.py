@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ORDER = ["read_idx", "obs_idx"]
+#: Neighbouring islands go to Python together, so many: small ones would each cost a call of their own.
+_BATCH = 256
 
 
 def _median(c: str):
@@ -76,7 +78,7 @@ def greedy_leaders(rows: DataFrame, keys: list[str], positions: list[str], windo
         return pd.DataFrame({"read_idx": pdf["read_idx"], "obs_idx": pdf["obs_idx"], "leader_read": pdf["read_idx"].to_numpy()[lead], "leader_obs": pdf["obs_idx"].to_numpy()[lead]})
 
     crowd = marked.filter("_n > 1")
-    led = crowd.select(*keys, "_island", *need).groupBy(*keys, "_island").applyInPandas(claim, "read_idx long, obs_idx long, leader_read long, leader_obs long")
+    led = crowd.select(*keys, "_island", *need).groupBy(*keys, F.floor(F.col("_island") / _BATCH)).applyInPandas(claim, "read_idx long, obs_idx long, leader_read long, leader_obs long")
     both = crowd.join(led, _ORDER).select(*alone.columns)
     return alone.unionByName(both).drop("_island", "_n")
 
@@ -151,7 +153,7 @@ def sequential_merge(candidates: DataFrame, window: int = 50, min_support: int =
         return pd.DataFrame({"ord": pdf["ord"], "first": pdf["ord"].to_numpy()[first]})
 
     crowd = marked.filter("_n > 1")
-    led = crowd.select("chrom", "svtype", "_island", "ord", "pos", "end").groupBy("chrom", "svtype", "_island").applyInPandas(follow, "ord long, first long")
+    led = crowd.select("chrom", "svtype", "_island", "ord", "pos", "end").groupBy("chrom", "svtype", F.floor(F.col("_island") / _BATCH)).applyInPandas(follow, "ord long, first long")
     grouped = alone.unionByName(crowd.join(led, "ord").select(*alone.columns))
     best = F.max_by(F.struct("pos", "end", "read", "support"), F.struct("support", -F.struct("pos", "ord")["pos"], -F.col("ord")))
     out = grouped.groupBy("chrom", "svtype", "first").agg(
