@@ -201,7 +201,8 @@ def sample(texts: list[bytes], seeds: list[int], k: int, model: Pieces) -> list[
     """For each text up to k distinct segmentations by falling perturbed log-probability: identifiers, log-probability, perturbed value, inclusion score.
 
     The inclusion score 1 - exp(-exp(log p - threshold)) is the probability that the segmentation is above the
-    threshold, the perturbed value behind the last one given. If there are no more segmentations, it is 1.
+    threshold, the perturbed value behind the last one given. If there are no more segmentations, it is 1. Of a long text
+    each segmentation is so improbable that the score rounds to 0.
     """
     parts = [chunks_of(t) for t in texts]
     distinct = set().union(*parts)
