@@ -96,4 +96,35 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_decontamination, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier)}
-ORACLE_SQL: dict[str, str] = {}
+
+#: The largest page_id of equal payloads is the response. Base32 of a SHA-1: eight groups of five hex digits, four characters each.
+_ARCHIVE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+q AS (SELECT page_id, strlen(t) AS n, upper(sha1(t)) AS x, max(page_id) OVER (PARTITION BY t) AS top FROM p),
+d AS (SELECT *, list_transform(range(0, 8), lambda k: (strpos('0123456789ABCDEF', substr(x, (5 * k + 1)::INT, 1)) - 1) * 65536
+  + (strpos('0123456789ABCDEF', substr(x, (5 * k + 2)::INT, 1)) - 1) * 4096 + (strpos('0123456789ABCDEF', substr(x, (5 * k + 3)::INT, 1)) - 1) * 256
+  + (strpos('0123456789ABCDEF', substr(x, (5 * k + 4)::INT, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(x, (5 * k + 5)::INT, 1)) - 1) AS v FROM q)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((v[(k // 4 + 1)::INT] >> (15 - 5 * (k % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d
+"""
+
+#: Links on full sets of 4-word shingles; each number goes along links to larger ones, and the least that arrives is the component.
+_NEAR = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+both_in AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM both_in JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+edge AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+walk(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT edge.b, walk.c FROM walk JOIN edge ON edge.a = walk.doc_id WHERE walk.c < edge.b),
+least AS (SELECT doc_id, min(c) AS component_id FROM walk GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": _ARCHIVE, "op9_minhash_near_dedup": _NEAR}
