@@ -10,17 +10,18 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, slices
+from .common import as_bytes, slices
 
 SAMPLES, ALPHA = 2, 2e-4
-MEMO_CHUNKS = 200_000
+#: Lattices of so many bytes of chunks are made together.
+GROUP_BYTES = 40_000
 #: Pieces have their word-begin mark at the start only, and none has a line feed, so no piece spans two chunks.
 _CHUNK = re.compile(rb" *[^ \n]+| +|\n")
 _MODELS: dict[tuple, "Pieces"] = {}
@@ -28,14 +29,15 @@ _C1, _C2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 class Pieces:
-    """The vocabulary with blanks for its word-begin marks, weights exp(alpha * score), and the memo of chunk lattices."""
+    """The vocabulary with blanks for its word-begin marks, and log-weights alpha * score; the last one is that of no piece."""
 
     def __init__(self, path: str, alpha: float):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.ids, self.weight, self.text = {}, {}, {}
-        self.bytes = [0] * 256
+        self.ids, self.text = {}, {}
+        self.bytes = np.zeros(256, np.int32)
+        self.weight = np.full(sp.get_piece_size() + 1, -np.inf)
         least = 0.0
         for i in range(sp.get_piece_size()):
             name = sp.id_to_piece(i)
@@ -48,54 +50,37 @@ class Pieces:
                 piece = name.replace("▁", " ").encode()
                 self.ids[piece], self.text[i] = i, piece
                 least = min(least, sp.get_score(i))
-                self.weight[i] = math.exp(alpha * sp.get_score(i))
-        for i in self.bytes:
-            self.weight[i] = math.exp(alpha * (least - 1))
+                self.weight[i] = alpha * sp.get_score(i)
+        self.weight[self.bytes] = alpha * (least - 1)
         self.longest = max(map(len, self.ids))
-        self.memo = Memo(lambda keys: [self.lattice(k) for k in keys], MEMO_CHUNKS)
 
-    def lattice(self, chunk: bytes) -> tuple[int, bytes, bytes, bytes, bytes]:
-        """Nodes (byte places), and of each edge: node, piece, next node (-1 at the end), probability given its node.
+    def lattice(self, group: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Of chunks of one length, piece and its probability given its node: chunks x nodes (byte places) x length of the piece less 1; -1 is no piece.
 
-        A character that is no piece has a path of byte pieces. Backward sums are scaled, so no length underflows.
+        A character that is no piece has a path of byte pieces. Backward sums are logarithms, so no length underflows.
         """
-        n, get, weight, longest = len(chunk), self.ids.get, self.weight, self.longest
-        edges: list[list[tuple[int, int]]] = []
-        for i in range(n):
-            here = []
-            if chunk[i] & 0xC0 != 0x80:
-                for j in range(min(n, i + longest), i, -1):
-                    p = get(chunk[i:j])
-                    if p is not None:
-                        here.append((p, j))
-                stop = i + 1
-                while stop < n and chunk[stop] & 0xC0 == 0x80:
-                    stop += 1
-                if chunk[i:stop] not in self.ids:
-                    here.append((self.bytes[chunk[i]], i + 1))
-            else:
-                here.append((self.bytes[chunk[i]], i + 1))
-            edges.append(here)
-        beta = [1.0] * (n + 1)  # relative to the scale, which grows towards the front
-        scale = [0.0] * (n + 1)
-        node, piece, nxt, prob = array("i"), array("i"), array("i"), array("d")
-        parts: list[list[float]] = [[]] * n
+        n, rows = len(group[0]), np.arange(len(group))
+        most, get = min(n, self.longest), self.ids.get
+        octets = np.frombuffer(b"".join(group), np.uint8).reshape(len(group), n)
+        piece = np.full((len(group), n, most), -1, np.int32)
+        prob = np.zeros(piece.shape)
+        beta = np.zeros((len(group), n + 1))
         for i in range(n - 1, -1, -1):
-            top = scale[i + 1]
-            ws = [weight[p] * beta[j] * (math.exp(scale[j] - top) if scale[j] != top else 1.0) for p, j in edges[i]]
-            s = sum(ws)
-            parts[i] = [w / s for w in ws] if s else [1 / max(1, len(ws))] * len(ws)
-            if s < 1e-100 or s > 1e100:
-                beta[i], scale[i] = 1.0, top + (math.log(s) if s else 0.0)
-            else:
-                beta[i], scale[i] = s, top
-        for i in range(n):
-            for (p, j), w in zip(edges[i], parts[i], strict=True):
-                node.append(i)
-                piece.append(p)
-                nxt.append(j if j < n else -1)
-                prob.append(w)
-        return n, node.tobytes(), piece.tobytes(), nxt.tobytes(), prob.tobytes()
+            k = min(n - i, most)
+            here = piece[:, i, :k]
+            for j in range(k):
+                here[:, j] = np.fromiter(map(get, [c[i : i + j + 1] for c in group], repeat(-1)), np.int32, len(group))
+            lead = octets[:, i]
+            size = 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0).astype(int)
+            alone = (lead & 0xC0 == 0x80) | (here[rows, size - 1] < 0)
+            here[alone, 0] = self.bytes[lead[alone]]
+            logs = self.weight[here] + beta[:, i + 1 : i + k + 1]
+            top = logs.max(1)
+            p = np.exp(logs - top[:, None])
+            total = p.sum(1)
+            beta[:, i] = top + np.log(total)
+            prob[:, i, :k] = p / total[:, None]
+        return piece, prob
 
 
 def pieces(path: str, alpha: float) -> Pieces:
@@ -125,21 +110,29 @@ def _unit(key: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """The lattices of a batch's distinct chunks, side by side."""
-
-    def __init__(self, model: Pieces, chunks: list[bytes]):
-        entries = [model.memo[c] for c in chunks]
-        nodes = np.array([e[0] for e in entries], np.int64)
-        edges = np.array([len(e[1]) // 4 for e in entries], np.int64)
-        self.first = np.cumsum(nodes) - nodes
-        shift = np.repeat(self.first, edges)
-        join = lambda k, kind: np.frombuffer(b"".join([e[k] for e in entries]), kind)
-        self.node = join(1, np.int32) + shift
-        self.piece = join(2, np.int32)
-        nxt = join(3, np.int32)
-        self.next = np.where(nxt < 0, -1, nxt + shift)
-        self.p = join(4, np.float64)
-        count = np.bincount(self.node, minlength=int(nodes.sum()))
+    """The lattices of a batch's distinct chunks, side by side; order numbers the chunks."""
+
+    def __init__(self, model: Pieces, chunks: set[bytes]):
+        by_length: dict[int, list[bytes]] = {}
+        for c in sorted(chunks):
+            by_length.setdefault(len(c), []).append(c)
+        self.order: dict[bytes, int] = {}
+        first, node, piece, nxt, prob, at = [], [], [], [], [], 0
+        for n, same in sorted(by_length.items()):
+            step = max(1, GROUP_BYTES // n)
+            for group in (same[k : k + step] for k in range(0, len(same), step)):
+                pieces, p = model.lattice(group)
+                c, i, k = np.nonzero(pieces >= 0)
+                here = at + c * n + i
+                node.append(here)
+                nxt.append(np.where(i + k + 1 < n, here + k + 1, -1))
+                piece.append(pieces[c, i, k])
+                prob.append(p[c, i, k])
+                first.append(at + n * np.arange(len(group)))
+                self.order.update(zip(group, range(len(self.order), len(self.order) + len(group)), strict=True))
+                at += n * len(group)
+        self.first, self.node, self.piece, self.next, self.p = map(np.concatenate, (first, node, piece, nxt, prob))
+        count = np.bincount(self.node, minlength=at)
         self.stop = np.cumsum(count)
         self.start = self.stop - count
         run = np.cumsum(self.p)
@@ -206,9 +199,8 @@ def sample(texts: list[bytes], seeds: list[int], k: int, model: Pieces) -> list[
     """
     parts = [chunks_of(t) for t in texts]
     distinct = set().union(*parts)
-    model.memo.fill(distinct)
-    order = {c: i for i, c in enumerate(distinct)}
-    t = Table(model, list(order)) if order else None
+    t = Table(model, distinct) if distinct else None
+    order = t.order if t else {}
     chunk = [np.fromiter(map(order.__getitem__, p), np.int64, len(p)) for p in parts]
     keys = np.array([s & (1 << 64) - 1 for s in seeds], np.uint64)
     out: list[list] = [[] for _ in texts]
@@ -274,7 +266,7 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, alpha: f
     Identifier, sample (0 is first), n_pieces, log_prob, perturbed, inclusion, ids_crc32 (identifiers as little-endian unsigned
     32-bit integers), round_trip (their decoding is the text) and with ``with_ids`` the identifiers. Seeded by the identifier
     and the text, so that a row gives the same samples in any partition. Null and empty texts have one empty segmentation.
-    Whole texts; narrow; memory is for a slice of 128 rows and a bounded memo.
+    Whole texts; narrow; memory is for a slice of 256 rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     names = [id_col, "sample", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "round_trip"] + ["ids"] * with_ids
@@ -282,7 +274,7 @@ def sampled_segmentations(docs: DataFrame, path: str, k: int = SAMPLES, alpha: f
 
     def run(batches):
         model = pieces(path, alpha)
-        for b in slices(batches, 128):
+        for b in slices(batches, 256):
             texts = as_bytes(b.column(1))
             found = sample(texts, b.column(2).to_pylist(), k, model)
             cols: list[list] = [[] for _ in names]
