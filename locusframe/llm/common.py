@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+#: The memos of this process by module, and the module whose memos were filled last.
+_MEMOS: dict[str, list[Memo]] = {}
+_LAST = [""]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -86,15 +89,22 @@ class Memo(dict):
     """A bounded memo: ``make`` gets a list of new keys and gives their values.
 
     Two generations: when the young one is full it becomes the old one, so frequent keys stay. The bound
-    is on memory only; a forgotten key is computed again.
+    is on memory only; a forgotten key is computed again. A process that goes on to another operator's stage
+    forgets the memos of the one before, so that those of several stages don't add up.
     """
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.limit, self.old, self.owner = make, limit, {}, make.__module__
+        _MEMOS.setdefault(self.owner, []).append(self)
 
     def fill(self, keys: set) -> None:
         """Afterwards all of these keys are present."""
+        if _LAST[0] != self.owner:
+            for memo in (m for owner, memos in _MEMOS.items() if owner != self.owner for m in memos):
+                memo.clear()
+                memo.old = {}
+            _LAST[0] = self.owner
         missing = keys - self.keys()
         if not missing:
             return

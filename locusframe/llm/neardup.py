@@ -30,7 +30,7 @@ _WORDS: dict[int, Memo] = {}
 
 def _memo() -> Memo:
     if 0 not in _WORDS:
-        _WORDS[0] = Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 500_000)
+        _WORDS[0] = Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 150_000)
     return _WORDS[0]
 
 
