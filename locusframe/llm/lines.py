@@ -1,4 +1,4 @@
-"""Repeated runs of lines, found by winnowing over line hashes and deleted behind their first place.
+"""Repeated passages, found by winnowing over word hashes and deleted behind their first place, whole lines and parts of lines.
 
 DataFrame functions only. Lines of a text are units: a line with a word and the blank lines behind it.
 """
@@ -13,109 +13,140 @@ from .rules import SPACE, _let
 
 #: A line feed in front of a line with a word; splitting there and joining by a line feed gives the text again.
 _CUT = r"\n(?=[ \t\x0B\f\r]*[^ \t\n\x0B\f\r])"
+_GAP, _BLANK = r"[ \t\n\x0B\f\r]", r"[ \t\x0B\f\r]"
+_START = r"(?<![^ \t\n\x0B\f\r])"
 _NO_ID = -(1 << 62)
+#: So many groups of words are joined to one at a time.
+RADIX = 6
 
 
 def _units(text: Column) -> Column:
     return F.split(text, _CUT)
 
 
-def _hashed(units: Column) -> Column:
-    """Hash and weight of each unit: the weight is its words, counted as runs between single blanks."""
+def _words(text: Column) -> Column:
+    """Hash of each word, a run of characters other than ASCII white space."""
+    return F.transform(F.split(F.trim(text, F.lit(SPACE)), _GAP + "+"), lambda w: F.xxhash64(w))
 
-    def one(u: Column) -> Column:
-        n = F.when(u == "", F.lit(0)).otherwise(F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit(""))) + 1)
-        return F.struct(F.xxhash64(u).alias("h"), n.cast("int").alias("w"))
 
-    return F.transform(units, lambda x: _let(F.trim(x, F.lit(SPACE)), one))
+def _over(values: Column, n: int, join, body, size: int = 1) -> Column:
+    """``body`` of the array with ``join`` of each n neighbours, from groups of growing size; there must be n values."""
+    if size == n:
+        return body(values)
+    wide = min(n, RADIX * size)
+    places = [*range(size, wide - size, size), wide - size]
+    both = F.transform(F.slice(values, F.lit(1), F.size(values) - (wide - size)), lambda x, i: join(x, *(F.get(values, i + p) for p in places)))
+    return _let(both, lambda x: _over(x, n, join, body, wide))
 
 
-def _windows(lines: Column, min_words: int) -> Column:
-    """For each unit, the shortest window from it with ``min_words`` words: start, hash of the window, and its minimum (hash, place)."""
-    none = F.struct(F.lit(0).alias("w"), F.lit(0).cast("long").alias("g"), F.lit(None).cast("struct<h:bigint,p:int>").alias("m"))
+def _marks(hashes: Column, min_words: int) -> Column:
+    """The least hash a of the word groups of each window of ``min_words`` words, once for all neighbouring windows s to e that share it, and the hash c of their words."""
+    k = 1 << max(0, min_words.bit_length() - 2)
 
-    def window(i: Column) -> Column:
-        def add(acc: Column, x: Column) -> Column:
-            here = F.struct(x["h"].alias("h"), x["p"].alias("p"))
-            more = F.struct((acc["w"] + x["w"]).alias("w"), F.xxhash64(acc["g"], x["h"]).alias("g"), F.least(acc["m"], here).alias("m"))
-            return F.when(acc["w"] >= min_words, acc).otherwise(more)
+    def runs(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
-        placed = F.transform(F.slice(lines, i + 1, min_words), lambda x, k: F.struct(x["h"].alias("h"), x["w"].alias("w"), (i + k).alias("p")))
-        return F.aggregate(placed, none, add, lambda acc: F.struct(i.alias("i"), acc["w"].alias("w"), acc["g"].alias("g"), acc["m"].alias("m")))
+        def mark(s: Column, at: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(s, j + 1), F.size(m)) - 1
+            return F.struct(F.get(m, at).alias("a"), F.xxhash64(F.slice(hashes, at + 1, end - at + min_words)).alias("c"), at.alias("s"), end.alias("e"))
 
-    every = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x["w"].alias("w")))
-    found = F.transform(F.filter(every, lambda x: x["w"] > 0), lambda x: window(x["i"]))
-    return F.filter(found, lambda x: x["w"] >= min_words)
+        return _let(starts, lambda s: F.transform(s, lambda at, j: mark(s, at, j)))
 
+    return _over(hashes, k, F.xxhash64, lambda x: _over(x, min_words - k + 1, F.least, runs))
 
-def _runs(lines: Column, source: Column, shift: Column, min_words: int) -> Column:
-    """Places of the maximal runs of equal units, ``shift`` apart, that hold ``min_words`` words."""
-    at, other = F.greatest(F.lit(0), shift), F.greatest(F.lit(0), -shift)
-    n = F.least(F.size(lines) - at, F.size(source) - other)
-    equal = F.zip_with(F.slice(lines, at + 1, n), F.slice(source, other + 1, n), lambda a, b: F.when(a["h"] == b["h"], a["w"]).otherwise(F.lit(-1)))
-    empty = F.array().cast("array<struct<s:int,e:int>>")
-    start = F.struct(at.alias("at"), at.alias("s"), F.lit(0).alias("w"), empty.alias("out"))
 
-    def closed(acc: Column) -> Column:
-        run = F.struct(acc["s"].alias("s"), (acc["at"] - 1).alias("e"))
-        return F.when(acc["w"] >= min_words, F.concat(acc["out"], F.array(run))).otherwise(acc["out"])
+def _windows(hashes: Column, marks: Column, min_words: int) -> Column:
+    """Place, hash g and least group a of each window of ``marks``."""
 
-    def step(acc: Column, w: Column) -> Column:
-        on = F.struct((acc["at"] + 1).alias("at"), acc["s"].alias("s"), (acc["w"] + w).alias("w"), acc["out"].alias("out"))
-        off = F.struct((acc["at"] + 1).alias("at"), (acc["at"] + 1).alias("s"), F.lit(0).alias("w"), closed(acc).alias("out"))
-        return F.when(w >= 0, on).otherwise(off)
+    def of(g: Column) -> Column:
+        return F.flatten(F.transform(marks, lambda r: F.transform(F.sequence(r["s"], r["e"]), lambda at: F.struct(at.alias("at"), F.get(g, at).alias("g"), r["a"].alias("a")))))
 
-    return F.aggregate(equal, start, step, closed)
+    return _over(hashes, min_words, F.xxhash64, of)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """i, h (identifier, null as a number below all, and text hash) and gone (places of units to delete) of each document with repeated runs.
+def _spans(runs: Column, min_words: int) -> Column:
+    """First and last word of each run of neighbouring windows, which come as runs s to e that don't overlap."""
 
-    1. In each text every window of units that just holds ``min_words`` words selects its unit of least hash. Two
-       texts that share a run of so many words share a whole window, and so its minimum: no such run is missed.
-    2. Selected minima that occur at one place only can't be part of a repeat; their windows go.
-    3. The other windows join the first place, by (identifier, text hash, unit), of a window of equal content.
-    4. Each (document, source, shift) is extended both ways to maximal runs of equal units.
+    def of(r: Column) -> Column:
+        first = F.filter(r, lambda x, i: (i == 0) | (F.get(r, i - 1)["e"] != x["s"] - 1))
+        last = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["s"] != x["e"] + 1))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["s"].alias("s"), (b["e"] + (min_words - 1)).alias("e")))
+
+    return _let(F.array_sort(runs), of)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """i, h (identifier, null as a number below all, and text hash) and gone (first and last word of passages to delete) of each document with repeats.
+
+    1. In each text every window of ``min_words`` words selects the least hash of the groups of words in it. Equal
+       windows select the same, so a window whose least hash is at one place only can't be part of a repeat and goes.
+    2. Neighbouring windows with one selection are a stretch. A stretch with an earlier place is a repeat as a whole.
+       It can't hold the first place of a window, so only the windows of first stretches go on.
+    3. Those join the first place, by (identifier, text hash, word), of a window of equal content.
+    4. A passage is a run of neighbouring windows that have an earlier place. Two texts that share a run of
+       ``min_words`` words or more share each window of it: no run is missed, wherever lines begin and end.
 
     The first place of a content is the least one, so a link is one row however often the content occurs. Rows
-    that agree in identifier and text are one document. Texts stay where they are; hashes and weights move.
+    that agree in identifier and text are one document. Two independent hashes of 64 bits tell windows apart.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i")
-    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), _hashed(_units(F.col("t"))).alias("lines"))
-    table = stash(rows.withColumn("wins", _windows(F.col("lines"), min_words)), "lines")
-
-    minima = table.select(F.explode(F.array_distinct(F.transform("wins", lambda x: x["m"]))).alias("m"), "i", "h").distinct()
-    again = minima.groupBy(F.col("m.h").alias("a")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
-    windows = table.select("i", "h", F.explode("wins").alias("x")).select("i", "h", F.col("x.i").alias("at"), F.col("x.g").alias("g"), F.col("x.m.h").alias("a"))
-    kept = stash(windows.join(again, "a", "left_semi").select("i", "h", "at", "g").distinct(), "lines-windows")
-    first = kept.groupBy("g").agg(F.min(F.struct("i", "h", "at")).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "src")
-    later = kept.join(first, "g").filter(F.struct("i", "h", "at") != F.col("src"))
-    pairs = later.select("i", "h", F.col("src.i").alias("si"), F.col("src.h").alias("sh"), (F.col("at") - F.col("src.at")).alias("shift")).distinct()
-    pairs = stash(pairs, "lines-pairs")
-
-    ids = pairs.select("i", "h").union(pairs.select("si", "sh")).distinct()
-    arrays = stash(table.select("i", "h", "lines").join(ids, ["i", "h"], "left_semi").dropDuplicates(["i", "h"]), "lines-arrays")
-    source = arrays.select(F.col("i").alias("si"), F.col("h").alias("sh"), F.col("lines").alias("source"))
-    both = pairs.join(arrays, ["i", "h"]).join(source, ["si", "sh"])
-    runs = both.select("i", "h", F.explode(_runs(F.col("lines"), F.col("source"), F.col("shift"), min_words)).alias("r"))
-    return runs.select("i", "h", F.explode(F.sequence("r.s", "r.e")).alias("p")).groupBy("i", "h").agg(F.collect_set("p").alias("gone"))
+    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
+
+    def long_enough(hashes: Column) -> Column:
+        return F.when(F.size(hashes) >= min_words, _marks(hashes, min_words))
+
+    marks = stash(rows.filter(F.length("t") >= 2 * min_words - 1).select("i", "h", F.explode(_let(_words(F.col("t")), long_enough)).alias("x")).select("i", "h", "x.*"), "lines-marks")
+    again = marks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    here = F.struct("i", "h", "s", "e").alias("src")
+    stretches = stash(marks.join(again, "a", "left_semi"), "lines-again")
+    firsts = stash(stretches.groupBy("a", "c").agg(F.min(here).alias("src"), F.count(F.lit(1)).alias("n")), "lines-first")
+    copies = stretches.join(firsts.filter("n > 1").select("a", "c", "src"), ["a", "c"]).filter(F.struct("i", "h", "s", "e") != F.col("src"))
+    mixed = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    held = stash(firsts.join(mixed, "a", "left_semi").select("src.*", "a").groupBy("i", "h").agg(F.collect_list(F.struct("a", "s", "e")).alias("marks")), "lines-held")
+    windows = rows.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
+    kept = stash(windows.select("i", "h", "x.*"), "lines-windows")
+    first = kept.groupBy("g", "a").agg(F.min(F.struct("i", "h", "at")).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a", "src")
+    later = kept.join(first, ["g", "a"]).filter(F.struct("i", "h", "at") != F.col("src"))
+    gone = copies.select("i", "h", "s", "e").union(later.select("i", "h", F.col("at").alias("s"), F.col("at").alias("e")))
+    return gone.groupBy("i", "h").agg(_spans(F.collect_set(F.struct("s", "e")), min_words).alias("gone"))
+
+
+def _without(text: Column, gone: Column) -> Column:
+    """n (lines that lost words) and t (the text without the words of ``gone``)."""
+    lead = F.regexp_extract(text, rf"\A{_GAP}*", 0)
+    # a word with the white space behind it; k or d in front says whether it stays, d stands for the word
+    pieces = F.split(F.ltrim(text, F.lit(SPACE)), rf"(?<={_GAP})(?=[^ \t\n\x0B\f\r])")
+
+    def tagged(p: Column, j: Column) -> Column:
+        out = F.exists(gone, lambda r: (j >= r["s"]) & (j <= r["e"]))
+        return F.when(out, F.concat(F.lit("d"), F.regexp_extract(p, rf"{_GAP}*\z", 0))).otherwise(F.concat(F.lit("k"), p))
+
+    cut, stays = _START + "d", _START + "k"
+
+    def rest(unit: Column) -> Column:
+        tail = F.regexp_replace(unit, rf"{_BLANK}+d(?:{_BLANK}+d)*+{_BLANK}*(?=\n|\z)", "")
+        return F.regexp_replace(F.when(unit.rlike(cut), F.regexp_replace(tail, rf"{cut}{_BLANK}*", "")).otherwise(unit), stays, "")
+
+    def of(units: Column) -> Column:
+        left = F.filter(units, lambda u: u.rlike(stays) | ~u.rlike(cut))
+        return F.struct(F.size(F.filter(units, lambda u: u.rlike(cut))).alias("n"), F.array_join(F.transform(left, rest), "\n").alias("t"))
+
+    return _let(_units(F.concat(lead, F.array_join(F.transform(pieces, tagged), ""))), of)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of each row, the text without later repeated runs of ``min_words`` words or more, and n_lines and n_removed.
+    """All columns of each row, the text without later repeated passages of ``min_words`` words or more, n_lines, and n_removed (lines that lost words).
 
-    A run is deleted where an equal run comes earlier, in another document (by identifier, then text hash) or the same one. Texts
-    without such runs stay as they are, null too; a text may become empty. Columns named n_lines or n_removed are replaced.
+    Words are compared; lines and white space don't matter. A passage is deleted where an equal one comes earlier, in
+    another document (by identifier, then text hash) or the same one: whole lines with their line feed, of a line that
+    is repeated in part just those words. Texts without such passages stay as they are, null too; a text may become
+    empty. Columns named n_lines or n_removed are replaced.
     """
-    gone = repeated_lines(docs, min_words, id_col, text_col).select(F.col("i").alias("_lf_i"), F.col("h").alias("_lf_h"), F.col("gone").alias("_lf_gone"))
+    gone = repeated_passages(docs, min_words, id_col, text_col).select(F.col("i").alias("_lf_i"), F.col("h").alias("_lf_h"), F.col("gone").alias("_lf_gone"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_lf_i": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_lf_h": F.xxhash64(text)})
     joined = keyed.join(gone, ["_lf_i", "_lf_h"], "left")
-
-    def rest(units: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(units) - 1), F.col("_lf_gone"))
-        return F.array_join(F.transform(stay, lambda i: F.get(units, i)), "\n")
-
-    new = F.when(F.col("_lf_gone").isNull(), F.col(text_col)).otherwise(_let(_units(text), rest))
-    columns = [new.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*columns, F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias("n_lines"), F.coalesce(F.size("_lf_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    new = F.when(F.col("_lf_gone").isNotNull(), _without(text, F.col("_lf_gone")))
+    lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long")
+    columns = [F.when(F.col("_lf_gone").isNull(), F.col(text_col)).otherwise(F.col("_lf_new.t")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.withColumn("_lf_new", new).select(*columns, lines.alias("n_lines"), F.coalesce(F.col("_lf_new.n"), F.lit(0)).cast("long").alias("n_removed"))

@@ -100,6 +100,33 @@ def test_op4_line_dedup(docs, empty, spark):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_op4_passages_cut_by_lines(spark):
+    run = prose(30, 60).split()
+    broken = " ".join(run[:7]) + "\n" + " ".join(run[7:40]) + "\n" + " ".join(run[40:])
+    rows = [(1, "a1 a2 " + broken + " b1\nb2"), (2, "c1\nc2 " + broken + " d1\nd2"), (3, "e1  " + " ".join(run[5:56]) + "\tf1"), (4, "k d " + " ".join(run[5:54]) + " d k"), (5, "  " + broken + "\n\n d k")]
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (4, 0, rows[0][1]), 2: (5, 3, "c1\nc2\nd1\nd2"), 3: (1, 1, "e1  f1"), 4: (1, 0, rows[3][1]), 5: (4, 3, " d k")}
+
+
+def test_op4_against_brute_force(spark):
+    r = random.Random(5)
+    parts = [[f"w{r.randrange(30)}" for _ in range(r.randrange(5, 40))] for _ in range(8)]
+    texts = ["".join(w + r.choice([" ", " ", "\n"]) for w in sum((r.choice(parts) for _ in range(r.randrange(0, 7))), [])) for _ in range(60)]
+    seen: set[tuple] = set()
+    want = []
+    for t in texts:
+        w = words(t)
+        gone = set()
+        for j in range(len(w) - 19):
+            x = tuple(w[j : j + 20])
+            if x in seen:
+                gone |= set(range(j, j + 20))
+            seen.add(x)
+        want.append([x for j, x in enumerate(w) if j not in gone])
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=20).orderBy("doc_id").collect()
+    assert [words(r.text) for r in out] == want
+
+
 def test_op5_samples(docs, empty):
     import sentencepiece
 
