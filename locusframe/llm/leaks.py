@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import Memo, as_bytes, slices, stash
 
 FEATURES, RANK, OVERSAMPLE = 8192, 48, 8
-STRIDE = 8
+#: Windows start every STRIDE words, for items of fewer than four strides at most every quarter of the item; so many are searched at a time.
+STRIDE, BLOCKS = 8, 16_384
 #: The decomposition is fitted on at most so many documents, those with the least text hash. Document frequencies
 #: cover all documents, and all windows of all documents are searched.
 FIT_DOCS = 12_000
@@ -32,11 +33,11 @@ def _ids(words: list[bytes]) -> list[int]:
 
 
 def word_ids(texts: list[bytes]) -> list[np.ndarray]:
-    """CRC-32 of each word, A-Z in lower case, without ASCII punctuation around it; words of punctuation alone are left out."""
+    """CRC-32 of each word, case folded, without ASCII punctuation around it; words of punctuation alone are left out."""
     if 0 not in _MEMOS:
         _MEMOS[0] = Memo(_ids, 150_000)
     memo = _MEMOS[0]
-    parts = [t.lower().split() for t in texts]
+    parts = [(t.lower() if t.isascii() else t.decode("utf-8", "replace").casefold().encode()).split() for t in texts]
     memo.fill(set().union(*parts))
     get = memo.__getitem__
     rows = [np.fromiter(map(get, p), np.uint32, len(p)) for p in parts]
@@ -47,6 +48,25 @@ def _slot(ids: np.ndarray) -> np.ndarray:
     return (ids & np.uint32(FEATURES - 1)).astype(np.int32)
 
 
+def _stride(n: int) -> int:
+    """Words between the windows for an item of n words: 1, 2, 4 or STRIDE, a quarter of n at most."""
+    return min(STRIDE, 1 << max(0, n.bit_length() - 3))
+
+
+def _pieces(sizes: list[int], most: int, longest: int):
+    """(row, first word, words) of pieces of at most ``most`` words, in groups of about as many; neighbours share ``longest`` words."""
+    group, total = [], 0
+    for row, n in enumerate(sizes):
+        for at in range(0, max(1, n - longest), most - longest) if n else ():
+            group.append((row, at, min(most, n - at)))
+            total += group[-1][2]
+            if total >= most:
+                yield group
+                group, total = [], 0
+    if group:
+        yield group
+
+
 def _sums(table: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sum of the rows ``at`` of the table from each start to the next."""
     return np.add.reduceat(table[at], starts, axis=0) if len(at) else np.zeros((0, table.shape[1]), np.float32)
@@ -93,7 +113,7 @@ def lcs(masks: dict[int, int], n: int, words: list[int]) -> int:
 
 
 class Index:
-    """The map into the latent space, and the benchmark's items there by the number of their blocks of STRIDE words."""
+    """The map into the latent space, and the benchmark's items there by stride and the number of their blocks of so many words."""
 
     def __init__(self, items: list[tuple[int, bytes]], idf: np.ndarray, vectors: np.ndarray, cosine: float = COSINE, common: float = COMMON):
         self.map = (vectors * idf[:, None]).astype(np.float32)
@@ -107,7 +127,8 @@ class Index:
                 masks[w] = masks.get(w, 0) | 1 << i
             rare = sorted(set(ids.tolist()), key=lambda w: (-idf[w & FEATURES - 1], w))[:ANSWER_WORDS]
             v = self.map[_slot(ids)].sum(0)
-            group = self.groups.setdefault(max(1, round(len(ids) / STRIDE)), ([], []))
+            stride = _stride(len(ids))
+            group = self.groups.setdefault((stride, max(1, round(len(ids) / stride))), ([], []))
             group[0].append(len(self.items))
             group[1].append(v / max(np.linalg.norm(v), 1e-9))
             words += [(w, len(self.items)) for w in rare]
@@ -137,20 +158,29 @@ class Index:
         sizes = np.array([len(r) for r in rows], np.int64)
         if not sizes.sum() or not self.items:
             return []
-        ids = np.concatenate(rows)
-        doc = np.repeat(np.arange(len(rows)), sizes)
-        first = np.cumsum(sizes) - sizes
-        n_blocks = -(-sizes // STRIDE)
-        block_doc = np.repeat(np.arange(len(rows)), n_blocks)
-        block_at = np.arange(len(block_doc)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
-        starts = first[block_doc] + block_at * STRIDE
-        total = np.zeros((len(starts) + 1, self.map.shape[1]))
-        np.cumsum(_sums(self.map, _slot(ids), starts), axis=0, out=total[1:], dtype=np.float64)
-        left = n_blocks[block_doc] - block_at
-        ok = self.answered(ids, doc, len(rows))
+        ok = self.answered(np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes), len(rows))
         found: dict[tuple[int, int], tuple[float, float]] = {}
-        for blocks, (items, vectors) in self.groups.items():
-            at = np.flatnonzero((left >= blocks) | (block_at == 0))  # of a shorter document, one window
+        for stride in sorted({s for s, _ in self.groups}):
+            groups = {k: v for (s, k), v in self.groups.items() if s == stride}
+            longest = -(-max(groups) * stride // STRIDE) * STRIDE
+            for pieces in _pieces(sizes.tolist(), max(BLOCKS * stride, 2 * longest), longest):
+                self._search(rows, pieces, stride, groups, ok, found)
+        return [(d, self.items[i][0], c, s) for (d, i), (c, s) in sorted(found.items())]
+
+    def _search(self, rows: list[np.ndarray], pieces: list[tuple[int, int, int]], stride: int, groups: dict, ok: np.ndarray, found: dict) -> None:
+        """Windows of these pieces against the items of one stride; better places go to ``found``."""
+        row, offset, n = (np.array(x, np.int64) for x in zip(*pieces, strict=True))
+        ids = np.concatenate([rows[r][at : at + k] for r, at, k in pieces])
+        first = np.cumsum(n) - n
+        n_blocks = -(-n // stride)
+        piece = np.repeat(np.arange(len(pieces)), n_blocks)
+        block_at = np.arange(len(piece)) - np.repeat(np.cumsum(n_blocks) - n_blocks, n_blocks)
+        block_doc, word_at = row[piece], offset[piece] + block_at * stride
+        total = np.zeros((len(piece) + 1, self.map.shape[1]))
+        np.cumsum(_sums(self.map, _slot(ids), first[piece] + block_at * stride), axis=0, out=total[1:], dtype=np.float64)
+        left = n_blocks[piece] - block_at
+        for blocks, (items, vectors) in groups.items():
+            at = np.flatnonzero((left >= blocks) | (word_at == 0))  # of a shorter document, one window
             end = at + np.minimum(blocks, left[at])
             w = (total[end] - total[at]).astype(np.float32)
             near = w @ vectors.T
@@ -158,12 +188,11 @@ class Index:
             for b, k in zip(*np.nonzero(high & ok[block_doc[at]][:, items]), strict=True):
                 d, item = int(block_doc[at[b]]), int(items[k])
                 _, masks, m, rare = self.items[item]
-                lo = max(0, (int(block_at[at[b]]) - 2) * STRIDE)
-                region = rows[d][lo : lo + (blocks + 4) * STRIDE].tolist()
+                start = int(word_at[at[b]])
+                region = rows[d][max(0, start - 2 * STRIDE) : start + blocks * stride + 2 * STRIDE].tolist()
                 share = lcs(masks, m, region) / m
                 if share >= self.common and 2 * len(rare.intersection(region)) >= len(rare) and share > found.get((d, item), (0, 0))[1]:
                     found[d, item] = (float(near[b, k] / max(np.linalg.norm(w[b]), 1e-9)), share)
-        return [(d, self.items[i][0], c, s) for (d, i), (c, s) in sorted(found.items())]
 
 
 def fit_index(rows: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, common: float = COMMON) -> Index:

@@ -169,6 +169,27 @@ def test_op6_leaks(docs, empty, spark):
     assert leaks.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_op6_case_and_short_items(spark, monkeypatch):
+    item = "éai éonleeau pour an éonqueê straße où la rivière dépasse l'église grâce à un très vieux pont élevé"
+    short = ["zanzibar copper lantern", "quokka velvet orbit thunder fjord", "mango pylon cactus ribbon saddle walnut"]
+    rows = [(0, prose(40, 90) + " " + item.upper() + " " + prose(41, 20))]
+    want = {(0, 0)}
+    for k, x in enumerate(short):
+        for shift in range(12):
+            rows.append((100 * (k + 1) + shift, prose(shift, 40 + shift) + " " + x + " " + prose(shift + 50, 60)))
+            want.add((rows[-1][0], k + 1))
+    rows += [(i, prose(i, 80)) for i in range(1000, 1040)]
+    bench = spark.createDataFrame(list(enumerate([item, *short])), "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.leaks(df, bench).collect()} == want
+    index = leaks.fit_index(leaks.word_rows(df), bench)
+    texts = leaks.word_ids([" ".join(t for _, t in rows).encode(), b"", rows[0][1].encode()])
+    whole = index.search(texts)
+    assert {(d, i) for d, i, *_ in whole} == {(0, 0), (0, 1), (0, 2), (0, 3), (2, 0)}
+    monkeypatch.setattr(leaks, "BLOCKS", 16)
+    assert [(d, i) for d, i, *_ in index.search(texts)] == [(d, i) for d, i, *_ in whole]
+
+
 def test_op7_language(docs, empty, spark):
     say = {"en": "the house of a man with the dog and that", "fr": "la maison de le chien avec une femme et que", "de": "das haus und der hund mit einem mann ist"}
     rows = [(i, " ".join(random.Random(i).choices(say[k].split(), k=30)), k) for i, k in enumerate(list(say) * 40)]
