@@ -19,9 +19,6 @@ from .common import Memo, as_bytes, slices, stash
 FEATURES, RANK, OVERSAMPLE = 8192, 48, 8
 #: Windows start every STRIDE words, for items of fewer than four strides at most every quarter of the item; so many are searched at a time.
 STRIDE, BLOCKS = 8, 16_384
-#: The decomposition is fitted on at most so many documents, those with the least text hash. Document frequencies
-#: cover all documents, and all windows of all documents are searched.
-FIT_DOCS = 12_000
 PASSAGE = 40
 COSINE, COMMON, ANSWER_WORDS = 0.5, 0.7, 4
 _MEMOS: dict[int, Memo] = {}
@@ -195,8 +192,8 @@ class Index:
                     found[d, item] = (float(near[b, k] / max(np.linalg.norm(w[b]), 1e-9)), share)
 
 
-def fit_index(rows: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs: int = FIT_DOCS, item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, common: float = COMMON) -> Index:
-    """Document frequencies over all rows of ``word_rows``, then one distributed pass for the decomposition of the bounded sample.
+def fit_index(rows: DataFrame, benchmark: DataFrame, rank: int = RANK, item_col: str = "item_id", item_text: str = "text", cosine: float = COSINE, common: float = COMMON) -> Index:
+    """Document frequencies over all rows of ``word_rows``, then one distributed pass over all of them for the decomposition.
 
     The driver gets sums of FEATURES numbers and of FEATURES x (rank + 8) numbers, in groups added up by the
     executors, and the benchmark, which is taken as a whole: its items must fit the driver.
@@ -223,11 +220,6 @@ def fit_index(rows: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs:
     width = rank + OVERSAMPLE
     omega = np.random.default_rng(11).standard_normal((FEATURES, width)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, omega))
-    bound = max(1, fit_docs)
-    docs = rows.filter("df is null")
-    # hashes are even over their range, so this share of it holds about ``bound`` documents whatever their number
-    share = min(1.0, bound / max(1, n_docs))
-    sample = docs.filter(F.col("text_hash") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)))) if share < 1 else docs
 
     def sketch(batches):
         idf, omega = shared.value
@@ -237,7 +229,7 @@ def fit_index(rows: DataFrame, benchmark: DataFrame, rank: int = RANK, fit_docs:
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
-    gram = over(sample.select("ids").mapInArrow(sketch, "v binary"), "<f4")
+    gram = over(rows.filter("df is null").select("ids").mapInArrow(sketch, "v binary"), "<f4")
     vectors = np.zeros((FEATURES, 1), np.float32) if gram is None else basis(gram.reshape(FEATURES, width), omega.astype(np.float64), rank)
     shared.unpersist()
     items = benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).filter(F.col(item_col).isNotNull()).collect()

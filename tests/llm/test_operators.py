@@ -190,6 +190,18 @@ def test_op6_case_and_short_items(spark, monkeypatch):
     assert [(d, i) for d, i, *_ in index.search(texts)] == [(d, i) for d, i, *_ in whole]
 
 
+def test_op6_basis_of_all_documents(spark):
+    texts = [f"w{i % 97} v{i % 89} u{i % 83}" for i in range(13_000)]
+    bench = spark.createDataFrame([(1, "w1 v2 u3")], "item_id long, text string")
+    index = leaks.fit_index(leaks.word_rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)), bench)
+    rows = leaks.word_ids([t.encode() for t in texts])
+    df = np.bincount(np.concatenate([np.unique(r & (leaks.FEATURES - 1)) for r in rows]), minlength=leaks.FEATURES)
+    idf = (np.log((1 + len(rows)) / (1 + df)) + 1e-3).astype(np.float32)
+    omega = np.random.default_rng(11).standard_normal((leaks.FEATURES, leaks.RANK + leaks.OVERSAMPLE)).astype(np.float32)
+    want = leaks.basis(leaks.gram_sketch(rows, idf, omega).astype(np.float64), omega.astype(np.float64), leaks.RANK) * idf[:, None]
+    assert np.allclose(index.map @ index.map.T[:, :600], want @ want.T[:, :600], atol=5e-2)
+
+
 def test_op7_language(docs, empty, spark):
     say = {"en": "the house of a man with the dog and that", "fr": "la maison de le chien avec une femme et que", "de": "das haus und der hund mit einem mann ist"}
     rows = [(i, " ".join(random.Random(i).choices(say[k].split(), k=30)), k) for i, k in enumerate(list(say) * 40)]
