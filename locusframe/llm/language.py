@@ -7,185 +7,261 @@ its segmentations into pieces, by the forward algorithm; a text's is the product
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, slices
+from .common import Chunks, Memo, flat, mixed, ragged, slices, word_spans
 from .quality import held_out
+from .segments import HashIndex
 
-#: Bounds of the fit: documents and distinct words of each language.
-SAMPLE_DOCS, SAMPLE_WORDS = 400, 15_000
-LONGEST_PIECE, LONGEST_WORD = 12, 40
-_WORD = re.compile(r"[^\W\d_]+")
-_PIECES: dict[str, dict[str, int]] = {}
-_SUMS: dict[str, dict] = {}
-_CHUNKS: dict[str, Memo] = {}
+#: Bounds of the fit: of each language so many documents, and so many bytes of them.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 1_000_000
+#: Words of so many letters in all are summed together.
+GROUP_LETTERS = 60_000
+_PIECES: dict[str, "Vocabulary"] = {}
+_SUMS: dict[str, Memo] = {}
+_C = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII letters in lower case, other bytes of ASCII as blanks.
+_PLAIN = np.array([ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)] + list(range(128, 256)), np.uint8)
 
 
-def vocabulary(path: str) -> dict[str, int]:
-    """Lower-cased letter pieces of the SentencePiece model at ``path``, each with a number; one for each process."""
-    if path not in _PIECES:
+class Vocabulary:
+    """Lower-cased letter pieces of a SentencePiece model, each with a number, found by the hash of their letters."""
+
+    def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = {sp.id_to_piece(i).lstrip("▁").lower() for i in range(sp.get_piece_size())}
-        pieces = sorted(p for p in pieces if 0 < len(p) <= LONGEST_PIECE and p.isalpha())
-        _PIECES[path] = {p: i for i, p in enumerate(pieces)}
+        self.pieces = sorted(p for p in pieces if p.isalpha())
+        self.longest = max(map(len, self.pieces))
+        self.index = HashIndex(np.array([_range_hashes(np.array(list(map(ord, p)), np.uint64), len(p))[-1][0] for p in self.pieces], np.uint64))
+
+
+def _range_hashes(letters: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Hashes of the ranges of 1, 2, … letters from each place; the last ones of a longer length are missing."""
+    out, h = [], np.zeros(len(letters), np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(longest, len(letters)) + 1):
+            h = (h[: len(letters) - n + 1] + letters[n - 1 :] + np.uint64(1)) * _C
+            h = h ^ (h >> np.uint64(29))
+            out.append(mixed(h))
+    return out
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """One for each process."""
+    if path not in _PIECES:
+        _PIECES[path] = Vocabulary(path)
     return _PIECES[path]
 
 
-def _edges(words: list[str], pieces: dict[str, int]):
-    """Words of one length: (start, end, piece of each word), by end; len(pieces) is an unknown character, one more no piece."""
-    n, unknown = len(words[0]), len(pieces)
-    for j in range(1, n + 1):
-        for i in range(max(0, j - LONGEST_PIECE), j):
-            none = unknown + (j - i > 1)
-            p = np.fromiter((pieces.get(w[i:j], none) for w in words), np.int32, len(words))
-            if j - i == 1 or (p < none).any():
-                yield i, j, p
+def letter_chunks(texts: pa.Array | list[bytes]) -> tuple[Chunks, list[list[str]]]:
+    """Texts in runs without blanks and other characters of ASCII than letters, and of each distinct one its words, runs of letters in lower case.
+
+    Letters are characters of the general categories L.
+    """
+    data, places = flat(texts)
+    data = _PLAIN[data]
+    chunks = Chunks.of(data, *word_spans(data, places))
+    words = []
+    for c in chunks.distinct.to_pylist():
+        t = c.decode("utf-8", "replace").lower()
+        words.append([t] if t.isalpha() else "".join(x if x.isalpha() else " " for x in t).split())
+    return chunks, words
 
 
-def _by_length(words) -> dict[int, list[str]]:
-    groups: dict[int, list[str]] = {}
-    for w in words:
-        groups.setdefault(len(w), []).append(w)
-    return groups
+class Lattice:
+    """The pieces of several words: for each place of a word, which pieces end there.
 
+    Words are in descending order of length, so those that reach a place come first. ``ending[j]`` has, for words of more
+    than j letters, the piece of each length that ends behind letter j: an unknown letter is ``len(pieces)``, no piece one more.
+    """
 
-def _forward(edges, n: int, table: np.ndarray, rows: int) -> np.ndarray:
-    """Summed probability of all segmentations of each prefix: positions x words x languages."""
-    alpha = np.zeros((n + 1, rows, table.shape[1]))
-    alpha[0] = 1
-    for i, j, p in edges:
-        alpha[j] += alpha[i] * table[p]
-    return alpha
+    def __init__(self, words: list[str], vocabulary: Vocabulary):
+        self.order = np.argsort([-len(w) for w in words], kind="stable")
+        text = "".join(words[i] for i in self.order)
+        self.sizes = np.array([len(words[i]) for i in self.order], np.int64)
+        starts = np.cumsum(self.sizes) - self.sizes
+        letters = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        self.longest = int(min(vocabulary.longest, self.sizes[0])) if len(words) else 1
+        unknown = len(vocabulary.pieces)
+        piece = np.full((len(letters), self.longest), unknown + 1, np.int32)  # of each end and length less 1
+        place = ragged(np.zeros(len(starts), np.int64), self.sizes)
+        for n, h in enumerate(_range_hashes(letters, self.longest)):
+            got = vocabulary.index(h)
+            got[got < 0] = unknown + (n > 0)
+            inside = place[n:] >= n
+            piece[n:, n][inside] = got[inside]
+        reach = np.searchsorted(-self.sizes, -np.arange(1, int(self.sizes[0]) + 1), "right") if len(words) else []
+        self.ending = [piece[starts[:r] + j] for j, r in enumerate(reach)]
+
+    def forward(self, table: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Logarithm of the summed probability of all segmentations of each prefix (by length, words x languages), and of each whole word.
+
+        Sums are taken relative to the largest of the last places, so no length underflows.
+        """
+        k = table.shape[1]
+        prefix, whole = [np.zeros((len(self.sizes), k))], np.zeros((len(self.sizes), k))
+        for j, piece in enumerate(self.ending):
+            r, n = len(piece), min(self.longest, j + 1)
+            before = np.stack([prefix[j - x][:r] for x in range(n)], 1)  # by length less 1
+            top = before.max(1)
+            total = (np.exp(before - top[:, None]) * table[piece[:, :n]]).sum(1)
+            prefix.append(top + np.log(np.maximum(total, 1e-300)))
+            whole[:r] = prefix[-1]
+        out = np.empty_like(whole)
+        out[self.order] = whole
+        return prefix, out
+
+    def expected(self, table: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Expected number of uses of each piece, over all segmentations of words that occur ``weight`` times (words x languages)."""
+        k, weight = table.shape[1], weight[self.order]
+        prefix, _ = self.forward(table)
+        most = len(self.ending)
+        rows = [len(p) for p in self.ending]
+        new = np.zeros_like(table)
+        behind: list[np.ndarray] = [np.full((r, k), -np.inf) for r in [len(self.sizes), *rows]]  # of each length of prefix
+        whole = np.zeros((len(self.sizes), k))
+        for j in range(most):
+            whole[: rows[j]] = prefix[j + 1]
+        for j in range(most - 1, -1, -1):
+            r, piece = rows[j], self.ending[j]
+            last = self.sizes[:r] == j + 1
+            behind[j + 1][last] = 0.0
+            for x in range(min(self.longest, j + 1)):
+                p = table[piece[:, x]]
+                with np.errstate(divide="ignore"):
+                    path = np.log(p) + behind[j + 1]
+                at = j - x
+                behind[at][:r] = np.logaddexp(behind[at][:r], path)
+                share = np.exp(prefix[at][:r] + path - whole[:r]) * weight[:r]
+                np.add.at(new, piece[:, x], share)
+        return new
+
+
+def grouped(words: list[str]):
+    """Numbers of words of like length, in groups of about GROUP_LETTERS letters."""
+    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+    group, total = [], 0
+    for i in order:
+        group.append(i)
+        total += len(words[i])
+        if total >= GROUP_LETTERS:
+            yield group
+            group, total = [], 0
+    if group:
+        yield group
 
 
 class Languages:
-    """Piece probabilities of each language; ``table`` is pieces, unknown character and a row of zeros x languages."""
+    """Piece probabilities of each language; ``table`` is pieces, unknown letter and a row of zeros x languages."""
 
     def __init__(self, names: list[str], table: np.ndarray, path: str):
         self.names, self.table, self.path = names, table, path
         self.key = hashlib.sha1(repr((names, path)).encode() + table.tobytes()).hexdigest()
 
     def words(self, words: list[str]) -> np.ndarray:
-        """Log-probability of each word in each language: the forward sum over all segmentations.
-
-        An endless run of letters is taken in stretches of LONGEST_WORD, so no length underflows.
-        """
+        """Log-probability of each word in each language: the forward sum over all segmentations, whatever the length."""
         out = np.zeros((len(words), len(self.names)))
-        parts = [(k, w[at : at + LONGEST_WORD]) for k, w in enumerate(words) for at in range(0, len(w), LONGEST_WORD)]
-        places: dict[str, list[int]] = {}
-        for k, w in parts:
-            places.setdefault(w, []).append(k)
-        pieces = vocabulary(self.path)
-        for n, group in _by_length(places).items():
-            last = np.log(np.maximum(_forward(_edges(group, pieces), n, self.table, len(group))[-1], 1e-300))
-            for w, s in zip(group, last, strict=True):
-                for k in places[w]:
-                    out[k] += s
+        for group in grouped(words):
+            out[group] = Lattice([words[i] for i in group], vocabulary(self.path)).forward(self.table)[1]
         return out
 
 
 def fit_pieces(counts: dict[str, dict[str, int]], path: str, rounds: int = 4, smoothing: float = 0.1) -> Languages:
     """Expectation-maximisation of piece probabilities from word counts of each language (forward-backward)."""
-    names, pieces = sorted(counts), vocabulary(path)
-    v, k = len(pieces) + 2, len(names)
+    names = sorted(counts)
+    v, k = len(vocabulary(path).pieces) + 2, len(names)
     total: dict[str, np.ndarray] = {}
     for x, name in enumerate(names):
         for w, n in counts[name].items():
-            total.setdefault(w[:LONGEST_WORD], np.zeros(k))[x] += n
-    groups = [(n, np.array([total[w] for w in ws]), list(_edges(ws, pieces))) for n, ws in _by_length(total).items()]
+            total.setdefault(w, np.zeros(k))[x] += n
+    words = list(total)
+    groups = [([words[i] for i in g], np.array([total[words[i]] for i in g])) for g in grouped(words)]
 
     def normal(x: np.ndarray) -> np.ndarray:
         x = x + smoothing
         x[-1] = 0
         return x / x.sum(0)
 
-    gather = lambda p, x: np.stack([np.bincount(p, x[:, c], v) for c in range(k)], 1)
     table = np.zeros((v, k))
-    for _, weight, edges in groups:  # first guess: pieces as often as words contain them, longer ones favoured
-        for i, j, p in edges:
-            table += gather(p, weight * (j - i))
+    for some, weight in groups:  # first guess: pieces as often as words contain them, longer ones favoured
+        lattice = Lattice(some, vocabulary(path))
+        for piece in lattice.ending:
+            for x in range(piece.shape[1]):
+                np.add.at(table, piece[:, x], weight[lattice.order][: len(piece)] * (x + 1))
     table = normal(table)
     for _ in range(rounds):
-        new = np.zeros((v, k))
-        for n, weight, edges in groups:
-            alpha = _forward(edges, n, table, len(weight))
-            beta = np.zeros_like(alpha)
-            beta[n] = weight / np.maximum(alpha[n], 1e-300)
-            for i, j, p in reversed(edges):
-                b = beta[j] * table[p]
-                beta[i] += b
-                new += gather(p, alpha[i] * b)
-        table = normal(new)
+        table = normal(sum((Lattice(some, vocabulary(path)).expected(table, weight) for some, weight in groups), np.zeros((v, k))))
     return Languages(names, table, path)
 
 
-def fit_languages(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
+def fit_languages(docs: DataFrame, path: str, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Languages:
     """Learn from text and non-null language of rows outside the held-out quarter.
 
-    Only hashes are ranked, the texts of the sample are picked by a broadcast of one limit for each language. A bounded sample: of each language the ``sample_docs`` texts with the smallest hash (a window limit that
-    Spark applies in each partition first), and of their words the ``sample_words`` most frequent, ties by word.
+    A bounded sample: of each language the ``sample_docs`` distinct texts with the smallest hash, less those that don't fit
+    into ``sample_bytes``. Only hashes are ranked (a window limit that Spark applies in each partition first); the texts of
+    the sample, whole, are picked by a broadcast of their hashes, whose number is bounded by languages x sample_docs.
     """
-    known = docs.filter(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).filter("lang is not null and t is not null")
+    text = F.col(text_col).cast("string")
+    known = docs.filter(~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text.alias("t"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size")).filter("lang is not null and t is not null")
     best = Window.partitionBy("lang").orderBy("h")
-    light = known.select("lang", F.xxhash64("t").alias("h")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs)
-    limits = light.groupBy("lang").agg(F.max("h").alias("top"))
-    near = known.withColumn("h", F.xxhash64("t")).join(F.broadcast(limits), "lang").filter("h <= top").dropDuplicates(["lang", "h"])
-    words = near.select("lang", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("lang", "w").count()
-    ranked = words.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("count"), "w"))).filter(F.col("r") <= sample_words)
+    ranked = known.groupBy("lang", "h").agg(F.max("size").alias("size")).withColumn("r", F.row_number().over(best)).filter(F.col("r") <= sample_docs)
+    chosen, left = [], {}
+    for r in ranked.select("lang", "h", "size").orderBy("lang", "h").collect():
+        if left.setdefault(r["lang"], sample_bytes) >= r["size"]:
+            left[r["lang"]] -= r["size"]
+            chosen.append((r["lang"], r["h"]))
+    if not chosen:
+        return fit_pieces({}, path)
+    want = docs.sparkSession.createDataFrame(chosen, "lang string, h long")
     counts: dict[str, dict[str, int]] = {}
-    for r in ranked.select("lang", "w", "count").collect():
-        counts.setdefault(r["lang"], {})[r["w"]] = r["count"]
+    for r in known.join(F.broadcast(want), ["lang", "h"]).groupBy("lang", "h").agg(F.min("t").alias("t")).collect():
+        mine = counts.setdefault(r["lang"], {})
+        chunks, words = letter_chunks([r["t"].encode()])
+        for x, n in enumerate(np.bincount(chunks.at, minlength=len(words)).tolist()):
+            for w in words[x]:
+                mine[w] = mine.get(w, 0) + n
     return fit_pieces(counts, path)
 
 
 def detect(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Identifier, held_out, lang_pred and score (posterior of the prediction, 0 to 1) of each row.
 
-    ``und`` with score 0 for null texts and texts without a letter, and where no language was learned. Ties
-    go to the first name. Narrow; each distinct word is summed once while the memo holds it.
+    ``und`` with score 0 for null texts and texts without a letter (general category L), and where no language was learned.
+    Ties go to the first name. Narrow; each distinct word is summed once while the memo holds it.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        from locusframe.llm.language import _CHUNKS as chunks_of
-        from locusframe.llm.language import _SUMS as sums
+        from locusframe.llm.language import _SUMS
 
         m = shared.value
         k = len(m.names)
-
-        def fresh(keys: list[bytes]) -> np.ndarray:
-            parts = [_WORD.findall(w.decode("utf-8", "replace").lower()) for w in keys]
-            known = sums.setdefault(m.key, {})
-            new = list({w for p in parts for w in p} - known.keys())
-            if len(known) > 200_000:
-                known.clear()
+        memo = _SUMS.setdefault(m.key, Memo(lambda words: [x.tobytes() for x in m.words(words)]))
+        for b in slices(batches):
+            n = b.num_rows
+            chunks, parts = letter_chunks(b.column(1))
+            pred, score = np.full(n, k), np.zeros(n)
+            if k and any(parts):
                 new = list({w for p in parts for w in p})
-            known.update(zip(new, m.words(new), strict=True))
-            zero = np.zeros(k)
-            return [known[p[0]] if len(p) == 1 else sum((known[w] for w in p), zero) for p in parts]
-
-        memo = chunks_of.setdefault(m.key, Memo(fresh, 300_000))
-        for b in slices(batches, 256):
-            pred, score = [], []
-            for t in as_bytes(b.column(1)):
-                chunks = t.split()
-                if not k or not _WORD.search(t.decode("utf-8", "replace")):
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                memo.fill(set(chunks))
-                s = np.array(list(map(memo.__getitem__, chunks))).sum(0)
-                s = np.exp(s - s.max())
-                pred.append(m.names[int(s.argmax())])
-                score.append(float(s.max() / s.sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
+                number = dict(zip(new, range(len(new)), strict=True))
+                known = np.frombuffer(b"".join(memo.values_of(new)), float).reshape(-1, k)
+                count = np.array(list(map(len, parts)))
+                at = np.array([number[w] for p in parts for w in p], np.int64)
+                total = np.concatenate([np.zeros((1, k)), np.cumsum(known[at], axis=0)])
+                ends = np.cumsum(count)
+                each = total[ends] - total[ends - count]
+                lettered = chunks.sums(count) > 0
+                s = np.stack([chunks.sums(each[:, c]) for c in range(k)], 1)
+                s = np.exp(s - s.max(1, keepdims=True))
+                pred[lettered] = s.argmax(1)[lettered]
+                score[lettered] = (s.max(1) / s.sum(1))[lettered]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([*m.names, "und"], pa.string()).take(pa.array(pred)), pa.array(score)], names=[id_col, "held_out", "lang_pred", "score"])
 
     return docs.select(id_col, text_col, held_out(id_col).alias("_held")).mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
