@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, slices
+from .common import Chunks, Memo, slices
 
 #: The labelled sample holds at most so many rows of each label, of at most so many words in all; they bound the fit on
 #: the driver and what is broadcast (sample x rank + features x rank numbers of four bytes).
@@ -39,31 +39,29 @@ def _slots(words: list[bytes]) -> list[int]:
 
 def _memo() -> Memo:
     if 0 not in _MEMOS:
-        _MEMOS[0] = Memo(_slots, 300_000)
+        _MEMOS[0] = Memo(_slots)
     return _MEMOS[0]
 
 
-def features(texts: list[bytes]) -> np.ndarray:
+def features(texts: pa.Array | list[bytes]) -> np.ndarray:
     """A row of FEATURES damped term counts for each text: hashed words, hashed shapes, and bins of three ratios.
 
     The ratios (distinct words, words equal to the one before, length) take one of a few bins each, as a term
     of its own. An empty text is a zero row but for its bins.
     """
-    memo = _memo()
-    parts = [t.split() for t in texts]
-    memo.fill(set().union(*parts))
-    get = memo.__getitem__
+    words = Chunks.words(texts)
+    code = np.array(_memo().values_of(words.distinct.to_pylist()), np.int64)
+    all_words, all_shapes = (code & 65535)[words.at] if len(code) else code, (code >> 16)[words.at] if len(code) else code
     x = np.zeros((len(texts), FEATURES), np.float32)
-    for row, p in zip(x, parts, strict=True):
-        n = len(p)
+    for row, a, b in zip(x, words.before[:-1].tolist(), words.before[1:].tolist(), strict=True):
+        n = b - a
         if n:
-            at = np.fromiter(map(get, p), np.int64, n)
-            word = at & 65535
+            word = all_words[a:b]
             row[:] = np.log1p(np.bincount(word, minlength=FEATURES))
-            row[:SHAPES] = 12 * np.sqrt(np.bincount(at >> 16, minlength=SHAPES) / n)
+            row[:SHAPES] = 12 * np.sqrt(np.bincount(all_shapes[a:b], minlength=SHAPES) / n)
             same = float((word[1:] == word[:-1]).mean()) if n > 1 else 0.0
             row[SHAPES + min(3, int(same * 8))] = 6
-            row[SHAPES + 4 + min(3, int(len(set(p)) / n**0.7))] = 3
+            row[SHAPES + 4 + min(3, int(len(np.unique(words.at[a:b])) / n**0.7))] = 3
         row[SHAPES + 8 + min(7, int(np.log10(n + 1) * 2))] = 1
     return x
 
@@ -97,11 +95,11 @@ class Voter:
         share = max(1e-6, min(1 - 1e-6, self.labels.mean()))
         self.weight = np.where(self.labels > 0.5, self.prior / share, (1 - self.prior) / (1 - share)).astype(np.float32)
 
-    def embed(self, texts: list[bytes]) -> np.ndarray:
+    def embed(self, texts: pa.Array | list[bytes]) -> np.ndarray:
         v = np.concatenate([features(texts[i : i + 256]) @ self.map for i in range(0, len(texts), 256)])
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: pa.Array | list[bytes]) -> np.ndarray:
         if not len(self.vectors):
             return np.full(len(texts), self.prior)
         near = self.embed(texts) @ self.vectors.T
@@ -123,12 +121,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max
 
     The prior is the share of label 1 among all of them. The sample is at most ``rows`` rows of each label, those
     with the smallest hash of their text, and at most ``max_bytes`` of text; both bounds are parameters. Null
-    labels and labels other than 0 and 1 are left out; a row with several labels counts with each.
+    labels and labels other than 0 and 1 are left out; a row with several labels counts with each, equal texts count
+    once for a label. Identifiers are compared as text, so they may be of any type.
     """
-    marked = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
+    marked = labels.select(F.col(id_col).cast("string").alias("_id"), F.col(label_col).cast("int").alias("y")).filter("y in (0, 1)")
     train = marked.filter(~held_out("_id") & F.col("_id").isNotNull())
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))  # texts don't move
+    key = F.col(id_col).cast("string").alias("_id")
+    hashed = docs.select(key, F.xxhash64(text).alias("h"), F.octet_length(text).alias("size"))  # texts don't move
     known = train.groupBy("y").count().collect()
     n = {r["y"]: r["count"] for r in known}
     prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
@@ -138,15 +138,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max
         got = light.filter(F.col("y") == y).dropDuplicates(["h"]).orderBy("h").limit(rows).collect()
         total = 0
         for r in got:
-            total += r["size"]
-            if total > max_bytes // 2:
-                break
-            chosen.append((r["_id"], r["y"]))
+            if total + r["size"] <= max_bytes // 2:  # a text that doesn't fit is passed over, those behind it aren't
+                total += r["size"]
+                chosen.append((r["_id"], r["h"], r["y"]))
     if not chosen:
         return Voter([], [], prior)
-    spark = docs.sparkSession
-    want = spark.createDataFrame(chosen, "_id long, y int")
-    got = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(F.broadcast(want), "_id").orderBy("_id", F.xxhash64("t")).collect()
+    want = docs.sparkSession.createDataFrame(chosen, "_id string, h long, y int")
+    texts = docs.select(key, F.xxhash64(text).alias("h"), text.alias("t")).join(F.broadcast(want), ["_id", "h"])
+    got = texts.groupBy("h", "y").agg(F.min("t").alias("t")).orderBy("h", "y").collect()  # a row for each chosen text and label, however often it occurs
     return Voter([r["t"].encode() for r in got], [r["y"] for r in got], prior)
 
 
@@ -165,7 +164,7 @@ def score_quality(docs: DataFrame, voter: Voter, threshold: float = 0.7, id_col:
     def run(batches):
         model = shared.value
         for b in slices(batches, 256):
-            s = model.scores(as_bytes(b.column(1))).astype(float).clip(0.0, 1.0)
+            s = model.scores(b.column(1)).astype(float).clip(0.0, 1.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(s, pa.float64()), pa.array((s >= threshold).astype("i4"), pa.int32()), *(b.column(i) for i in range(3, b.num_columns))], names=[id_col, "held_out", "score", "predicted", *["text_hash"] * keep_hash])
 
     columns = [id_col, text_col, held_out(id_col).alias("_held"), *[F.xxhash64(text_col).alias("_hash")] * keep_hash]

@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, shared_path, slices, stash
+from .common import shared_path, slices, stash
 from .tokens import encode_texts
 
 MAGIC = b"LFSST\x00\x01\n"
 FOOTER = struct.Struct("<8sQQQQQQI")
 HEAD, PLACE = struct.Struct("<III"), struct.Struct("<QII")
 BLOCK_BYTES, BITS_PER_KEY, PROBES = 1 << 18, 10, 7
+#: Text of a shard, about; a shard is read by one task.
+SHARD_BYTES = 64 << 20
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -83,17 +85,16 @@ class ShardWriter:
         self.at += len(record) + 1
         return record
 
-    def add(self, key: bytes, ids: np.ndarray) -> bytes | None:
-        """A finished block, if this entry ends one."""
+    def add(self, key: bytes, value: bytes) -> bytes | None:
+        """A finished block, if this entry, identifiers of the shard's width, ends one."""
         shared = 0
         if self.n:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         else:
             self.first = key
-        value = ids.astype(f"<u{self.width}").tobytes()
         self.body += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        self.last, self.n, self.n_ids = key, self.n + 1, self.n_ids + len(ids)
+        self.last, self.n, self.n_ids = key, self.n + 1, self.n_ids + len(value) // self.width
         self.keys.append(key)
         return self.flush() if len(self.body) >= BLOCK_BYTES else None
 
@@ -181,22 +182,28 @@ class Shard:
         return found
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, width: int = 2, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, append ``end_id`` to each, and write shards below ``out`` in ascending order of the identifier.
 
-    One shuffle of the texts by range of (identifier, text hash); a shard for each partition, so a hot
-    identifier is dealt over shards too. Null identifiers come first; repeated identifiers are ordered by the
-    hash of their text. ``width`` is 2 for vocabularies of up to 65,536 entries, else 4.
+    One shuffle of the texts by range of (identifier, text hash, row); a shard for each partition, of which there are
+    as many as keep shards at about ``shard_bytes`` of text, so a hot identifier or text is dealt over shards too. Null
+    identifiers come first; repeated identifiers are ordered by the hash of their text. ``width`` is 2 for vocabularies of
+    up to 65,536 entries, else 4.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    end = np.array([end_id], "<u4")
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).cast("string").alias("t"))
+    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // shard_bytes))
+    kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches):
         writer = ShardWriter(width)
         for b in slices(batches):
             out: list[bytes] = []
-            for k, ids in zip(b.column(0).to_pylist(), encode_texts(as_bytes(b.column(1)), tokenizer), strict=True):
-                record = writer.add(key_of(k), np.concatenate([np.frombuffer(ids, "<u4"), end]))
+            coded = encode_texts(b.column(1), tokenizer)
+            data, ends = coded.ids.astype(kind).tobytes(), [0, *(coded.ends * width).tolist()]
+            for i, k in enumerate(b.column(0).to_pylist()):
+                record = writer.add(key_of(k), data[ends[i] : ends[i + 1]] + end)
                 if record:
                     out.append(record)
             if out:
@@ -204,7 +211,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, wid
         if writer.keys:
             yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], names=["record"])
 
-    sharded = rows.repartitionByRange("k", "h").sortWithinPartitions("k", "h").select("k", "t").mapInArrow(run, "record binary")
+    keyed = rows.withColumns({"h": F.xxhash64("t"), "r": F.monotonically_increasing_id()})
+    sharded = keyed.repartitionByRange(shards, "k", "h", "r").sortWithinPartitions("k", "h").select("k", "t").mapInArrow(run, "record binary")
     sharded.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
 
 
@@ -216,7 +224,7 @@ def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
     """
     import pyspark.sql.types as T
 
-    schema = "shard string, first binary, place long, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    schema = "shard string, first binary, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     files = spark.read.schema(T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
@@ -224,15 +232,15 @@ def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
             name, data = b.column(0)[0].as_py(), b.column(1)[0].as_py()
             if not data:
                 continue
-            shard, cols, at = Shard(data), [[] for _ in range(7 + with_ids)], 0
+            shard, at = Shard(data), 0
             first = shard.blocks[0][0]
-            for i, (key, ids) in enumerate(shard):
-                wide = ids.astype("<u4")
-                for c, v in zip(cols, (name, first, i, id_of(key), at, len(wide), zlib.crc32(wide.tobytes()), wide.astype("i4")), strict=False):
-                    c.append(v)
-                at += len(wide)
-            kinds = [pa.string(), pa.binary(), *[pa.int64()] * 5, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=["shard", "first", "place", "doc_id", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids])
+            for i in range(len(shard.blocks)):
+                entries = [(id_of(key), ids.astype("<u4")) for key, ids in shard.block(i)]
+                sizes = [len(x) for _, x in entries]
+                places = np.cumsum([at, *sizes[:-1]])
+                at += sum(sizes)
+                columns = [pa.array([name] * len(sizes), pa.string()), pa.array([first] * len(sizes), pa.binary()), pa.array([k for k, _ in entries], pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array([zlib.crc32(x) for _, x in entries], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype("i4") for _, x in entries], pa.list_(pa.int32()))] * with_ids, names=["shard", "first", "doc_id", "local", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
     entries = stash(files.mapInArrow(run, schema), "sst-entries")
     totals = entries.groupBy("shard").agg(F.min("first").alias("first"), F.sum("n_tokens").alias("total"))
@@ -242,7 +250,11 @@ def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
 
 
 def token_shards(docs: DataFrame, tokenizer: str, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards of ``docs`` (to a new shared folder unless ``out`` is given) and read them back."""
+    """Write the shards of ``docs`` (to a new shared folder unless ``out`` is given) and read them back: doc_id, start, n_tokens, ids_crc32.
+
+    A row for each row, in the order of (identifier, text hash), null identifiers first; null and empty texts have the end
+    identifier only, repeated rows an entry each. Empty tables give an empty result.
+    """
     spark = docs.sparkSession
     out = out or shared_path(spark, "sst")
     write_shards(docs, out, tokenizer, id_col=id_col, text_col=text_col)

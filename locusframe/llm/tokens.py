@@ -14,10 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, as_bytes, slices
+from .common import Chunks, Memo, flat, ragged, slices, word_spans
 
-MEMO_CHUNKS = 300_000
-_CHUNK = re.compile(rb"[^ \t\n\r\x0b\x0c]+")
+#: Pretokens of up to so many characters have a count at each character.
+TABULATED = 256
 _LOADED: dict[tuple, object] = {}
 
 
@@ -47,7 +47,7 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
-        self.parts = Memo(self.encode_parts, MEMO_CHUNKS)
+        self.parts = Memo(self.encode_parts)
 
     def plain(self, keys: list[str]) -> list[bytes]:
         out = []
@@ -82,9 +82,9 @@ class Encoder:
         want = {m for m in split if isinstance(m, str)}
         want.update(*(m for m in split if isinstance(m, tuple)))
         want.discard("")
-        self.parts.fill(want)
+        want = list(want)
+        get = dict(zip(want, self.parts.values_of(want), strict=True)).get
         others = iter(self.plain([t for t, m in zip(texts, split, strict=True) if not m]))
-        get = self.parts.get
         return [get(m) if isinstance(m, str) else get(m[0], b"") + get(m[1]) + get(m[2], b"") if m else next(others) for m in split]
 
 
@@ -101,68 +101,94 @@ def _encoder(path: str) -> Encoder:
 def chunk_ids(path: str) -> Memo:
     """Chunk to its identifiers as little-endian unsigned 32-bit integers; one memo for each process."""
     if ("ids", path) not in _LOADED:
-        _LOADED["ids", path] = Memo(_encoder(path), MEMO_CHUNKS)
+        _LOADED["ids", path] = Memo(_encoder(path))
     return _LOADED["ids", path]
 
 
-def chunk_counts(path: str) -> Memo:
-    """Chunk to its number of tokens; one memo for each process."""
-    if ("n", path) not in _LOADED:
-        encode = _encoder(path)
-        _LOADED["n", path] = Memo(lambda keys: [len(x) // 4 for x in encode(keys)], MEMO_CHUNKS)
-    return _LOADED["n", path]
+class Encoded:
+    """Identifiers of the chunks of several texts: ``ids`` side by side, ``n`` of each chunk, ``ends`` behind each text, ``chunk_ends`` behind each text."""
 
+    def __init__(self, chunks: Chunks, path: str):
+        found = chunk_ids(path).values_of(chunks.distinct.to_pylist())
+        table, places = flat(found)
+        places, sizes = places // 4, np.array([len(x) // 4 for x in found], np.int64)
+        self.n = sizes[chunks.at]
+        self.ids = np.frombuffer(table.tobytes(), "<u4")[ragged(places[chunks.at], self.n)]
+        self.ends = np.concatenate([[0], np.cumsum(self.n)])[chunks.before[1:]]
+        self.chunk_ends = chunks.before[1:]
 
-def encode_texts(texts: list[bytes], path: str) -> list[bytes]:
-    """Identifiers of each text, as ``chunk_ids`` has them."""
-    memo = chunk_ids(path)
-    parts = [t.split() for t in texts]
-    memo.fill(set().union(*parts))
-    get = memo.__getitem__
-    return [b"".join(map(get, p)) for p in parts]
+
+def encode_texts(texts: pa.Array | list[bytes], path: str) -> Encoded:
+    """Identifiers of texts, each distinct chunk looked up once."""
+    return Encoded(Chunks.words(texts), path)
 
 
 class PrefixTable:
-    """Exact token counts of the prefixes of one text.
+    """Exact token counts of the prefixes of one text, as rows that can be stored: ``ends`` (bytes) and ``counts``.
 
     The dynamic program runs over the chunks: ``counts[i] = counts[i - 1] + tokens(chunk i)``, which is exact
     for each prefix that ends behind chunk i, or in the white space behind it. A prefix that ends inside a
-    chunk takes the entry before it and the tokens of that one cut chunk; the text is never encoded again.
+    chunk takes the entry before it and a table of that one chunk, made once: for each character of the chunk the tokens of
+    the chunk cut there. The text is never encoded again. Only in a pretoken of more than TABULATED characters are no counts
+    stored: ``count`` encodes the part of it that is left by the cut, ``fit`` stops in front of it.
     """
 
     def __init__(self, text: bytes, path: str):
         self.text, self.path = text, path
-        spans = [m.span() for m in _CHUNK.finditer(text)]
-        self.starts = np.array([s for s, _ in spans], np.int64)
-        self.ends = np.array([e for _, e in spans], np.int64)
-        self.counts = prefix_counts([text[s:e] for s, e in spans], path)
+        data, places = flat([text])
+        self.starts, self.ends, _ = word_spans(data, places)
+        self.counts = np.cumsum(Encoded(Chunks.words([text]), path).n)
+        self.inside: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @property
     def total(self) -> int:
         return int(self.counts[-1]) if len(self.counts) else 0
 
+    def _cuts(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of chunk i the bytes behind each character, and the tokens up to there."""
+        if i not in self.inside:
+            chunk = self.text[self.starts[i] : self.ends[i]]
+            self.inside[i] = cut_counts(chunk, self.path)
+        return self.inside[i]
+
     def count(self, n_bytes: int) -> int:
         """Tokens of the first ``n_bytes`` bytes, which must end at a character."""
         i = int(np.searchsorted(self.ends, n_bytes, "right"))
         n = int(self.counts[i - 1]) if i else 0
         if i < len(self.starts) and self.starts[i] < n_bytes:
-            cut = self.text[self.starts[i] : n_bytes]
-            memo = chunk_counts(self.path)
-            memo.fill({cut})
-            n += memo[cut]
+            ends, counts = self._cuts(i)
+            inside = int(counts[np.searchsorted(ends, n_bytes - self.starts[i])])
+            n += inside if inside >= 0 else len(_encoder(self.path)([self.text[self.starts[i] : n_bytes]])[0]) // 4
         return n
 
     def fit(self, budget: int) -> int:
-        """Length in bytes of the longest prefix of whole chunks with at most ``budget`` tokens."""
+        """Length in bytes of the longest prefix with at most ``budget`` tokens, without white space at its end; it ends where a count is stored."""
         i = int(np.searchsorted(self.counts, budget, "right"))
-        return int(self.ends[i - 1]) if i else 0
+        before, n = (int(self.ends[i - 1]), int(self.counts[i - 1])) if i else (0, 0)
+        if i < len(self.starts):
+            ends, counts = self._cuts(i)
+            some = np.flatnonzero((counts >= 0) & (counts <= budget - n))
+            if len(some):
+                return int(self.starts[i] + ends[some[-1]])
+        return before
 
 
-def prefix_counts(chunks: list[bytes], path: str) -> np.ndarray:
-    """The running token count behind each chunk."""
-    memo = chunk_counts(path)
-    memo.fill(set(chunks))
-    return np.cumsum(np.fromiter(map(memo.__getitem__, chunks), np.int64, len(chunks)))
+def cut_counts(chunk: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes behind characters of a chunk, and the tokens of the chunk cut there; -1 inside a pretoken of more than TABULATED characters.
+
+    Pretokens are encoded on their own, so the counts at their borders stay when the cut moves on, and only the pretoken that
+    is cut counts anew. Chunks beyond ASCII are one stretch, since the library may change them as a whole.
+    """
+    tokenizer = _encoder(path).tokenizer
+    text = chunk.decode("utf-8", "replace")
+    ends = np.cumsum([len(c.encode()) for c in text])
+    stops = [b for _, (_, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text.lower())] if text.isascii() and "<|" not in text else []
+    counts, base, start = np.full(len(text), -1, np.int64), 0, 0
+    for stop in sorted({*stops, len(text)}):
+        cuts = [text[start:j] for j in (range(start + 1, stop + 1) if stop - start <= TABULATED else [stop])]
+        counts[stop - len(cuts) : stop] = [base + len(e.ids) for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
+        base, start = int(counts[stop - 1]), stop
+    return ends, counts
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
@@ -171,23 +197,26 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     A row for each row: the identifier (as it is, null and repeats too), n_bytes (UTF-8), n_tokens,
     over_limit (n_tokens > limit), n_chunks and fit_chunks (the most leading chunks within the limit, from
     the prefix counts). With ``store`` also ends and counts: byte offset behind each chunk and tokens up to
-    there. Null and empty texts have no tokens. Narrow: no shuffle, memory for a slice of 512 rows.
+    there. Null and empty texts have no tokens. Narrow: no shuffle, memory for a slice of about a megabyte or the longest text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, fit_chunks long" + ", ends array<long>, counts array<long>" * store
 
     def run(batches):
-        memo = chunk_counts(path)
+        memo = chunk_ids(path)
         for b in slices(batches):
-            texts = as_bytes(b.column(1))
-            parts = [t.split() for t in texts]
-            memo.fill(set().union(*parts))
-            tables = [np.cumsum(np.fromiter(map(memo.__getitem__, p), np.int64, len(p))) for p in parts]
-            n = [int(c[-1]) if len(c) else 0 for c in tables]
-            fits = [len(c) if k <= limit else int(np.searchsorted(c, limit, "right")) for c, k in zip(tables, n, strict=True)]
-            out = [b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_()), pa.array(map(len, parts), pa.int64()), pa.array(fits, pa.int64())]
+            data, places = flat(b.column(1))
+            start, end, before = word_spans(data, places)
+            chunks = Chunks.of(data, start, end, before)
+            sizes = np.array([len(x) // 4 for x in memo.values_of(chunks.distinct.to_pylist())], np.int64)
+            total = np.concatenate([[0], np.cumsum(sizes[chunks.at] if len(sizes) else np.zeros(0, np.int64))])
+            n = total[before[1:]] - total[before[:-1]]
+            fits = np.searchsorted(total, total[before[:-1]] + limit, "right") - 1
+            fits = np.minimum(fits, before[1:]) - before[:-1]
+            out = [b.column(0), *map(pa.array, (np.diff(places), n, n > limit, np.diff(before), fits))]
             if store:
-                out += [pa.array([[m.end() for m in _CHUNK.finditer(t)] for t in texts], pa.list_(pa.int64())), pa.array(tables, pa.list_(pa.int64()))]
+                spans = pa.array(before, pa.int32())
+                out += [pa.ListArray.from_arrays(spans, pa.array(end - np.repeat(places[:-1], np.diff(before)))), pa.ListArray.from_arrays(spans, pa.array(total[1:] - np.repeat(total[before[:-1]], np.diff(before))))]
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "fit_chunks", *["ends", "counts"] * store])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
