@@ -8,52 +8,51 @@ similarity, and full sets confirm each link.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Memo, as_bytes, slices, stash
+from .common import Steps, flat, lowered, mixed, slices, span_hashes, word_spans
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 3
-#: Estimates below the threshold by no more than five standard deviations of the estimator go on to the full sets.
+#: Estimates below the threshold by no more than five standard deviations of the estimator go on to the full sets; infinity sends all.
 DEVIATIONS = 5.0
-#: Buckets of up to so many sets are paired by a join, larger ones in blocks of that size; both ways are complete.
-BLOCK = 64
+#: Buckets of up to so many sets are paired by a join; larger ones are searched by pivots. Both ways are complete.
+SMALL = 16
 
 _MULTIPLIERS = np.random.default_rng(20240131).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
-_WORDS: dict[int, Memo] = {}
-
-
-def _memo() -> Memo:
-    if 0 not in _WORDS:
-        _WORDS[0] = Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 150_000)
-    return _WORDS[0]
+_NO_ID = -(1 << 62)
+_LOW = lowered()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
-def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[bytes], k: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the k-word shingles of each text, A-Z in lower case; a shorter text is one shingle, an empty one none."""
-    parts = [t.lower().split() for t in texts]
-    memo = _memo()
-    memo.fill(set().union(*parts))
-    get, out = memo.__getitem__, []
+    data, places = flat(texts)
+    start, end, before = word_spans(data, places)
+    w = span_hashes(data, start, end, _LOW)
     with np.errstate(over="ignore"):
-        for p in parts:
-            w = np.fromiter(map(get, p), np.uint64, len(p))
-            n = max(1, len(w) - k + 1) if len(w) else 0
-            h = np.full(n, min(len(w), k), np.uint64)
-            for i in range(min(k, len(w))):
-                h = h * _C + w[i : i + n]
-            out.append(np.unique(_mix(h)))
+        h = np.full(max(0, len(w) - k + 1), k, np.uint64)
+        for i in range(k):
+            h = h * _C + w[i : i + len(h)]
+        h = mixed(h)
+        out = []
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            if b - a >= k:
+                x = np.sort(h[a : b - k + 1])
+                new = np.ones(len(x), bool)
+                np.not_equal(x[1:], x[:-1], out=new[1:])
+                out.append(x[new])
+            else:
+                x = np.full(min(1, b - a), b - a, np.uint64)
+                for i in range(a, b):
+                    x = x * _C + w[i]
+                out.append(mixed(x))
     return out
 
 
@@ -61,16 +60,21 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     """SetSketch of a set that isn't empty."""
     least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
-        for at in range(0, len(shingles), 1024):
-            np.minimum(least, np.multiply.outer(shingles[at : at + 1024], _MULTIPLIERS).min(0), out=least)
+        for at in range(0, len(shingles), 512):
+            np.minimum(least, np.multiply.outer(_MULTIPLIERS, shingles[at : at + 512]).min(1), out=least)
+    return least
+
+
+def scaled(least: np.ndarray) -> np.ndarray:
+    """Registers from the least hashes: exponentially spaced, cut to 16 bits."""
     h = -np.log1p(-(least.astype(np.float64) + 0.5) / 2.0**64) / RATE
     return np.clip(np.floor(1 - np.log(np.maximum(h, 1e-300)) / np.log(BASE)), 0, TOP).astype(np.uint64)
 
 
 def band_keys(k: np.ndarray) -> np.ndarray:
-    """A key for each band: its number and its registers, 16 bits each."""
-    r = k.reshape(BANDS, ROWS)
-    return (np.arange(BANDS, dtype=np.uint64) << np.uint64(48) | r[:, 0] << np.uint64(32) | r[:, 1] << np.uint64(16) | r[:, 2]).astype(np.int64)
+    """A key for each band (sets x bands): its number and its registers, 16 bits each."""
+    r = k.reshape(-1, BANDS, ROWS)
+    return (np.arange(BANDS, dtype=np.uint64) << np.uint64(48) | r[:, :, 0] << np.uint64(32) | r[:, :, 1] << np.uint64(16) | r[:, :, 2]).astype(np.int64)
 
 
 def _share(x: np.ndarray) -> np.ndarray:
@@ -112,18 +116,20 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (hash of the set, null for none) and bands of each row."""
 
     def run(batches):
-        for b in slices(batches, 256):
-            sets = shingle_sets(as_bytes(b.column(1)), k)
+        for b in slices(batches):
+            sets = shingle_sets(b.column(1), k)
+            n = np.array(list(map(len, sets)))
             nodes = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in sets]
-            bands = [band_keys(registers(s)) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(map(len, sets), pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
+            keys = band_keys(scaled(np.array([registers(s) for s in sets if len(s)]).reshape(-1, BANDS * ROWS)))
+            bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), bands], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b), those whose estimate isn't clearly below the threshold."""
+    """Of the pairs (a, b), those whose estimate isn't clearly below the threshold, with the estimate."""
     least = _least_estimate(threshold)
     sides = [nodes.select(F.col("node").alias(x), F.col("bands").alias(f"bands_{x}"), F.col("n_shingles").alias(f"n_{x}")) for x in "ab"]
 
@@ -133,45 +139,51 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
             n = [t.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("n_a", "n_b")]
             est = estimate((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), *n)
             keep = pa.array(est >= least)
-            yield pa.RecordBatch.from_arrays([t.column("a").filter(keep), t.column("b").filter(keep)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in (t.column("a"), t.column("b"), pa.array(est))], names=["a", "b", "estimate"])
 
-    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "bands_a", "bands_b", "n_a", "n_b").mapInArrow(run, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "bands_a", "bands_b", "n_a", "n_b").mapInArrow(run, "a long, b long, estimate double")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
-    wanted = stash(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "rep", "n_shingles"), "node"), "near-wanted")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    keys = wanted.select("node", F.coalesce("rep.doc_id", F.lit(-(1 << 62))).alias("i"), F.col("rep.text_hash").alias("h"))
+def full_sets(nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """node and its whole set, from the text of its representative row."""
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    keys = nodes.select("node", F.coalesce("rep.doc_id", F.lit(_NO_ID)).alias("i"), F.col("rep.text_hash").alias("h"))
 
     def run(batches):
-        for b in slices(batches, 256):
-            sets = shingle_sets(as_bytes(b.column(1)), k)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+        for b in slices(batches):
+            sets = shingle_sets(b.column(1), k)
+            ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "shingles"])
+
+    return texts.join(keys, ["i", "h"]).dropDuplicates(["node"]).select("node", "t").mapInArrow(run, "node long, shingles array<long>")
 
-    full = stash(texts.join(keys, ["i", "h"]).dropDuplicates(["node"]).select("node", "t").mapInArrow(run, "node long, shingles array<long>"), "near-sets")
-    a = full.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
-    b = full.select(F.col("node").alias("b"), F.col("shingles").alias("r"))
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b), those with 100 * intersection >= percent * union of the full sets."""
+    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("s"))
+    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("r"))
     both = F.size(F.array_intersect("s", "r"))
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("s") + F.size("r") - both)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, steps: Steps) -> DataFrame:
     """node and comp (the least node that is reachable) for each node of the edges (a, b).
 
     Rounds of least label over neighbours and one pointer jump, until nothing changes; each round is written to
-    the shared folder. The rounds grow with the logarithm of the diameter as a rule.
+    the shared folder and the one before it deleted. The rounds grow with the logarithm of the diameter as a rule.
     """
-    both = stash(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "cc-edges")
-    labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "cc")
+    both = steps.stash(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "cc-edges")
+    labels = steps.stash(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "cc")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
         low = labels.join(near, "node").select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
         up = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
-        new = stash(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("comp"), "old"), "cc")
-        labels = new.select("node", "comp")
+        new = steps.stash(low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("comp"), "old"), "cc")
+        steps.drop(labels)
+        labels = new
         if new.filter("comp <> old").isEmpty():
-            return labels
+            steps.drop(both)
+            return new.select("node", "comp")
 
 
 def _hub_pairs(entries: DataFrame) -> DataFrame:
@@ -180,77 +192,110 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(hubs, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _cross_pairs(entries: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of sets that share a bucket but no component yet.
+def _pairs_within(rows: DataFrame, by: list[str], free: str | None = None) -> DataFrame:
+    """Pairs of sets of different components that agree in ``by``; with ``free`` at least one of the two is marked so."""
+    other = rows.select(*by, F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias("free_b") for c in (free,) if c])
+    paired = rows.join(other, by).filter("comp <> comp_b and node < b")
+    return (paired.filter(F.col(free) | F.col("free_b")) if free else paired).select(F.col("node").alias("a"), "b").distinct()
 
-    Buckets of one component are left out whole. Sets of buckets of up to BLOCK sets are joined with each other; a
-    larger bucket is cut into blocks by a hash of the set, and pairs of blocks are compared inside tasks that
-    give only pairs with a high estimate.
+
+def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rows (g, pivot, node, comp) with linked (the node's set is similar enough to the pivot's), d (the elements in which the two sets differ) and most.
+
+    Two sets of similarity s = percent / 100 differ in at most q = (1 - s) / (1 + s) of the sum of their sizes. If
+    A isn't linked to the pivot and B is linked to A, what A and B have in common in their differences from the pivot is
+    at least |D(A)| - |A| (1 - s) / s; more than |D(B)| s / (1 + s) if B is linked to the pivot; and not nothing. So in any
+    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common.
     """
-    least = _least_estimate(threshold)
-    known = entries.join(labels, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    known = stash(known, "near-entries")
-    mixed = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi")
-    rows = stash(known.join(mixed.select("key", "n"), "key"), "near-mixed")
-    few = rows.filter(F.col("n") <= BLOCK).drop("n")
-    other = few.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    paired = few.join(other, "key").filter("comp < comp_b").select(F.col("node").alias("a"), "b").distinct()
-    found = likely(paired, nodes, threshold)
-
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = rows.filter(F.col("n") > BLOCK).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    many = many.join(nodes.select("node", "bands", "n_shingles"), "node")
-    dealt = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "comp", "bands", "n_shingles")
-
-    def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        p, q = table.column("p")[0].as_py(), table.column("q")[0].as_py()
-        block, node, comp, size = (table.column(c).to_numpy() for c in ("block", "node", "comp", "n_shingles"))
-        regs = _unpack(table.column("bands").combine_chunks()).astype(np.int32)
-        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
-        a, b = [], []
-        for i in left:
-            x = regs[i]
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if p == q else True)]
-            if len(js):
-                y = regs[js]
-                est = estimate((x > y).sum(1), (x < y).sum(1), (x == y).sum(1), np.full(len(js), float(size[i])), size[js].astype(float))
-                js = js[est >= least]
-                a += [node[i]] * len(js)
-                b += list(node[js])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    blocked = dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
-    return found.union(blocked).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    mine = sets.select("node", F.col("shingles").alias("s"))
+    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("r"))
+    far = rows.join(mine, "node").join(pivots, "pivot").select("g", "pivot", "node", "comp", F.size("s").alias("n"), F.size("r").alias("m"), F.concat(F.array_except("s", "r"), F.array_except("r", "s")).alias("d"))
+    far = far.withColumn("linked", (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("m")))
+    overlap = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * (100 - percent) / percent), F.when(F.col("linked"), F.floor(F.size("d") * percent / (100 + percent)) + 1).otherwise(1))
+    return far.select("g", "pivot", "node", "comp", "linked", "d", (F.size("d") - overlap + 1).alias("most"))
+
+
+def _rarest(far: DataFrame) -> DataFrame:
+    """g, node, comp, linked and e, for the ``most`` elements of each set's difference that are in the fewest differences of its group."""
+    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", F.explode("d").alias("e"))
+    counts = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
+    ranked = spread.join(counts, ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "e")))
+    return ranked.filter("rank <= most and n > 1").select("g", "node", "comp", "linked", "e")
+
+
+def _by_pivots(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, percent: int, steps: Steps):
+    """Links between sets of rows (g, pivot, node, comp) that are of one group g and different components, group by group of any size.
+
+    Each set is compared with the group's pivot, in full. Sets that aren't linked to it can only be linked to sets with
+    which they share elements of their differences (``_differences``); the sets that share one are paired if they are few, and else
+    are a group with a pivot of its own among them. Such a group is smaller by its pivot at least, so this ends.
+    Yields DataFrames of links (a, b).
+    """
+    while not rows.isEmpty():
+        far = steps.stash(_differences(rows, sets, percent), "near-differences")
+        yield far.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+        spread = steps.stash(_rarest(far), "near-rarest")
+        groups = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.col("linked"), F.xxhash64("node"), "node")).alias("p"))
+        groups = groups.filter("some and lo <> hi").select("g", "e", "n", F.col("p.node").alias("p"))
+        shared = steps.stash(spread.join(groups, ["g", "e"]), "near-shared")
+        few = shared.filter(F.col("n") <= SMALL).withColumn("free", ~F.col("linked"))
+        yield verified(likely(_pairs_within(few, ["g", "e"], "free"), nodes, threshold), sets, percent)
+        many = shared.filter(F.col("n") > SMALL).select(F.xxhash64("g", "p").alias("g"), F.col("p").alias("pivot"), "node", "comp").distinct()
+        rows = steps.stash(many, "near-groups")
+
+
+def _mixed_buckets(entries: DataFrame, labels: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
+    """Of buckets with sets of several components: the rows (key, node, comp) of small ones, and (g, pivot, node, comp) of large ones.
+
+    The pivot of a large bucket is the least set of its largest component, so buckets of one family of sets
+    have one pivot, and a set is compared with it once.
+    """
+    size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    known = entries.join(labels.join(size, "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    known = steps.stash(known, "near-entries")
+    mixed_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "comp"))["comp"].alias("pivot")).filter("lo <> hi")
+    rows = steps.stash(known.join(mixed_.select("key", "n", "pivot"), "key"), "near-mixed")
+    large = rows.filter(F.col("n") > SMALL).select(F.col("pivot").alias("g"), "pivot", "node", "comp").distinct()
+    return rows.filter(F.col("n") <= SMALL), steps.stash(large, "near-groups")
 
 
 def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, component_id (least doc_id reachable over links) and kept of each row.
 
-    Texts with equal shingle sets are one node, so exact copies never meet in a bucket. First each set of a bucket is
-    compared with the bucket's least set, and confirmed links make components; then sets that share a bucket but
-    no component are compared, and their links join components. All steps are linear in the rows but for sets that
-    collide without being alike. Two sets at the threshold share no band with a probability below 1e-9.
+    Texts with equal shingle sets are one node, so exact copies never meet in a bucket. First each set is compared with the least
+    set of its buckets of which the estimate is highest, and confirmed links make components. Then the sets that share a bucket but no
+    component are searched: small buckets pair by pair, large ones by pivots. Links are a forest and a little more,
+    never all pairs of a group; all steps are linear in the rows but for sets that collide without being alike. Two sets
+    at the threshold share no band with a probability below 1e-9, and a pair's estimate is five deviations too low with one below
+    3e-7 (in buckets of up to SMALL sets only; ``DEVIATIONS = inf`` looks at all pairs).
 
     Null and empty texts have no shingles, no links and their own doc_id as component. A null doc_id takes part
     like any other; component_id is the least doc_id that isn't null. Repeated rows are linked like copies. kept:
-    doc_id equals component_id (both null counts as equal), so repeated rows are kept or dropped together.
+    doc_id equals component_id (both null counts as equal), so repeated rows are kept or dropped together. An empty table gives
+    an empty result.
     """
-    threshold = percent / 100
-    rows = stash(sketches(docs, k, id_col, text_col), "near-rows")
-    nodes = stash(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "near-nodes")
-    entries = nodes.select("node", F.explode("bands").alias("key"))
-    pairs = stash(likely(_hub_pairs(entries), nodes, threshold), "near-pairs")
-    links = stash(verified(pairs, nodes, docs, k, percent, id_col, text_col), "near-links")
-    labels = components(links)
-    more = stash(_cross_pairs(entries, labels, nodes, threshold), "near-pairs")
-    if not more.isEmpty():
-        second = stash(verified(more, nodes, docs, k, percent, id_col, text_col), "near-links")
-        if not second.isEmpty():
-            labels = components(links.union(second))
+    threshold, steps = percent / 100, Steps(docs.sparkSession)
+    rows = steps.stash(sketches(docs, k, id_col, text_col), "near-rows")
+    nodes = steps.stash(rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.min("doc_id").alias("least"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n_shingles")), "near-nodes")
+    spread = nodes.select("node", F.explode("bands").alias("key"))
+    shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    entries = steps.stash(spread.join(shared, "key"), "near-buckets")
+    met = steps.stash(nodes.join(entries.select("node").distinct(), "node", "left_semi"), "near-met")
+    sets = steps.stash(full_sets(met, docs, k, id_col, text_col), "near-sets")
+
+    best = likely(_hub_pairs(entries), met, threshold).groupBy("b").agg(F.max(F.struct("estimate", "a"))["a"].alias("a")).select("a", "b")
+    links = [steps.stash(verified(best, sets, percent), "near-links")]
+    labels = components(links[0], steps)
+    few, many = _mixed_buckets(entries, labels, steps)
+    pairs = steps.stash(likely(_pairs_within(few, ["key"]), met, threshold), "near-pairs")
+    more = [verified(pairs, sets, percent), *_by_pivots(many, met, sets, threshold, percent, steps)]
+    second = steps.stash(functools.reduce(DataFrame.union, [x.select("a", "b") for x in more]), "near-links")
+    if not second.isEmpty():
+        labels = components(links[0].union(second), steps)
     named = labels.join(nodes.select("node", "least"), "node")
     of = named.join(named.groupBy("comp").agg(F.min("least").alias("component")), "comp").select("node", "component")
-    single = nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
+    single = steps.stash(nodes.select("node", "least").join(of, "node", "left").select("node", F.coalesce("component", "least").alias("component")), "near-of")
     out = rows.select("doc_id", "text_hash", "n_shingles", "node").join(single, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    out = out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return steps.keep(out, "near-result")
