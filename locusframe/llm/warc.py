@@ -22,6 +22,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
+#: Payload of an archive, about; an archive is read by one task.
+ARCHIVE_BYTES = 64 << 20
 
 
 def digest(payload: bytes) -> str:
@@ -49,7 +51,7 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     if not m:
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", m.end() - 2)
-    if stop < 0 or stop - at > 65536:
+    if stop < 0:
         raise ValueError("header does not end")
     head = {}
     for line in data[m.end() : stop].split(b"\r\n"):
@@ -57,6 +59,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         if not sep:
             raise ValueError("bad header line")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
+    if not head.get("warc-type") or not head.get("warc-record-id"):
+        raise ValueError("a field that each record has is missing")
     if not head.get("content-length", "").isdigit():
         raise ValueError("no length")
     start = stop + 4
@@ -72,45 +76,38 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, block, end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; ValueError if it is damaged or cut off."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Content and end of the gzip member at ``at``; of a damaged or cut one what could be read, and why it ended."""
     z, view, out = zlib.decompressobj(31), memoryview(data), []
-    try:
-        while at < len(data) and not z.eof:
+    while at < len(data) and not z.eof:
+        before = z.copy()
+        try:
             out.append(z.decompress(view[at : at + 65536]))
-            at = min(len(data), at + 65536)
-    except zlib.error as e:
-        raise ValueError(f"member is damaged: {e}") from None
-    if not z.eof:
-        raise ValueError("member is cut off")
-    return b"".join(out), at - len(z.unused_data)
+        except zlib.error as e:
+            for k in range(at, at + 65536):
+                try:
+                    out.append(before.decompress(view[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, f"member is damaged: {e}"
+        at = min(len(data), at + 65536)
+    return b"".join(out), at - len(z.unused_data), "" if z.eof else "member is cut off"
 
 
 def _members(data: bytes):
-    """(start, end, bytes or None, why): gzip members in order; after a failure the search goes on at the next magic that opens a whole one."""
+    """(start, end, content, why): gzip members in order. A damaged one, or bytes that are none, end at the next magic that opens a whole member, or one whose content begins as a record."""
     at = 0
     while at < len(data):
-        if data[at] in b"\x00\n":  # what the writer put between members
-            at += 1
-            continue
-        why = "no gzip member"
-        if data.startswith(_MEMBER, at):
-            try:
-                body, end = _inflate(data, at)
-                yield at, end, body, ""
-                at = end
-                continue
-            except ValueError as e:
-                why = str(e)
-        nxt = data.find(_MEMBER, at + 1)
-        while nxt >= 0:
-            try:
-                _inflate(data, nxt)
-                break
-            except ValueError:
-                nxt = data.find(_MEMBER, nxt + 1)
-        end = len(data) if nxt < 0 else nxt
-        yield at, end, None, why
+        body, end, why = _inflate(data, at) if data.startswith(_MEMBER, at) else (b"", at, "no gzip member")
+        if why:
+            end = data.find(_MEMBER, at + 1)
+            while end >= 0:
+                found, _, bad = _inflate(data, end)
+                if not bad or _VERSION.match(found):
+                    break
+                end = data.find(_MEMBER, end + 1)
+            end = len(data) if end < 0 else end
+        yield at, end, body, why
         at = end
 
 
@@ -119,15 +116,16 @@ def salvage(data: bytes, base: int = 0):
 
     Yields ("record", start, end, headers, block) and ("gap", start, end, reason, None); offsets are bytes of
     the file (of gzip archives those of the member). After a failed check the search goes on at the next
-    version line whose record passes all checks, or the next whole gzip member; the bytes between are a gap.
+    version line whose record passes all checks, or the next gzip member; the bytes between are a gap. A damaged member is a gap,
+    but records in what could be read of it are given too, if they pass all checks.
     """
     if data.startswith(_MEMBER) or (_MEMBER in data and not _VERSION.search(data)):
         for start, end, body, why in _members(data):
-            if body is None:
+            if why:
                 yield "gap", base + start, base + end, why, None
-                continue
             for kind, _, _, x, block in salvage(body):
-                yield kind, base + start, base + end, x, block
+                if kind == "record" or not why:
+                    yield kind, base + start, base + end, x, block
         return
     at = 0
     while at < len(data):
@@ -166,21 +164,28 @@ def with_originals(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("largest")), F.col("largest")).alias("refers_to"))
 
 
-def write_warc(pages: DataFrame, out: str, member_gzip: bool = False) -> None:
-    """A record for each row of ``pages`` (page_id, url, html) to archives below ``out``.
+def _member(record: bytes) -> bytes:
+    """A gzip member that ends in a zero byte, as the top byte of a length below 16 MB is; an empty member follows a longer one."""
+    made = gzip.compress(record, 6, mtime=0)
+    return made if made[-1] == 0 else made + gzip.compress(b"", 6, mtime=0)
+
 
-    ``member_gzip`` writes each record as a gzip member of its own, with a zero byte of padding behind each.
+def write_warc(pages: DataFrame, out: str, member_gzip: bool = False, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """A record for each row of ``pages`` (page_id, url, html) to archives below ``out``, of about ``archive_bytes`` of payload.
+
+    ``member_gzip`` writes each record as a gzip member of its own; their last byte, zero, is the line separator of the
+    text writer, so nothing stands between members.
     """
 
     def run(batches):
         for b in slices(batches, 256):
             ids, urls, refs = (b.column(i).to_pylist() for i in (0, 1, 3))
             made = [record(*x) for x in zip(ids, urls, as_bytes(b.column(2)), refs, strict=True)]
-            made = [gzip.compress(x, 6, mtime=0) for x in made] if member_gzip else [x[:-1] for x in made]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["record"])
+            yield pa.RecordBatch.from_arrays([pa.array([_member(x)[:-1] if member_gzip else x[:-1] for x in made], pa.binary())], names=["record"])
 
+    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("html").cast("string")))).first()
     lines = with_originals(pages).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\x00" if member_gzip else "\n").text(out)
+    lines.write.option("lineSep", "\x00" if member_gzip else "\n").option("maxRecordsPerFile", max(1, n * archive_bytes // max(1, size or 1))).text(out)
 
 
 _FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -190,8 +195,7 @@ def scan_warc(spark, path: str) -> DataFrame:
     """Records and gaps of the archives below ``path``.
 
     kind (record, gap), file, start, stop, reason (of gaps), record_id, record_type, url, refers_to,
-    payload_bytes (of the full payload), payload_digest and payload (null for revisits). A file is read by one task, so
-    archives are kept to the usual gigabyte.
+    payload_bytes (of the full payload), payload_digest and payload (null for revisits). A file is read by one task.
     """
     schema = "kind string, file string, start long, stop long, reason string, record_id string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary"
     names = [x.split()[0] for x in schema.split(", ")]
@@ -233,7 +237,11 @@ def quarantine(spark, path: str) -> DataFrame:
 
 
 def page_archive(pages: DataFrame, out: str | None = None) -> DataFrame:
-    """Write the archives of ``pages`` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archives of ``pages`` and read them back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    A row for each row, repeated ones too. A null html is an empty payload; a null page_id comes back null, and refers to
+    the largest page_id of its payload, or is a response where that is null too. An empty table gives an empty result.
+    """
     spark = pages.sparkSession
     out = out or shared_path(spark, "warc")
     write_warc(pages, out, member_gzip=True)
