@@ -16,8 +16,8 @@ _CUT = r"\n(?=[ \t\x0B\f\r]*[^ \t\n\x0B\f\r])"
 _GAP, _BLANK = r"[ \t\n\x0B\f\r]", r"[ \t\x0B\f\r]"
 _START = r"(?<![^ \t\n\x0B\f\r])"
 _NO_ID = -(1 << 62)
-#: So many groups of words are joined to one at a time.
-RADIX = 6
+#: So many groups of words are joined to one at a time; fingerprints are of so many words where windows are long enough.
+RADIX = 7
 
 
 def _units(text: Column) -> Column:
@@ -40,19 +40,23 @@ def _over(values: Column, n: int, join, body, size: int = 1) -> Column:
 
 
 def _marks(hashes: Column, min_words: int) -> Column:
-    """The least hash a of the word groups of each window of ``min_words`` words, once for all neighbouring windows s to e that share it, and the hash c of their words."""
-    k = 1 << max(0, min_words.bit_length() - 2)
+    """The least hash a of the word groups of each window of ``min_words`` words, once for all neighbouring windows s to e that share it, the hash c of their words, and at how many places in them the least hash is."""
+    k = min(RADIX, 1 << max(0, min_words.bit_length() - 2))
 
-    def runs(m: Column) -> Column:
+    width = min_words - k + 1
+
+    def runs(groups: Column, m: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
         def mark(s: Column, at: Column, j: Column) -> Column:
             end = F.coalesce(F.get(s, j + 1), F.size(m)) - 1
-            return F.struct(F.get(m, at).alias("a"), F.xxhash64(F.slice(hashes, at + 1, end - at + min_words)).alias("c"), at.alias("s"), end.alias("e"))
+            held = F.slice(groups, at + 1, end - at + width)
+            places = F.size(held) - F.size(F.array_remove(held, F.get(m, at)))
+            return F.struct(F.get(m, at).alias("a"), F.xxhash64(F.slice(hashes, at + 1, end - at + min_words)).alias("c"), at.alias("s"), end.alias("e"), places.alias("places"))
 
         return _let(starts, lambda s: F.transform(s, lambda at, j: mark(s, at, j)))
 
-    return _over(hashes, k, F.xxhash64, lambda x: _over(x, min_words - k + 1, F.least, runs))
+    return _over(hashes, k, F.xxhash64, lambda x: _over(x, width, F.least, lambda m: runs(x, m)))
 
 
 def _windows(hashes: Column, marks: Column, min_words: int) -> Column:
@@ -79,7 +83,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     """i, h (identifier, null as a number below all, and text hash) and gone (first and last word of passages to delete) of each document with repeats.
 
     1. In each text every window of ``min_words`` words selects the least hash of the groups of words in it. Equal
-       windows select the same, so a window whose least hash is at one place only can't be part of a repeat and goes.
+       windows select the same, so a window whose least hash is at one place only can't be part of a repeat and goes
+       (neighbours that select one hash at several places, as in a text that repeats itself at once, stay).
     2. Neighbouring windows with one selection are a stretch. A stretch with an earlier place is a repeat as a whole.
        It can't hold the first place of a window, so only the windows of first stretches go on.
     3. Those join the first place, by (identifier, text hash, word), of a window of equal content.
@@ -96,12 +101,12 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
         return F.when(F.size(hashes) >= min_words, _marks(hashes, min_words))
 
     marks = stash(rows.filter(F.length("t") >= 2 * min_words - 1).select("i", "h", F.explode(_let(_words(F.col("t")), long_enough)).alias("x")).select("i", "h", "x.*"), "lines-marks")
-    again = marks.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    again = marks.groupBy("a").agg(F.sum("places").alias("n")).filter("n > 1").select("a")
     here = F.struct("i", "h", "s", "e").alias("src")
     stretches = stash(marks.join(again, "a", "left_semi"), "lines-again")
-    firsts = stash(stretches.groupBy("a", "c").agg(F.min(here).alias("src"), F.count(F.lit(1)).alias("n")), "lines-first")
+    firsts = stash(stretches.groupBy("a", "c").agg(F.min(here).alias("src"), F.count(F.lit(1)).alias("n"), F.max("places").alias("places")), "lines-first")
     copies = stretches.join(firsts.filter("n > 1").select("a", "c", "src"), ["a", "c"]).filter(F.struct("i", "h", "s", "e") != F.col("src"))
-    mixed = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    mixed = firsts.groupBy("a").agg(F.sum("places").alias("n")).filter("n > 1").select("a")
     held = stash(firsts.join(mixed, "a", "left_semi").select("src.*", "a").groupBy("i", "h").agg(F.collect_list(F.struct("a", "s", "e")).alias("marks")), "lines-held")
     windows = rows.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
     kept = stash(windows.select("i", "h", "x.*"), "lines-windows")
@@ -115,7 +120,7 @@ def _without(text: Column, gone: Column) -> Column:
     """n (lines that lost words) and t (the text without the words of ``gone``)."""
     lead = F.regexp_extract(text, rf"\A{_GAP}*", 0)
     # a word with the white space behind it; k or d in front says whether it stays, d stands for the word
-    pieces = F.split(F.ltrim(text, F.lit(SPACE)), rf"(?<={_GAP})(?=[^ \t\n\x0B\f\r])")
+    pieces = F.regexp_extract_all(text, F.lit(rf"[^ \t\n\x0B\f\r]+{_GAP}*"), F.lit(0))
 
     def tagged(p: Column, j: Column) -> Column:
         out = F.exists(gone, lambda r: (j >= r["s"]) & (j <= r["e"]))
@@ -146,7 +151,10 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.withColumns({"_lf_i": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_lf_h": F.xxhash64(text)})
     joined = keyed.join(gone, ["_lf_i", "_lf_h"], "left")
-    new = F.when(F.col("_lf_gone").isNotNull(), _without(text, F.col("_lf_gone")))
-    lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long")
-    columns = [F.when(F.col("_lf_gone").isNull(), F.col(text_col)).otherwise(F.col("_lf_new.t")).alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.withColumn("_lf_new", new).select(*columns, lines.alias("n_lines"), F.coalesce(F.col("_lf_new.n"), F.lit(0)).cast("long").alias("n_removed"))
+    lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias("n_lines")
+    old = F.struct(lines, F.lit(0).cast("long").alias("n_removed"), F.col(text_col).cast("string").alias("_lf_text"))
+    cut = _let(_without(text, F.col("_lf_gone")), lambda x: F.struct(lines, x["n"].cast("long").alias("n_removed"), x["t"].alias("_lf_text")))
+    others = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
+    # a generator computes its rows once, however often their columns are used
+    made = joined.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(F.when(F.col("_lf_gone").isNull(), old).otherwise(cut))))
+    return made.select(*[F.col("_lf_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -81,7 +82,7 @@ def test_op2_lookup():
     writer = sstable.ShardWriter()
     data = b""
     for i in range(-50, 3000):
-        got = writer.add(sstable.key_of(i), np.arange(abs(i) % 70))
+        got = writer.add(sstable.key_of(i), np.arange(abs(i) % 70).astype("<u2").tobytes())
         data += got + b"\n" if got else b""
     data += b"".join(x + b"\n" for x in writer.finish())
     shard = sstable.Shard(data)
@@ -108,23 +109,26 @@ def test_op4_passages_cut_by_lines(spark):
     assert got == {1: (4, 0, rows[0][1]), 2: (5, 3, "c1\nc2\nd1\nd2"), 3: (1, 1, "e1  f1"), 4: (1, 0, rows[3][1]), 5: (4, 3, " d k")}
 
 
-def test_op4_against_brute_force(spark):
+@pytest.mark.parametrize("min_words", [20, 50])
+def test_op4_against_brute_force(spark, min_words):
     r = random.Random(5)
     parts = [[f"w{r.randrange(30)}" for _ in range(r.randrange(5, 40))] for _ in range(8)]
     texts = ["".join(w + r.choice([" ", " ", "\n"]) for w in sum((r.choice(parts) for _ in range(r.randrange(0, 7))), [])) for _ in range(60)]
+    texts += [" ".join(f"p{i % period}" for i in range(n)) for period, n in ((1, 90), (3, 60), (7, 130), (40, 150), (60, 200))]
     seen: set[tuple] = set()
     want = []
     for t in texts:
         w = words(t)
         gone = set()
-        for j in range(len(w) - 19):
-            x = tuple(w[j : j + 20])
+        for j in range(len(w) - min_words + 1):
+            x = tuple(w[j : j + min_words])
             if x in seen:
-                gone |= set(range(j, j + 20))
+                gone |= set(range(j, j + min_words))
             seen.add(x)
         want.append([x for j, x in enumerate(w) if j not in gone])
-    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=20).orderBy("doc_id").collect()
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), min_words=min_words).orderBy("doc_id").collect()
     assert [words(r.text) for r in out] == want
+    assert any(len(words(r.text)) < len(words(t)) for r, t in zip(out, texts, strict=True))
 
 
 def test_op5_samples(docs, empty):
@@ -145,15 +149,49 @@ def test_op5_samples(docs, empty):
     assert segments.sampled_segmentations(empty, PIECES).count() == 0
 
 
-def test_op5_first_sample_follows_the_model():
+def segmentations(text, vocabulary, longest):
+    if not text:
+        yield ()
+    for n in range(1, min(longest, len(text)) + 1):
+        if text[:n] in vocabulary:
+            for rest in segmentations(text[n:], vocabulary, longest):
+                yield (vocabulary[text[:n]], *rest)
+
+
+def test_op5_samples_follow_the_model():
+    import pyarrow as pa
+
+    model = segments.pieces(PIECES, segments.ALPHA)
+    vocabulary = {model.blob[model.place[i] : model.place[i] + model.size[i]].tobytes(): i for i in model.named[model.named >= 0].tolist()}
+    every = list(segmentations(b" abca", vocabulary, model.longest))
+    weight = np.exp([sum(model.weight[i] for i in x) for x in every])
+    p = dict(zip(every, weight / weight.sum(), strict=True))
+    n, k = 6000, 3
+    data, places = segments._with_blank(pa.array(["abca"] * n))
+    found = segments.sample(data, places, np.arange(1, n + 1), k, model)
+    ids = [tuple(x.tolist()) for x in found.ids]
+    assert found.text == [d for d in range(n) for _ in range(k)]
+    assert all(abs(np.exp(lp) - p[x]) < 1e-9 for lp, x in zip(found.log_prob, ids, strict=True))
+    assert all(len(set(ids[k * d : k * d + k])) == k for d in range(n))
+    second = {s: sum(p[a] * p[s] / (1 - p[a]) for a in every if a != s and p[a] < 1) for s in every}
+    for place, want in ((0, p), (1, second)):
+        counts = Counter(ids[place::k])
+        assert all(abs(counts[s] / n - q) < 5 * (q * (1 - q) / n) ** 0.5 + 1e-3 for s, q in want.items())
+    for s in every:  # each segmentation's weight by its inclusion score is one on average
+        share = [np.exp(-li) for x, li in zip(ids, found.log_inclusion, strict=True) if x == s]
+        if p[s] > 0.02:
+            assert abs(sum(share) / n - 1) < 0.25
+
+
+def test_op5_lattice_of_long_and_odd_texts():
+    import pyarrow as pa
+
     model = segments.pieces(PIECES, segments.ALPHA)
-    n, text = 4000, b"abc"
-    found = segments.sample([text] * n, list(range(1, n + 1)), 2, model)
-    first = Counter(tuple(f[0][0].tolist()) for f in found)
-    p = {tuple(f[0][0].tolist()): np.exp(f[0][1]) for f in found}
-    for k, c in first.items():
-        assert abs(c / n - p[k]) < 5 * (p[k] * (1 - p[k]) / n) ** 0.5 + 2e-3
-    assert all(len({tuple(x[0].tolist()) for x in f}) == len(f) for f in found)
+    texts = ["z" * 30000, "a  b\n\n c", "\u4f60\U0001f600\u0001", " ", "\n", "é" * 50, "x" * 9 + " " * 40]
+    data, places = segments._with_blank(pa.array(texts))
+    found = segments.sample(data, places, np.arange(len(texts)), 2, model)
+    for d, ids in zip(found.text, found.ids, strict=True):
+        assert segments.decode(ids, model) == texts[d].encode()
 
 
 def test_op6_leaks(docs, empty, spark):
@@ -214,6 +252,56 @@ def test_op7_language(docs, empty, spark):
     assert language.detect(empty, model).count() == 0
 
 
+def test_op7_sums_and_expectations_are_those_of_all_segmentations():
+    vocabulary = language.vocabulary(PIECES)
+    number = {p: i for i, p in enumerate(vocabulary.pieces)}
+    table = np.random.default_rng(0).random((len(number) + 2, 2)) * 1e-3
+    table[-1] = 0
+
+    def every(word):
+        if not word:
+            yield (), np.ones(2)
+        for n in range(1, len(word) + 1):
+            piece = number.get(word[:n], len(number) if n == 1 else None)
+            if piece is not None:
+                for rest, p in every(word[n:]):
+                    yield (piece, *rest), table[piece] * p
+
+    words_ = ["house", "théâtre", "ab", "zq", "łódź", "international", "x"]
+    model = language.Languages(["a", "b"], table, PIECES)
+    assert np.allclose(model.words(words_), [np.log(sum(p for _, p in every(w))) for w in words_])
+    uses, weight = np.zeros_like(table), np.arange(14.0).reshape(7, 2)
+    for w, n in zip(words_, weight, strict=True):
+        total = sum(p for _, p in every(w))
+        for pieces, p in every(w):
+            for piece in pieces:
+                uses[piece] += n * p / total
+    assert np.allclose(language.Lattice(words_, vocabulary).expected(table, weight), uses)
+    assert np.isfinite(model.words(["z" * 5000])).all()
+
+
+def test_op7_letters():
+    chunks, found = language.letter_chunks(["Ab-c2D ²½Ⅷ é_É".encode(), b"", b"12"])
+    assert [sum((found[i] for i in chunks.at[a:b]), []) for a, b in zip(chunks.before[:-1], chunks.before[1:], strict=True)] == [["ab", "c", "d", "é", "é"], [], []]
+
+
+@pytest.mark.parametrize("name", ["op7_language", "op10_quality_classifier"])
+def test_held_out_accuracy(spark, name):
+    from locusframe.llm import queries
+
+    data = "/root/testdata/sf0.01"
+    got = queries.QUERIES[name](spark, data)
+    if name == "op7_language":
+        want = spark.read.parquet(f"{data}/documents.parquet").filter("lang is not null").select("doc_id", "lang")
+        rows = got.filter("held_out and lang_pred <> 'und'").join(want, "doc_id").selectExpr("lang_pred = lang as ok").collect()
+        assert len(rows) > 100 and sum(r.ok for r in rows) / len(rows) > 0.97
+        return
+    rows = got.filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("quality is not null").select("score", "quality").collect()
+    good, bad = ([r.score for r in rows if r.quality == y] for y in (1, 0))
+    assert len(good) > 5 and len(bad) > 5
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.95
+
+
 def test_op8_archive(spark):
     html = [None, "", "<p>a</p>", "<p>a</p>", "é\r\n\r\nWARC/1.1\r\n", "x" * 200000, "<p>a</p>"]
     pages = spark.createDataFrame([(i, f"http://h/{i}\n", x, "c") for i, x in enumerate(html)], "page_id long, url string, html string, sha string")
@@ -224,6 +312,24 @@ def test_op8_archive(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(b), base64.b32encode(hashlib.sha1(b).digest()).decode())
         assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == last else ("revisit", last))
     assert warc.page_archive(pages.limit(0)).count() == 0
+    rows = [(None, "a"), (None, "a"), (None, "z"), (5, "a"), (5, "a"), (7, None), (7, "")]
+    got = warc.page_archive(spark.createDataFrame([(i, None, x) for i, x in rows], "page_id long, url string, html string")).select("page_id", "payload_bytes", "record_type", "refers_to").collect()
+    want = [(None, 1, "revisit", 5)] * 2 + [(None, 1, "response", None)] + [(5, 1, "response", None)] * 2 + [(7, 0, "response", None)] * 2
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_op8_random_damage():
+    r = random.Random(3)
+    parts = [warc.record(i, f"http://h/{i}", r.randbytes(r.randrange(400)), None) for i in range(200)]
+    for archive in (b"".join(parts), b"".join(map(warc._member, parts))):
+        data = bytearray(archive)
+        for _ in range(20):
+            data[r.randrange(len(data))] ^= 1 << r.randrange(8)
+        found = list(warc.salvage(bytes(data)))
+        good = {x[3]["warc-record-id"] for x in found if x[0] == "record"}
+        assert len(good) >= 175 and all(x[4] in bytes(archive) or archive[:1] == b"\x1f" for x in found if x[0] == "record")
+        spans = sorted({(x[1], x[2]) for x in found})
+        assert spans[0][0] == 0 and spans[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
 def test_op8_salvage():
@@ -236,8 +342,12 @@ def test_op8_salvage():
     assert [x[0] for x in found] == ["record", "gap", "record", "record"]
     assert sum(x[2] - x[1] for x in found) == len(damaged)
     assert [x[0] for x in warc.salvage(whole[:-10])] == ["record", "record", "record", "gap"]
-    import gzip
-
+    assert [x[0] for x in warc.salvage(warc.record(1, "data:" + "x" * 200_000, b"p", None))] == ["record"]
+    one = gzip.compress(whole)
+    assert [x[0] for x in warc.salvage(one[:-8] + b"\x00" * 8)] == ["gap", *["record"] * 4]
+    assert [x[0] for x in warc.salvage(warc._member(parts[0]) + b"\x00\n" + warc._member(parts[1]))] == ["record", "gap", "record"]
+    big = warc.record(1, "u", random.Random(0).randbytes(1 << 14) * 1100, None)
+    assert warc._member(big)[-1] == 0 and [x[0] for x in warc.salvage(warc._member(big) + warc._member(parts[0]))] == ["record"] * 2
     members = [gzip.compress(p) for p in parts]
     members[1] = members[1][:-12] + b"\x00" * 12
     assert [x[0] for x in warc.salvage(b"".join(members))] == ["record", "gap", "record", "record"]
@@ -264,9 +374,9 @@ def brute(rows, k, percent):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [64, 4])
-def test_op9_components(spark, docs, empty, block, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", block)
+@pytest.mark.parametrize("small", [16, 2])
+def test_op9_components(spark, docs, empty, small, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", small)
     rows, r = [], random.Random(5)
     for g in range(12):
         base = prose(100 + g, 80).split()
