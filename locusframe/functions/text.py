@@ -51,11 +51,16 @@ def sv_length(given: Column, svtype: Column, start: Column, end: Column) -> Colu
     return F.coalesce(given.cast("string").try_cast("int"), made)
 
 
-def sa_entries(sa: Column) -> Column:
-    """Valid entries of an SA tag (six comma fields, numbers where numbers belong) as (rname, pos, strand, cigar, mapq, nm)."""
+def sa_entries(sa: Column, whole: bool = False) -> Column:
+    """Valid entries of an SA tag (six comma fields, numbers where numbers belong) as (rname, pos, strand, cigar, mapq, nm).
+
+    With ``whole``, the long-read rule, a tag with one bad entry has no entries.
+    """
     fields = F.transform(F.filter(F.split(F.trim(sa), ";"), lambda e: e != ""), lambda e: F.split(e, ","))
     good = F.filter(fields, lambda f: (F.size(f) == 6) & F.get(f, 1).try_cast("int").isNotNull() & F.get(f, 4).try_cast("int").isNotNull() & F.get(f, 5).try_cast("int").isNotNull())
     number = lambda f, i: F.get(f, i).try_cast("int")
+    if whole:
+        good = F.when(F.size(good) == F.size(fields), good)
     return F.transform(good, lambda f: F.struct(F.get(f, 0).alias("rname"), number(f, 1).alias("pos"), F.get(f, 2).alias("strand"), F.get(f, 3).alias("cigar"), number(f, 4).alias("mapq"), number(f, 5).alias("nm")))
 
 

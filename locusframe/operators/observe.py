@@ -68,12 +68,14 @@ def clips(reads: DataFrame, min_clip: int = 25, poly_min: int = 20, short_poly:
     return found.select("read_idx", idx.alias("obs_idx"), "chrom", "x.pos", "x.side", F.col("x.n").alias("cliplen"), "mapq", F.col("qname").alias("rname"))
 
 
-def splits(reads: DataFrame) -> DataFrame:
-    """Two rows for each SA entry: right end to its start, left end to its end. Bad entries are left out one by one.
+def splits(reads: DataFrame, whole_tags: bool = False) -> DataFrame:
+    """Two rows for each SA entry: right end to its start, left end to its end.
+
+    Bad entries are left out one by one; with ``whole_tags``, the long-read rule, a bad entry drops its tag.
 
     read_idx, obs_idx, chrom1, pos1, chrom2, pos2, mapq, rname, same_chrom, note.
     """
-    rows = _with_ops(reads).withColumn("sa", F.explode(F.transform(text.sa_entries(F.col("tags")["SA"]), lambda e, k: F.struct(k.alias("k"), e.alias("e")))))
+    rows = _with_ops(reads).withColumn("sa", F.explode(F.transform(text.sa_entries(F.col("tags")["SA"], whole_tags), lambda e, k: F.struct(k.alias("k"), e.alias("e")))))
     rows = rows.filter(cigar.is_cigar(F.col("sa.e.cigar"))).withColumn("span2", cigar.ref_span(cigar.ops(F.col("sa.e.cigar"))))
     pos2 = F.col("sa.e.pos")
     right = F.struct(F.lit(0).alias("j"), (F.col("pos0") + F.coalesce(cigar.ref_span(F.col("ops")), F.lit(0))).alias("pos1"), pos2.alias("pos2"), F.lit("primaryR->SAstart").alias("note"))
@@ -131,7 +133,7 @@ def legacy_candidates(reads: DataFrame, ins: int = 30, dele: int = 30, clip: int
 
 
 def salvage(reads: DataFrame, ins: int = 30, dele: int = 30, clip: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Reads whose CIGAR doesn't parse: (candidates of the operations that can be read, with SALVAGED_ notes; quarantine of read_name, kind, message).
+    """Reads whose CIGAR doesn't parse: (candidates of the operations that can be read, with SALVAGED_CIGAR_ notes; quarantine of read_name, kind, message).
 
     Reads without a CIGAR ('*' or null) are no errors.
     """
@@ -139,15 +141,19 @@ def salvage(reads: DataFrame, ins: int = 30, dele: int = 30, clip: int = 30) ->
     big = lambda x: ((x["op"] == "I") & (x["len"] >= ins)) | ((x["op"] == "D") & (x["len"] >= dele)) | ((x["op"] == "S") & (x["len"] >= clip))
     found = bad.withColumn("ops", cigar.ops(F.col("cigar"))).select("read_idx", "chrom", "pos0", "qname", F.explode(cigar.placed(F.col("ops"), big)).alias("x"))
     at, op = F.col("pos0") + F.col("x.ref"), F.col("x.op")
-    out = found.select("read_idx", F.col("x.i").alias("obs_idx"), "chrom", at.alias("start"), F.when(op == "D", at + F.col("x.len") - 1).otherwise(at).alias("end"), F.col("qname").alias("read_name"), F.when(op == "I", "INS").when(op == "D", "DEL").otherwise("SOFTCLIP").alias("sv_type"), F.col("x.len").alias("sv_len"), F.concat(F.lit("SALVAGED_"), op).alias("note"))
+    out = found.select("read_idx", F.col("x.i").alias("obs_idx"), "chrom", at.alias("start"), F.when(op == "D", at + F.col("x.len") - 1).otherwise(at).alias("end"), F.col("qname").alias("read_name"), F.when(op == "I", "INS").when(op == "D", "DEL").otherwise("SOFTCLIP").alias("sv_type"), F.col("x.len").alias("sv_len"), F.concat(F.lit("SALVAGED_CIGAR_"), op).alias("note"))
     return out, bad.select(F.col("qname").alias("read_name"), F.lit("parse_error").alias("kind"), F.concat(F.lit("bad CIGAR: "), "cigar").alias("message"))
 
 
+# Platforms of long reads.
+LONG_PLATFORMS = ("PACBIO", "PACBIO_RS", "PACBIO_SMRT", "PACBIO_HIFI", "ONT", "OXFORD_NANOPORE")
+
+
 def read_type(reads: DataFrame) -> DataFrame:
     """One row, bam_type: short if a platform contains ILLUMINA, long if one is a long-read platform, else null."""
     p = F.upper("rg_platform")
     short = F.max(F.when(p.contains("ILLUMINA"), 1).otherwise(0)) == 1
-    long = F.max(F.when(p.isin("PACBIO", "PACIFICBIOSCIENCES", "PACIFIC BIOSCIENCES", "ONT", "OXFORD NANOPORE", "NANOPORE"), 1).otherwise(0)) == 1
+    long = F.max(F.when(p.isin(*LONG_PLATFORMS), 1).otherwise(0)) == 1
     return reads.agg(F.when(short, "short").when(long, "long").alias("bam_type"))
 
 
@@ -159,12 +165,18 @@ def length_sample(reads: DataFrame, sample: int = 1000, cutoff: int = 1000) -> D
 
 
 def insert_sizes(reads: DataFrame, sample: int = 10000) -> DataFrame:
-    """Median, mean and population deviation of the first ``sample`` paired reads with a template length, and the cutoff for large inserts.
+    """Median, mean and population deviation of the first ``sample`` paired reads with a template length, the cutoff for large inserts, and n_unmapped.
 
-    The cutoff is the median and three deviations, 1000 at least.
+    The cutoff is the median and three deviations, 1000 at least. n_unmapped counts paired reads without a template
+    length whose mate is unmapped, up to the last read of the sample, or all of them if the sample isn't full.
     """
-    first = reads.filter((F.col("flag").bitwiseAND(PAIRED) != 0) & (F.col("tlen") != 0)).orderBy("read_idx").limit(sample).select(F.abs("tlen").alias("t"))
-    made = first.agg(F.percentile("t", F.lit(0.5)).cast("int").alias("median_tlen"), F.avg("t").alias("mean_tlen"), F.stddev_pop("t").alias("std_tlen"), F.count("t").alias("n_pairs"))
+    paired = reads.filter(F.col("flag").bitwiseAND(PAIRED) != 0)
+    first = paired.filter("tlen <> 0").orderBy("read_idx").limit(sample).select("read_idx", F.abs("tlen").alias("t"))
+    made = first.agg(F.percentile("t", F.lit(0.5)).cast("int").alias("median_tlen"), F.avg("t").alias("mean_tlen"), F.stddev_pop("t").alias("std_tlen"), F.count("t").alias("n_pairs"), F.max("read_idx").alias("_last"))
+    lost = paired.filter((F.coalesce("tlen", F.lit(0)) == 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) != 0)).select("read_idx")
+    # one row on one side
+    counted = lost.join(F.broadcast(made), (F.col("n_pairs") < sample) | (F.col("read_idx") < F.col("_last"))).agg(F.count("read_idx").alias("n_unmapped"))
+    made = made.join(F.broadcast(counted)).drop("_last")
     return made.withColumn("cutoff", F.greatest(F.lit(1000), F.coalesce((F.col("median_tlen") + 3 * F.col("std_tlen")).cast("int"), F.lit(1000))))
 
 

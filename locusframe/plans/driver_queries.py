@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar
 from ..functions.text import attribute
 from ..operators import annotate, cluster, intervals, observe
-from ..sinks.text import merged_table, vcf_lines
+from ..sinks.text import exon_vcf_lines, merged_table, vcf_lines
 from ..sources.text import is_curated
 from . import projections as P
 
@@ -146,12 +148,38 @@ def bam_type(spark, sf_dir):
     return observe.read_type(P.alignments(spark, sf_dir))
 
 
+_PLATFORMS = ["Illumina HiSeq", "PacBio", "PACBIO_RS", "PACBIO_SMRT", "PACBIO_HIFI", "ont", "OXFORD_NANOPORE", "NANOPORE", "ULTIMA"]
+
+
+@query("WITH p AS (SELECT CASE event_id % 9 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_PLATFORMS)) + """ END AS platform FROM events) SELECT platform, CASE WHEN upper(platform) LIKE '%ILLUMINA%' THEN 'short' WHEN upper(platform) IN ('PACBIO', 'PACBIO_RS', 'PACBIO_SMRT', 'PACBIO_HIFI', 'ONT', 'OXFORD_NANOPORE') THEN 'long' END AS bam_type FROM p GROUP BY platform""")
+def bam_type_platforms(spark, sf_dir):
+    reads = P.alignments(spark, sf_dir)
+    of = lambda i, x: observe.read_type(reads.filter(F.col("read_idx") % 9 == i).withColumn("rg_platform", F.lit(x))).select(F.lit(x).alias("platform"), "bam_type")
+    return functools.reduce(DataFrame.union, [of(i, x) for i, x in enumerate(_PLATFORMS)])
+
+
+@query(f"""WITH a AS ({_A}) SELECT read_idx, concat(CASE WHEN (flag & 16) <> 0 THEN 'R' ELSE 'F' END, '/', CASE WHEN (flag & 32) <> 0 THEN 'R' ELSE 'F' END) AS orientation, CAST(length(seq) AS INT) AS read_len, CAST((flag & 8) <> 0 AS INT) AS mate_unmapped, CAST((flag & 2) <> 0 AS INT) AS is_proper_pair
+FROM a WHERE (flag & 4) = 0 AND mapq >= 20 AND sa IS NOT NULL""")
+def read_details(spark, sf_dir):
+    """What the per-read table shows of a read besides its candidates."""
+    found = observe.legacy_candidates(observe.usable_legacy(P.alignments(spark, sf_dir)))
+    return found.filter("sv_type = 'SPLIT'").select("read_idx", "orientation", "read_len", "mate_unmapped", "is_proper_pair")
+
+
+@query(f"""WITH {_OPS.replace("FROM a)", "FROM a WHERE read_idx % 6 = 0)", 1)} SELECT read_idx, CAST(i AS INT) AS obs_idx, chrom, CAST(pos0 + ref AS INT) AS start, CAST(pos0 + ref + CASE op WHEN 'D' THEN len - 1 ELSE 0 END AS INT) AS "end", qname AS read_name,
+CASE op WHEN 'I' THEN 'INS' WHEN 'D' THEN 'DEL' ELSE 'SOFTCLIP' END AS sv_type, len AS sv_len, concat('SALVAGED_CIGAR_', op) AS note FROM ops WHERE op IN ('I', 'D', 'S') AND len >= 30""")
+def salvage_obs(spark, sf_dir):
+    """Every sixth read has an operation that doesn't exist at the end of its CIGAR."""
+    reads = P.alignments(spark, sf_dir).withColumn("cigar", F.when(F.col("read_idx") % 6 == 0, F.concat("cigar", F.lit("7Q"))).otherwise(F.col("cigar")))
+    return observe.salvage(reads)[0]
+
+
 @query(f"WITH a AS ({_A}), f AS (SELECT length(seq) AS n FROM a WHERE length(seq) > 0 ORDER BY read_idx LIMIT 1000) SELECT CASE WHEN {_med('n')} < 1000 THEN 'short' ELSE 'long' END AS bam_type, {_med('n')} AS median_len, avg(n) AS mean_len, count(*) AS n_reads FROM f")
 def read_lengths(spark, sf_dir):
     return observe.length_sample(P.alignments(spark, sf_dir))
 
 
-@query(f"WITH a AS ({_A}), f AS (SELECT abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0 ORDER BY read_idx LIMIT 10000) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
+@query(f"WITH a AS ({_A}), f AS (SELECT read_idx, abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0 ORDER BY read_idx LIMIT 10000) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, (SELECT count(*) FROM a WHERE (flag & 1) <> 0 AND (flag & 8) <> 0 AND tlen = 0 AND ((SELECT count(*) FROM f) < 10000 OR read_idx < (SELECT max(read_idx) FROM f))) AS n_unmapped, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
 def insert_size(spark, sf_dir):
     return observe.insert_sizes(P.alignments(spark, sf_dir)).withColumns({"mean_tlen": F.round("mean_tlen", 4), "std_tlen": F.round("std_tlen", 4)})
 
@@ -255,12 +283,14 @@ def introns(spark, sf_dir):
 
 
 def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _candidates(spark, sf_dir).select(F.col("ord").alias("sv_id"), "chrom", F.col("pos").alias("start"), "end", "svtype", "svlen", "support")
+    bare = F.when(F.col("ord") % 3 == 0, F.regexp_replace("chrom", "^chr", "")).otherwise(F.col("chrom"))
+    events = _candidates(spark, sf_dir).select(F.col("ord").alias("sv_id"), bare.alias("chrom"), F.col("pos").alias("start"), "end", "svtype", "svlen", "support")
     return annotate.annotate(events, annotate.transcript_regions(_exons(spark, sf_dir)))
 
 
-_ANN = f"""{_REGIONS}, c AS ({_C}), hits AS (SELECT c.ord, c.pos, c."end" AS e, r.* FROM c JOIN regions r ON c.chrom = r.chrom AND c.pos < r.t AND r.b < CASE c.svtype WHEN 'DEL' THEN c."end" ELSE c.pos + 1 END AND (c.svtype <> 'DEL' OR c."end" > c.pos)),
-f AS (SELECT ord, count(DISTINCT gene) AS genes, bool_or(kind = 'exon' AND pos <= b AND e >= t) AS whole, bool_or(kind = 'intron' AND abs(pos - b) <= 5 AND abs(e - t) <= 5) AS splice, string_agg(DISTINCT concat(gene, ':', tx_id, ':', kind, '_', no), ',' ORDER BY concat(gene, ':', tx_id, ':', kind, '_', no)) AS region,
+#: Every third event comes without chr in front of its chromosome, and gets it.
+_ANN = f"""{_REGIONS}, c0 AS (SELECT * REPLACE (CASE WHEN ord % 3 = 0 THEN replace(chrom, 'chr', '') ELSE chrom END AS chrom) FROM ({_C})), c AS (SELECT * REPLACE (CASE WHEN starts_with(chrom, 'chr') THEN chrom ELSE concat('chr', chrom) END AS chrom) FROM c0), hits AS (SELECT c.ord, c.pos, c."end" AS e, r.* FROM c JOIN regions r ON c.chrom = r.chrom AND c.pos < r.t AND r.b < CASE c.svtype WHEN 'DEL' THEN c."end" ELSE c.pos + 1 END AND (c.svtype <> 'DEL' OR c."end" > c.pos)),
+f AS (SELECT ord, count(DISTINCT gene) AS genes, bool_or(kind = 'exon' AND pos <= b AND e >= t) AS whole, bool_or(kind = 'intron' AND abs(pos - b) <= 5 AND abs(e - t) <= 5) AS splice, string_agg(DISTINCT gene, ',' ORDER BY gene) AS region,
 string_agg(DISTINCT tx_name, ',' ORDER BY tx_name) AS tx_name, string_agg(DISTINCT gene_biotype, ',' ORDER BY gene_biotype) AS gene_biotype, string_agg(DISTINCT tx_biotype, ',' ORDER BY tx_biotype) AS tx_biotype FROM hits GROUP BY ord),
 ann AS (SELECT c.ord AS sv_id, c.chrom, c.pos AS start, c."end", c.svtype, c.svlen, c.support, CASE WHEN genes IS NULL THEN 'Intergenic' WHEN svtype = 'DEL' AND genes > 1 THEN 'Gene_Fusion' WHEN svtype = 'DEL' AND whole THEN 'Exonic_Deletion' WHEN svtype = 'DEL' AND splice THEN 'Canonical_Splicing' WHEN svtype = 'DEL' THEN 'Intronic/Novel_Splicing' WHEN genes > 1 THEN 'Insertion_in_Fusion_Region' ELSE 'Intragenic_Insertion' END AS ann_type,
 coalesce(region, 'Intergenic') AS region, coalesce(tx_name, 'na') AS tx_name, coalesce(gene_biotype, 'na') AS gene_biotype, coalesce(tx_biotype, 'na') AS tx_biotype FROM c LEFT JOIN f USING (ord) WHERE c.chrom IN (SELECT chrom FROM regions))"""
@@ -271,7 +301,7 @@ def sv_annotation(spark, sf_dir):
     return _annotated(spark, sf_dir)
 
 
-@query(f"""WITH {_ANN} SELECT chrom, start, concat_ws(chr(9), chrom, start, sv_id, 'N', concat('<', svtype, '>'), '.', 'PASS', concat_ws(';', concat('END=', "end"), concat('SVTYPE=', svtype), concat('SVLEN=', svlen), concat('SUPPORT=', support), concat('ANN_TYPE=', ann_type), concat('REGION=', region),
+@query(f"""WITH {_ANN} SELECT chrom, start, concat_ws(chr(9), chrom, start, '.', 'N', concat('<', svtype, '>'), '.', 'PASS', concat_ws(';', concat('END=', "end"), concat('SVTYPE=', svtype), concat('SVLEN=', svlen), concat('SUPPORT=', support), concat('ANN_TYPE=', ann_type), concat('REGION=', region),
 CASE WHEN tx_name <> 'na' THEN concat('TX_NAME=', tx_name) END, CASE WHEN gene_biotype <> 'na' THEN concat('GENE_BIOTYPE=', gene_biotype) END, CASE WHEN tx_biotype <> 'na' THEN concat('TX_BIOTYPE=', tx_biotype) END)) AS value FROM ann""")
 def vcf_body(spark, sf_dir):
     return vcf_lines(_annotated(spark, sf_dir))
@@ -291,6 +321,20 @@ def splice_hits(spark, sf_dir):
     return annotate.splice_hits(_spans(spark, sf_dir), _exons(spark, sf_dir)).withColumn("hits", F.array_join("hits", ","))
 
 
+@query(f"""WITH c AS (SELECT *, upper(CASE WHEN ord % 2 = 0 THEN lower(svtype) ELSE svtype END) AS kind, CASE ord % 4 WHEN 0 THEN 'NA' WHEN 1 THEN NULL ELSE CAST(svlen AS VARCHAR) END AS given, CASE WHEN ord % 5 = 0 THEN NULL ELSE read END AS name FROM ({_C})), x AS ({_X}),
+h AS (SELECT c.ord, bool_or(c.pos >= x.s AND c."end" <= x.e) AS i FROM c JOIN x ON c.chrom = x.chrom AND c.pos <= x.e AND c."end" >= x.s GROUP BY c.ord),
+ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x),
+g AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 10 AND c."end" >= place - 10 GROUP BY c.ord)
+SELECT chrom, pos AS start, concat_ws(chr(9), chrom, pos, coalesce(name, '.'), 'N', concat('<', kind, '>'), '.', 'PASS', concat_ws(';', concat('SVTYPE=', kind), concat('SVLEN=', coalesce(TRY_CAST(given AS INT), CASE kind WHEN 'DEL' THEN -("end" - pos + 1) ELSE "end" - pos + 1 END)),
+concat('SUMMARY=', CASE WHEN i THEN 'exon' WHEN i IS NOT NULL THEN 'exon_partial' ELSE 'intergenic' END), concat('SPLICE=', CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END), 'HITS=' || hits)) AS value FROM c LEFT JOIN h USING (ord) LEFT JOIN g USING (ord)""")
+def exon_vcf_body(spark, sf_dir):
+    """Types in small letters, lengths that are missing or no numbers, and missing reads among the events."""
+    n = F.col("ord")
+    events = _candidates(spark, sf_dir).select(n.alias("sv_id"), "chrom", F.col("pos").alias("start"), "end", F.when(n % 2 == 0, F.lower("svtype")).otherwise(F.col("svtype")).alias("svtype"), F.when(n % 4 == 0, "NA").when(n % 4 > 1, F.col("svlen").cast("string")).alias("svlen"), F.when(n % 5 != 0, F.col("read")).alias("read"))
+    exons = _exons(spark, sf_dir)
+    return exon_vcf_lines(annotate.splice_hits(annotate.exon_class(events, exons), exons))
+
+
 @query(f"""WITH c AS ({_C}), g AS ({_G}) SELECT c.ord, EXISTS (SELECT 1 FROM g WHERE g.chrom = c.chrom AND g.start1 <= c."end" + 10 AND g.end1 >= c.pos - 10) AS valid FROM c""")
 def truth_validation(spark, sf_dir):
     truth = _genes(spark, sf_dir).select("chrom", F.col("start1").alias("pos"), F.col("end1").alias("end"))

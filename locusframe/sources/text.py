@@ -1,7 +1,8 @@
 """Text formats of the workflow as DataFrames.
 
 File order matters where a first row is taken, so readers that need it give ord: monotonically increasing in file
-order, by Spark's partition number and place in it, never by a shuffle to one task.
+order, by Spark's partition number and place in it, never by a shuffle to one task. That is the order of one file; of
+several files Spark packs the largest first, so rules about a first row hold inside each file only.
 """
 
 from __future__ import annotations
@@ -19,21 +20,40 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("ord"))
 
 
+#: Read groups of all headers that are broadcast; more of them are joined by their keys.
+MOST_GROUPS = 20_000
+
+
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
-    """Alignments of SAM text (gzip too) in the schema of ``schema.ALIGNMENTS``; rg_platform from the header's read groups.
+    """Alignments of SAM text (gzip too) in the schema of ``schema.ALIGNMENTS``; rg_platform from the read groups of the same file's header.
 
-    '*' is null for cigar and seq. Rows with fewer than 11 fields are left out.
+    '*' is null for cigar and seq. Rows with fewer than 11 fields are left out. Of a tag or a read group that is there
+    twice the first counts.
     """
-    lines = _lines(spark, path)
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("value"), F.monotonically_increasing_id().alias("ord"), F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", "\t")
     body = lines.filter(~F.startswith("value", F.lit("@"))).withColumn("p", parts).filter(F.size("p") >= 11)
     field = {name: F.get("p", F.lit(i)) for i, name in enumerate(_SAM)}
     known = lambda c: F.when(c != "*", c)
-    entries = F.transform(F.slice("p", 12, 1_000), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
-    tags = F.map_from_entries(F.filter(entries, lambda x: F.lit(True)))
-    heads = lines.filter(F.startswith("value", F.lit("@RG"))).select(F.regexp_extract("value", "\tID:([^\t]*)", 1).alias("rg"), F.regexp_extract("value", "\tPL:([^\t]*)", 1).alias("rg_platform"))
-    reads = body.select(F.col("ord").alias("read_idx"), field["qname"].alias("qname"), field["flag"].cast("int").alias("flag"), field["rname"].alias("chrom"), (field["pos"].cast("int") - 1).alias("pos0"), field["mapq"].cast("int").alias("mapq"), known(field["cigar"]).alias("cigar"), field["tlen"].cast("int").alias("tlen"), known(field["seq"]).alias("seq"), tags.alias("tags"))
-    return reads.withColumn("rg", F.col("tags")["RG"]).join(heads, "rg", "left").drop("rg")
+    tags = _tags(F.slice("p", 12, F.size("p")))
+    at = F.struct("ord", F.regexp_extract("value", "\tPL:([^\t]*)", 1).alias("platform"))
+    heads = lines.filter(F.startswith("value", F.lit("@RG"))).groupBy("file", F.regexp_extract("value", "\tID:([^\t]*)", 1).alias("rg")).agg(F.min(at)["platform"].alias("rg_platform"))
+    if heads.limit(MOST_GROUPS + 1).count() <= MOST_GROUPS:
+        heads = F.broadcast(heads)
+    reads = body.select("file", F.col("ord").alias("read_idx"), field["qname"].alias("qname"), field["flag"].cast("int").alias("flag"), field["rname"].alias("chrom"), (field["pos"].cast("int") - 1).alias("pos0"), field["mapq"].cast("int").alias("mapq"), known(field["cigar"]).alias("cigar"), field["tlen"].cast("int").alias("tlen"), known(field["seq"]).alias("seq"), tags.alias("tags"))
+    return reads.withColumn("rg", F.col("tags")["RG"]).join(heads, ["file", "rg"], "left").drop("rg", "file")
+
+
+def _tags(fields: Column) -> Column:
+    """A map of optional fields TAG:TYPE:VALUE."""
+    keys = F.transform(fields, lambda t: F.substring(t, 1, 2))
+    first = F.filter(fields, lambda t, i: F.array_position(keys, F.substring(t, 1, 2)) == i + 1)
+    return F.map_from_entries(F.transform(first, lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value"))))
+
+
+def first_reads(reads: DataFrame, n: int | None) -> DataFrame:
+    """The first ``n`` reads in file order, all of them without a number: the cap of a trial run."""
+    return reads.orderBy("read_idx").limit(n) if n else reads
 
 
 def _gtf(spark: SparkSession, path: str) -> DataFrame:
@@ -70,23 +90,33 @@ def gtf_curated(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("chrom", "feature", "s", "e", "strand", F.coalesce(attribute(a, "gene_name"), attribute(a, "gene_id")).alias("gene"), attribute(a, "gene_id").alias("gene_id"), attribute(a, "transcript_id").alias("tx_id"), attribute(a, "transcript_name").alias("tx_name"), attribute(a, "gene_type").alias("gene_biotype"), attribute(a, "transcript_type").alias("tx_biotype"), attribute(a, "exon_number").try_cast("int").alias("exon_number"))
 
 
-def read_gene_bed(spark: SparkSession, path: str, name_col: int = 4) -> DataFrame:
-    """Genes of a BED: chrom, start1, end1 (1-based, inclusive), name of column ``name_col`` (from 1) and file_ord.
+def read_gene_bed(spark: SparkSession, path: str, name_col: int = 4, guess: bool = False) -> DataFrame:
+    """Genes of a BED: chrom, start1, end1 (1-based, inclusive), name and file_ord.
 
-    A missing name, or a strand in its place, gives the first of columns 4 to 10 that is short and no Ensembl
-    identifier, else the first identifier, else gene:chrom:start-end.
+    The long-read rule takes the name of column ``name_col`` (from 1), and gene:chrom:start-end (1-based) where that is
+    missing or empty. With ``guess``, the short-read rule, a missing name or a strand in its place gives the first of
+    columns 4 to 10 that is no strand, no Ensembl identifier and of at most 50 characters, else the first identifier, else
+    an empty name; each gene is there twice, with and without chr in front of its chromosome.
     """
     rows = _lines(spark, path).withColumn("p", F.split("value", "\t")).filter((F.size("p") >= 3) & ~F.startswith("value", F.lit("#")))
     at = lambda i: F.get("p", F.lit(i))
-    good = lambda x: (x != "") & ~x.isin("+", "-", ".")
-    others = F.filter(F.slice("p", 4, 7), lambda x: good(x) & (F.length(x) <= 50))
-    plain, ensembl = F.filter(others, lambda x: ~F.startswith(x, F.lit("ENSG"))), F.filter(others, lambda x: F.startswith(x, F.lit("ENSG")))
-    name = F.coalesce(F.when(good(at(name_col - 1)), at(name_col - 1)), F.get(plain, F.lit(0)), F.get(ensembl, F.lit(0)), F.concat(F.lit("gene:"), at(0), F.lit(":"), at(1), F.lit("-"), at(2)))
-    return rows.select(at(0).alias("chrom"), (at(1).try_cast("int") + 1).alias("start1"), at(2).try_cast("int").alias("end1"), name.alias("name"), F.col("ord").alias("file_ord")).filter("start1 is not null and end1 is not null")
+    given = F.trim(at(name_col - 1)) if guess else at(name_col - 1)
+    start = at(1).try_cast("int") + 1
+    if guess:
+        others = F.filter(F.transform(F.slice("p", 4, 7), lambda x: F.trim(x)), lambda x: (x != "") & ~x.isin("+", "-"))
+        known = lambda x: F.startswith(F.upper(x), F.lit("ENSG"))
+        plain, ensembl = F.filter(others, lambda x: ~known(x) & (F.length(x) <= 50)), F.filter(others, known)
+        name = F.coalesce(F.when((given != "") & ~given.isin("+", "-"), given), F.get(plain, F.lit(0)), F.get(ensembl, F.lit(0)), F.lit(""))
+    else:
+        name = F.coalesce(F.when(given != "", given), F.concat(F.lit("gene:"), at(0), F.lit(":"), start.cast("string"), F.lit("-"), at(2)))
+    bare = F.regexp_replace(at(0), "^chr", "")
+    chrom = F.explode(F.array(bare, F.concat(F.lit("chr"), bare))) if guess else at(0)
+    return rows.select(chrom.alias("chrom"), start.alias("start1"), at(2).try_cast("int").alias("end1"), name.alias("name"), F.col("ord").alias("file_ord")).filter("start1 is not null and end1 is not null")
 
 
-_PER_READ = {"pos_start", "read_name", "MAPQ", "ORIENTATION"}
-_CLUSTERED = {"pos", "svtype", "support", "median_mapq", "example_reads"}
+# The columns that tell the two formats apart.
+_PER_READ = {"pos_start", "pos_end", "read_name", "sv_type"}
+_CLUSTERED = {"pos", "end", "svtype", "length", "support"}
 
 
 def candidate_format(header: list[str]) -> str:
@@ -99,9 +129,10 @@ def read_candidates(spark: SparkSession, path: str, kind: str | None = None) ->
 
     Only the header line is read on the driver. '.' and missing optional columns take their defaults: mapq 30, length
     0, strand +, support 1. An insertion whose end is its start ends behind its length. Rows without numbers
-    where numbers belong are left out; short rows are filled up.
+    where numbers belong are left out. Per-read rows with another number of fields than the header are left out, short
+    clustered rows are filled up. White space around lines doesn't count.
     """
-    lines = _lines(spark, path).filter((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
+    lines = _lines(spark, path).filter(~F.startswith("value", F.lit("#"))).withColumn("value", F.regexp_replace("value", r"^\s+|\s+$", "")).filter("value <> ''")
     head = lines.orderBy("ord").first()
     if head is None:
         raise ValueError(f"no header in {path}")
@@ -113,6 +144,8 @@ def read_candidates(spark: SparkSession, path: str, kind: str | None = None) ->
         raise ValueError(f"{kind} table without columns {missing}")
     p = F.split("value", "\t")
     rows = lines.filter(F.col("ord") != head["ord"])
+    if kind == "per_read":
+        rows = rows.filter(F.size(p) == len(header))
 
     def text(name: str, default: str | None = None) -> Column:
         if name not in header:
@@ -131,6 +164,14 @@ def read_candidates(spark: SparkSession, path: str, kind: str | None = None) ->
     return out.filter("chrom is not null and pos is not null and end is not null and svtype is not null")
 
 
+def read_regions(spark: SparkSession, path: str, chroms: list[str] | None = None) -> DataFrame:
+    """The transcript regions that ``sinks.write_regions`` has put out, of all chromosomes or of these; folders of others aren't read."""
+    from ..schema import TX_REGIONS
+
+    rows = spark.read.schema(TX_REGIONS).parquet(path)
+    return rows.filter(F.col("chrom").isin(chroms)) if chroms is not None else rows
+
+
 def read_merged(spark: SparkSession, path: str) -> DataFrame:
     """The merged table, as ``sinks.write_table`` puts it out."""
     from ..schema import MERGED

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from locusframe import schema
+from locusframe.functions import text
 from locusframe.operators import annotate, cluster, intervals, observe
 from locusframe.sinks.text import merged_table, vcf_lines, write_table, write_vcf
+from locusframe.sinks import text as sinks
 from locusframe.sources import text as sources
 
 PER_READ = "read_idx long, obs_idx int, chrom string, start int, `end` int, read_name string, sv_type string, sv_len int"
@@ -64,20 +66,21 @@ def test_discordant(spark):
 
 def test_salvage(spark):
     found, bad = observe.salvage(read(spark, "40M50I7Q"))
-    assert [(r.sv_type, r.start, r.note) for r in found.collect()] == [("INS", 140, "SALVAGED_I")]
+    assert [(r.sv_type, r.start, r.note) for r in found.collect()] == [("INS", 140, "SALVAGED_CIGAR_I")]
     assert bad.count() == 1
 
 
 def test_every_annotation_label(spark):
     exons = spark.createDataFrame([("1", "+", "t1", "A", 100, 200, 1), ("1", "+", "t1", "A", 301, 400, 2), ("1", "-", "t2", "B", 600, 700, 1)], "chrom string, strand string, tx_id string, gene string, s int, e int, exon_number int")
-    exons = exons.withColumns({c: F.lit(c) for c in ("tx_name", "gene_biotype", "tx_biotype")})
+    exons = exons.withColumns({"chrom": F.concat(F.lit("chr"), "chrom"), **{c: F.lit(c) for c in ("tx_name", "gene_biotype", "tx_biotype")}})
     regions = annotate.transcript_regions(exons)
     assert [tuple(r)[1:3] for r in regions.filter("region_kind = 'intron'").collect()] == [(201, 301)]
     cases = [("1", 150, 650, "DEL", "Gene_Fusion"), ("1", 100, 201, "DEL", "Exonic_Deletion"), ("1", 100, 200, "DEL", "Intronic/Novel_Splicing"), ("1", 203, 299, "DEL", "Canonical_Splicing"), ("1", 220, 260, "DEL", "Intronic/Novel_Splicing"), ("1", 450, 460, "DEL", "Intergenic"), ("1", 150, 150, "DEL", "Intergenic"), ("1", 150, 150, "INS", "Intragenic_Insertion"), ("1", 150, 150, "INV", "Unclassified"), ("9", 1, 2, "DEL", None)]
     events = spark.createDataFrame([(i, *c[:4], 1, 1) for i, c in enumerate(cases)], "sv_id long, chrom string, start int, `end` int, svtype string, svlen int, support long")
     got = {r.sv_id: r.ann_type for r in annotate.annotate(events, regions).collect()}
     assert got == {i: c[4] for i, c in enumerate(cases) if c[4]}
-    lines = {r.value.split("\t")[2]: r.value for r in vcf_lines(annotate.annotate(events, regions)).collect()}
+    lines = {r.value.split("\t")[2]: r.value for r in vcf_lines(annotate.annotate(events, regions), "sv_id").collect()}
+    assert "REGION=A,B;" in lines["0"] and {r.value.split("\t")[2] for r in vcf_lines(annotate.annotate(events, regions)).collect()} == {"."}
     assert "TX_NAME" in lines["0"] and "TX_NAME" not in lines["5"] and "REGION=Intergenic" in lines["5"]
 
 
@@ -110,7 +113,64 @@ def test_files(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "v")).collect()][-1] == "x"
     bed = tmp_path / "g.bed"
     bed.write_text("1\t9\t20\tABC\n1\t9\t20\t+\tENSG1\tlncRNA\tXYZ\n1\t9\t20\n")
-    assert [(r.start1, r.name) for r in sources.read_gene_bed(spark, str(bed)).orderBy("file_ord").collect()] == [(10, "ABC"), (10, "lncRNA"), (10, "gene:1:9-20")]
+    assert [(r.start1, r.name) for r in sources.read_gene_bed(spark, str(bed)).orderBy("file_ord").collect()] == [(10, "ABC"), (10, "+"), (10, "gene:1:10-20")]
+    assert [(r.chrom, r.name) for r in sources.read_gene_bed(spark, str(bed), guess=True).orderBy("file_ord", "chrom").collect()] == [(c, n) for n in ("ABC", "lncRNA", "") for c in ("1", "chr1")]
+
+
+def test_sam_files_with_one_read_group_repeated_tags_and_many_tags(spark, tmp_path):
+    row = "r{}\t0\tchr1\t101\t60\t40M\t*\t0\t0\t*\t*\tRG:Z:g\tSA:Z:a\tSA:Z:b\t" + "\t".join(f"{chr(65 + i // 50)}{chr(48 + i % 50)}:i:{i}" for i in range(1500)) + "\n"
+    for i, platform in enumerate(("ONT", "ILLUMINA")):
+        (tmp_path / f"{i}.sam").write_text(f"@RG\tID:g\tPL:{platform}\n@RG\tID:g\tPL:OTHER\n" + row.format(i))
+    got = sources.read_sam(spark, str(tmp_path)).orderBy("qname").collect()
+    assert [(r.qname, r.rg_platform, r.tags["SA"], len(r.tags)) for r in got] == [("r0", "ONT", "a", 1500), ("r1", "ILLUMINA", "a", 1500)]
+    assert [r.qname for r in sources.first_reads(sources.read_sam(spark, str(tmp_path / "0.sam")), 1).collect()] == ["r0"]
+    bad = spark.createDataFrame([("a,1,+,5M,3,0;bad;",)], "sa string").select(F.size(text.sa_entries(F.col("sa"))).alias("n"), text.sa_entries(F.col("sa"), True).alias("none"))
+    assert [tuple(r) for r in bad.collect()] == [(1, None)]
+
+
+def test_candidate_tables(spark, tmp_path):
+    assert sources.candidate_format(["pos", "end", "svtype", "length", "read_name", "MAPQ"]) == "clustered"
+    assert sources.candidate_format(["pos_start", "pos_end", "pos", "end"]) == "per_read"
+    head = "chrom\tpos_start\tpos_end\tread_name\tsv_type\tsv_len\n"
+    (tmp_path / "c.tsv").write_text("#x\n" + head + "1\t5\t5\tr1\tins\t-7\n1\t5\t5\tr2\tINS\n1\t5\t5\tr3\tINS\t1\tmore\n2\t1\t9\t.\tDEL\t.  \n")
+    got = sources.read_candidates(spark, str(tmp_path / "c.tsv")).orderBy("ord").collect()
+    assert [(r.chrom, r.pos, r.end, r.svtype, r.svlen, r.read == "r1") for r in got] == [("chr1", 5, 12, "INS", 7, True), ("chr2", 1, 9, "DEL", 0, False)]
+
+
+def test_per_read_table_and_summary(spark):
+    reads = read(spark, "40M50I40M", flag=1, tlen=7)
+    found = observe.legacy_candidates(reads, discordant=True)
+    lines = [r.value for r in sinks.per_read_lines(found, examined=3, skipped=1, bam_type="short", median_len=9, mean_len=9.25).collect()]
+    assert lines[:4] == ["#BAM_CLASSIFICATION=short", "#SAMPLED_MEDIAN_READLEN=9", "#SAMPLED_MEAN_READLEN=9.2", "#THRESHOLDS_INS=30\tDEL=30\tSOFTCLIP=30\tMQ=20"]
+    assert [x.split("\t")[4] for x in lines[5:7]] == ["INS", "DISC_PAIR"] and len(lines[5].split("\t")) == 15
+    assert lines[7:11] == ["#SUMMARY_total_examined=3", "#SUMMARY_total_candidates=2", "#SUMMARY_total_skipped=1", "#SUMMARY_INS=1"] and lines[-2:] == ["#SUMMARY_DISC_PAIR=1", "#SUMMARY_LARGE_INSERT=0"]
+    told = sinks.summary_lines(found.union(found.filter("sv_type = 'DISC_PAIR'")), 3, 1, 2)
+    assert told[-2:] == ["DISC_PAIR: 2 (66.7%)", "INS: 1 (33.3%)"] and '  "clusters_found": 2' in told
+
+
+def test_vcf_heads_regions_and_genes(spark, tmp_path):
+    body = spark.createDataFrame([("chr2", 5, "b"), ("chr1", 9, "a")], "chrom string, start int, value string")
+    for version, n in (("4.2", 13), ("4.3", 8)):
+        write_vcf(body, str(tmp_path / version), version)
+        lines = [r.value for r in spark.read.text(str(tmp_path / version)).collect()]
+        assert len(lines) == n + 2 and lines[0].endswith(version) and sorted(lines[n:]) == ["a", "b"]
+    regions = spark.createDataFrame([("chr1", 1, 5, "g", "t", "exon", 1, "n", "b", "x"), ("chr2", 1, 5, "g", "t", "exon", 1, "n", "b", "x")], schema.TX_REGIONS)
+    sinks.write_regions(regions, str(tmp_path / "r"))
+    assert sources.read_regions(spark, str(tmp_path / "r"), ["chr2"]).count() == 1
+    assert sorted(map(tuple, sources.read_regions(spark, str(tmp_path / "r")).select(regions.columns).collect())) == sorted(map(tuple, regions.collect()))
+    genes = spark.createDataFrame([("chr1", "gene", 10, 20, "+", "A", "ENSG1", "lncRNA"), ("chr1", "exon", 10, 20, "+", "A", "ENSG1", "lncRNA")], "chrom string, feature string, s int, e int, strand string, gene string, gene_id string, gene_biotype string")
+    assert [tuple(r) for r in sinks.gene_bed(genes).collect()] == [("chr1", 10, 20, "+", "ENSG1", "lncRNA", "A")]
+    assert sinks.gene_bed(genes, true_bed=True).first().start == 9
+
+
+def test_text_rules(spark):
+    row = spark.range(1).select(text.within(F.lit(5), F.lit(9), 4), text.length_similar(F.lit(100), F.lit(111)), text.length_similar(F.lit(100), F.lit(112)), text.overlap_closed(F.lit(1), F.lit(5), F.lit(5), F.lit(9)), text.contained(F.lit(2), F.lit(3), F.lit(1), F.lit(3)), text.strand(F.lit("R/F")), text.sv_length(F.lit("NA"), F.lit("del"), F.lit(5), F.lit(9)), text.end_of(F.lit("DEL"), F.lit(5), F.lit(3))).first()
+    assert tuple(row) == (True, True, False, True, True, "-", -5, 7)
+
+
+def test_utr_regions(spark):
+    u = spark.createDataFrame([("chr1", "+", "t1", "A", 90, 99, 1)], "chrom string, strand string, tx_id string, gene string, s int, e int, exon_number int").withColumns({c: F.lit(c) for c in ("tx_name", "gene_biotype", "tx_biotype")})
+    assert [(r.region_kind, r.begin, r.end_excl) for r in annotate.transcript_regions(u.limit(0), u).collect()] == [("UTR", 90, 100)]
 
 
 def test_empty_tables(spark):
