@@ -22,8 +22,9 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 3
 #: Estimates below the threshold by no more than five standard deviations of the estimator go on to the full sets; infinity sends all.
 DEVIATIONS = 5.0
-#: Buckets of up to so many sets are paired by a join; larger ones are searched by pivots. Both ways are complete.
-SMALL = 16
+#: Buckets of up to so many sets are paired by a join, larger ones are searched by pivots; groups of up to so many sets that
+#: share an element of their differences from a pivot are paired, larger ones get a pivot of their own. All ways are complete.
+SMALL, SHARING = 16, 256
 
 _MULTIPLIERS = np.random.default_rng(20240131).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -192,11 +193,10 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
     return entries.join(hubs, "key").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def _pairs_within(rows: DataFrame, by: list[str], free: str | None = None) -> DataFrame:
-    """Pairs of sets of different components that agree in ``by``; with ``free`` at least one of the two is marked so."""
-    other = rows.select(*by, F.col("node").alias("b"), F.col("comp").alias("comp_b"), *[F.col(c).alias("free_b") for c in (free,) if c])
-    paired = rows.join(other, by).filter("comp <> comp_b and node < b")
-    return (paired.filter(F.col(free) | F.col("free_b")) if free else paired).select(F.col("node").alias("a"), "b").distinct()
+def _pairs_within(rows: DataFrame, by: str) -> DataFrame:
+    """Pairs of sets of different components that agree in ``by``."""
+    other = rows.select(by, F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    return rows.join(other, by).filter("comp <> comp_b and node < b").select(F.col("node").alias("a"), "b").distinct()
 
 
 def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -205,22 +205,31 @@ def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Two sets of similarity s = percent / 100 differ in at most q = (1 - s) / (1 + s) of the sum of their sizes. If
     A isn't linked to the pivot and B is linked to A, what A and B have in common in their differences from the pivot is
     at least |D(A)| - |A| (1 - s) / s; more than |D(B)| s / (1 + s) if B is linked to the pivot; and not nothing. So in any
-    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common.
+    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common. The one with
+    the smaller difference has even |D| - |A| (1 - s) / (2 s) in common with the other, so fewer of its elements do (``least``).
     """
     mine = sets.select("node", F.col("shingles").alias("s"))
     pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("r"))
     far = rows.join(mine, "node").join(pivots, "pivot").select("g", "pivot", "node", "comp", F.size("s").alias("n"), F.size("r").alias("m"), F.concat(F.array_except("s", "r"), F.array_except("r", "s")).alias("d"))
     far = far.withColumn("linked", (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("m")))
     overlap = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * (100 - percent) / percent), F.when(F.col("linked"), F.floor(F.size("d") * percent / (100 + percent)) + 1).otherwise(1))
-    return far.select("g", "pivot", "node", "comp", "linked", "d", (F.size("d") - overlap + 1).alias("most"))
+    of_smaller = F.greatest(overlap, F.size("d") - F.floor(F.col("n") * (100 - percent) / (2 * percent)))
+    return far.select("g", "pivot", "node", "comp", "linked", "d", (F.size("d") - overlap + 1).alias("most"), (F.size("d") - of_smaller + 1).alias("least"))
 
 
 def _rarest(far: DataFrame) -> DataFrame:
-    """g, node, comp, linked and e, for the ``most`` elements of each set's difference that are in the fewest differences of its group."""
-    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", F.explode("d").alias("e"))
+    """g, node, comp, linked, size (of the difference), e and first (whether it is one of the ``least``), for the ``most`` elements of each set's difference that are in the fewest differences of its group."""
+    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", "least", F.size("d").alias("size"), F.explode("d").alias("e"))
     counts = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
     ranked = spread.join(counts, ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "e")))
-    return ranked.filter("rank <= most and n > 1").select("g", "node", "comp", "linked", "e")
+    return ranked.filter("rank <= most and n > 1").select("g", "node", "comp", "linked", "size", "e", (F.col("rank") <= F.col("least")).alias("first"))
+
+
+def _sharing_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of sets of different components, not both linked to the pivot, that share an element, one of the first of the smaller difference."""
+    small = rows.filter("first").select("g", "e", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("linked").alias("linked_a"), F.col("size").alias("size_a"))
+    paired = rows.withColumnRenamed("node", "b").join(small, ["g", "e"]).filter("comp <> comp_a and not (linked and linked_a) and (size_a < size or size_a = size and a < b)")
+    return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _by_pivots(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, percent: int, steps: Steps):
@@ -235,12 +244,11 @@ def _by_pivots(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: fl
         far = steps.stash(_differences(rows, sets, percent), "near-differences")
         yield far.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
         spread = steps.stash(_rarest(far), "near-rarest")
-        groups = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("some"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.col("linked"), F.xxhash64("node"), "node")).alias("p"))
-        groups = groups.filter("some and lo <> hi").select("g", "e", "n", F.col("p.node").alias("p"))
+        groups = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("some"), F.max("first").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.col("linked"), F.xxhash64("node"), "node")).alias("p"))
+        groups = groups.filter("some and any and lo <> hi").select("g", "e", "n", F.col("p.node").alias("p"))
         shared = steps.stash(spread.join(groups, ["g", "e"]), "near-shared")
-        few = shared.filter(F.col("n") <= SMALL).withColumn("free", ~F.col("linked"))
-        yield verified(likely(_pairs_within(few, ["g", "e"], "free"), nodes, threshold), sets, percent)
-        many = shared.filter(F.col("n") > SMALL).select(F.xxhash64("g", "p").alias("g"), F.col("p").alias("pivot"), "node", "comp").distinct()
+        yield verified(likely(_sharing_pairs(shared.filter(F.col("n") <= SHARING)), nodes, threshold), sets, percent)
+        many = shared.filter(F.col("n") > SHARING).select(F.xxhash64("g", "p").alias("g"), F.col("p").alias("pivot"), "node", "comp").distinct()
         rows = steps.stash(many, "near-groups")
 
 
@@ -287,7 +295,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     links = [steps.stash(verified(best, sets, percent), "near-links")]
     labels = components(links[0], steps)
     few, many = _mixed_buckets(entries, labels, steps)
-    pairs = steps.stash(likely(_pairs_within(few, ["key"]), met, threshold), "near-pairs")
+    pairs = steps.stash(likely(_pairs_within(few, "key"), met, threshold), "near-pairs")
     more = [verified(pairs, sets, percent), *_by_pivots(many, met, sets, threshold, percent, steps)]
     second = steps.stash(functools.reduce(DataFrame.union, [x.select("a", "b") for x in more]), "near-links")
     if not second.isEmpty():

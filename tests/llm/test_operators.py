@@ -377,6 +377,7 @@ def brute(rows, k, percent):
 @pytest.mark.parametrize("small", [16, 2])
 def test_op9_components(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", small)
+    monkeypatch.setattr(neardup, "SHARING", small)
     rows, r = [], random.Random(5)
     for g in range(12):
         base = prose(100 + g, 80).split()
