@@ -1,8 +1,8 @@
 """Exact subword counts and identifiers through a memo of chunks, and the prefix table of a text.
 
 A chunk is a maximal run without ASCII white space. The vocabulary's pretokens never span white space, so
-the tokens of a text are those of its chunks in order; each distinct chunk is encoded by the library once
-for as long as the memo holds it. Special strings inside a chunk are handled as the library does by default.
+the tokens of a text are those of its chunks in order, and those of a chunk those of its pretokens. Each distinct part is
+encoded by the library once for as long as the memo holds it. Special strings are handled as the library does by default.
 """
 
 from __future__ import annotations
@@ -31,14 +31,49 @@ def _library(path: str):
     return t
 
 
+#: Classes of bytes: 0 ASCII letters (and letters of two bytes), 1 digits, 2 punctuation, 3 all others, which are never cut off:
+#: apostrophes (contractions), angle brackets and bars (special strings), other characters.
+_CLASS = np.array([0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2 if 32 < b < 127 and chr(b) not in "'<>|" else 3 for b in range(128)] + [3] * 128, np.int8)
+#: Characters of two bytes from U+00C0 to U+017F that are no letters or change in more than case, as their bytes.
+_ODD = np.array([int.from_bytes(c.encode(), "big") for c in "×÷İıĲĳŉſ"])
+_SMALL = np.array([ord(chr(b).lower()) if b < 128 else b for b in range(256)], np.uint8)
+#: Whether texts are cut between two classes: single digits, and letters and punctuation from each other.
+_CUT = np.array([[0, 1, 1, 0], [1, 1, 1, 0], [1, 1, 0, 0], [0, 0, 0, 0]], bool)
+
+
+class Pretokens(Chunks):
+    """The words of texts, cut where the vocabulary's pretokens end for certain.
+
+    Pretokens are contractions, runs of letters, single digits, or runs of other characters, and each is encoded on
+    its own, from left to right. ASCII letters are taken as small ones, as the library does, unless special strings may be about.
+    ``word_first`` is the first part of each word, ``words_before`` the words before each text, ``ends`` the byte behind each word.
+    """
+
+    def __init__(self, texts: pa.Array | list[bytes]):
+        data, places = flat(texts)
+        start, self.ends, self.words_before = word_spans(data, places)
+        kind = _CLASS[data]
+        two = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] <= 0xC5))
+        two = two[(data[two + 1] & 0xC0 == 0x80) & ~np.isin(data[two].astype(np.int32) << 8 | data[two + 1], _ODD)]
+        kind[two] = kind[two + 1] = 0
+        first = np.zeros(len(data), bool)
+        first[1:] = _CUT[kind[:-1], kind[1:]]
+        first[start] = True
+        edges = np.flatnonzero(first)
+        # of a cut that isn't the begin of a word both sides are in a word, since blanks are of the last class
+        self.word_first = np.searchsorted(edges, start)
+        data = data if b"<|" in data.tobytes() else _SMALL[data]
+        behind = np.append(edges[1:], len(data))
+        behind[np.append(self.word_first[1:] - 1, len(edges) - 1)[: len(start)]] = self.ends
+        sizes = behind - edges
+        super().__init__(data[ragged(edges, sizes)], sizes, np.searchsorted(edges, places))
+        self.n_bytes, self.places = np.diff(places), places
+
+
 class Encoder:
-    """Identifiers of chunks by the library, with less work for chunks that are one word between ASCII punctuation.
+    """Identifiers of pretokens by the library: words many at a time with blanks between them, told apart by the tokens that end a word.
 
-    Pretokens are runs of letters, single digits, or runs of other characters, and each is encoded on its own. So a
-    chunk of punctuation, word, punctuation has the identifiers of the three parts, and the word those of its lower
-    case. New words are encoded many at a time with blanks between them, and told apart by the tokens that end a
-    word. That holds for letters below U+0180, which the normaliser changes in case only; all other chunks, such as
-    those with an apostrophe in front of letters (contractions) or with special strings, go to the library as they are.
+    That holds for words of letters below U+0180, which the normaliser changes in case only; all other parts go to the library one by one.
     """
 
     def __init__(self, path: str):
@@ -47,7 +82,6 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         for piece, i in vocabulary.items():
             self.ends[i] = piece.endswith("</w>")
-        self.parts = Memo(self.encode_parts)
 
     def plain(self, keys: list[str]) -> list[bytes]:
         out = []
@@ -55,41 +89,26 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(keys[start : start + 2000], add_special_tokens=False)]
         return out
 
-    def encode_parts(self, keys: list[str]) -> list[bytes]:
-        """Words in lower case together; punctuation one by one."""
-        words = [k for k in keys if k.isalpha()]
-        found = {}
-        groups = [words[start : start + 500] for start in range(0, len(words), 500)]
-        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+    def __call__(self, parts: list[bytes]) -> list[bytes]:
+        texts = b"\n".join(parts).decode("utf-8", "replace").split("\n")
+        many = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or _PLAIN.fullmatch(t))]
+        out: list[bytes | None] = [None] * len(parts)
+        groups = [many[k : k + 500] for k in range(0, len(many), 500)]
+        for some, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join([texts[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) == len(some):
-                data = ids.tobytes()
-                found.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=True))
-        rest = [k for k in keys if k not in found]
-        found.update(zip(rest, self.plain(rest), strict=True))
-        return [found[k] for k in keys]
-
-    def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        texts = [c.decode("utf-8", "replace") for c in chunks]
-        split: list[str | tuple | None] = []
-        for t in texts:
-            if t.isascii() and t.isalpha():
-                split.append(t.lower())
-            else:
-                m = _PLAIN.fullmatch(t)
-                split.append(m and (m[1], m[2].lower(), m[3]))
-        want = {m for m in split if isinstance(m, str)}
-        want.update(*(m for m in split if isinstance(m, tuple)))
-        want.discard("")
-        want = list(want)
-        get = dict(zip(want, self.parts.values_of(want), strict=True)).get
-        others = iter(self.plain([t for t, m in zip(texts, split, strict=True) if not m]))
-        return [get(m) if isinstance(m, str) else get(m[0], b"") + get(m[1]) + get(m[2], b"") if m else next(others) for m in split]
-
-
-#: Punctuation (no apostrophe, and no angle bracket or bar, of which special strings are made), letters, punctuation.
-_PLAIN = re.compile("([!\"#$%&()*+,./:;=?@\\[\\]^_`{}~\\\\-]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0100-\u012f\u0134-\u0148\u014a-\u017e]+)([!\"#$%&()*+,./:;=?@\\[\\]^_`{}~\\\\-]*)")
+                data, at = ids.tobytes(), 0
+                for i, cut in zip(some, cuts, strict=True):
+                    out[i], at = data[at:cut], cut
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.plain([texts[i] for i in rest]), strict=True):
+            out[i] = x
+        return out
+
+
+#: Letters that the normaliser changes in case only.
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u0100-\u012f\u0134-\u0148\u014a-\u017e]+")
 
 
 def _encoder(path: str) -> Encoder:
@@ -99,28 +118,30 @@ def _encoder(path: str) -> Encoder:
 
 
 def chunk_ids(path: str) -> Memo:
-    """Chunk to its identifiers as little-endian unsigned 32-bit integers; one memo for each process."""
+    """Part of a text to its identifiers as little-endian unsigned 32-bit integers; one memo for each process."""
     if ("ids", path) not in _LOADED:
-        _LOADED["ids", path] = Memo(_encoder(path))
+        _LOADED["ids", path] = Memo(_encoder(path), entry=130)
     return _LOADED["ids", path]
 
 
 class Encoded:
-    """Identifiers of the chunks of several texts: ``ids`` side by side, ``n`` of each chunk, ``ends`` behind each text, ``chunk_ends`` behind each text."""
+    """Identifiers of several texts side by side: ``ids``, ``ends`` behind each text, and ``n`` of each word."""
 
-    def __init__(self, chunks: Chunks, path: str):
-        found = chunk_ids(path).values_of(chunks.distinct.to_pylist())
+    def __init__(self, texts: pa.Array | list[bytes], path: str, with_ids: bool = True):
+        self.parts = parts = Pretokens(texts)
+        found = chunk_ids(path).values_of(parts.distinct.to_pylist())
         table, places = flat(found)
-        places, sizes = places // 4, np.array([len(x) // 4 for x in found], np.int64)
-        self.n = sizes[chunks.at]
-        self.ids = np.frombuffer(table.tobytes(), "<u4")[ragged(places[chunks.at], self.n)]
-        self.ends = np.concatenate([[0], np.cumsum(self.n)])[chunks.before[1:]]
-        self.chunk_ends = chunks.before[1:]
+        sizes = (np.diff(places) // 4)[parts.at]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        self.ends = total[parts.before[1:]]
+        self.n = np.diff(total[np.append(parts.word_first, len(parts.at))])
+        if with_ids:
+            self.ids = np.frombuffer(table.tobytes(), "<u4")[ragged((places // 4)[parts.at], sizes)]
 
 
 def encode_texts(texts: pa.Array | list[bytes], path: str) -> Encoded:
-    """Identifiers of texts, each distinct chunk looked up once."""
-    return Encoded(Chunks.words(texts), path)
+    """Identifiers of texts, each distinct part looked up once."""
+    return Encoded(texts, path)
 
 
 class PrefixTable:
@@ -137,7 +158,7 @@ class PrefixTable:
         self.text, self.path = text, path
         data, places = flat([text])
         self.starts, self.ends, _ = word_spans(data, places)
-        self.counts = np.cumsum(Encoded(Chunks.words([text]), path).n)
+        self.counts = np.cumsum(Encoded([text], path, with_ids=False).n)
         self.inside: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     @property
@@ -158,7 +179,7 @@ class PrefixTable:
         if i < len(self.starts) and self.starts[i] < n_bytes:
             ends, counts = self._cuts(i)
             inside = int(counts[np.searchsorted(ends, n_bytes - self.starts[i])])
-            n += inside if inside >= 0 else len(_encoder(self.path)([self.text[self.starts[i] : n_bytes]])[0]) // 4
+            n += inside if inside >= 0 else len(_encoder(self.path).plain([self.text[self.starts[i] : n_bytes].decode()])[0]) // 4
         return n
 
     def fit(self, budget: int) -> int:
@@ -203,20 +224,17 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, fit_chunks long" + ", ends array<long>, counts array<long>" * store
 
     def run(batches):
-        memo = chunk_ids(path)
         for b in slices(batches):
-            data, places = flat(b.column(1))
-            start, end, before = word_spans(data, places)
-            chunks = Chunks.of(data, start, end, before)
-            sizes = np.array([len(x) // 4 for x in memo.values_of(chunks.distinct.to_pylist())], np.int64)
-            total = np.concatenate([[0], np.cumsum(sizes[chunks.at] if len(sizes) else np.zeros(0, np.int64))])
+            coded = Encoded(b.column(1), path, with_ids=False)
+            parts, before = coded.parts, coded.parts.words_before
+            total = np.concatenate([[0], np.cumsum(coded.n)])
             n = total[before[1:]] - total[before[:-1]]
             fits = np.searchsorted(total, total[before[:-1]] + limit, "right") - 1
             fits = np.minimum(fits, before[1:]) - before[:-1]
-            out = [b.column(0), *map(pa.array, (np.diff(places), n, n > limit, np.diff(before), fits))]
+            out = [b.column(0), *map(pa.array, (parts.n_bytes, n, n > limit, np.diff(before), fits))]
             if store:
                 spans = pa.array(before, pa.int32())
-                out += [pa.ListArray.from_arrays(spans, pa.array(end - np.repeat(places[:-1], np.diff(before)))), pa.ListArray.from_arrays(spans, pa.array(total[1:] - np.repeat(total[before[:-1]], np.diff(before))))]
+                out += [pa.ListArray.from_arrays(spans, pa.array(parts.ends - np.repeat(parts.places[:-1], np.diff(before)))), pa.ListArray.from_arrays(spans, pa.array(total[1:] - np.repeat(total[before[:-1]], np.diff(before))))]
             yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "fit_chunks", *["ends", "counts"] * store])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -78,6 +78,32 @@ def test_op2_and_op3(docs, empty):
     assert sstable.token_shards(empty, WORD_BPE).count() == tokens.count_tokens(empty, WORD_BPE).count() == 0
 
 
+def test_op2_encoder_is_the_library(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tk, r = Tokenizer.from_file(WORD_BPE), random.Random(8)
+    alphabet = [*"abcXYZ'.,;<|>-_12 3\n\t!«»é×÷ÀžİĳſŉΣσ中文²½Ⅷ\u0301 ﬁß€", "'s", "'ll", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "don't", "x'd", "the ", " 'tis"]
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randrange(14))) for _ in range(6000)]
+    texts += [t.replace("<|", "<-") for t in texts]
+    for at in range(0, len(texts), 500):
+        some = [t.encode() for t in texts[at : at + 500]]
+        got = tokens.encode_texts(some, WORD_BPE)
+        ends = [0, *got.ends.tolist()]
+        assert [got.ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [e.ids for e in tk.encode_batch([t.decode() for t in some], add_special_tokens=False)]
+        assert got.n.tolist() == [len(tk.encode(w, add_special_tokens=False).ids) for t in some for w in words(t.decode())]
+
+
+def test_op3_budget():
+    for text in (TEXTS[10], "中文" * 30, "abc,def.ghi " * 4, "z" * 700 + " b c"):
+        table = tokens.PrefixTable(text.encode(), WORD_BPE)
+        for budget in (0, 1, 2, 5, 9):
+            n = table.fit(budget)
+            assert table.count(n) <= budget and n <= len(text.encode())
+    table = tokens.PrefixTable(b"ab,cd", WORD_BPE)
+    counts = [table.count(n) for n in range(6)]
+    assert [table.fit(b) for b in range(5)] == [max(n for n in range(6) if counts[n] <= b) for b in range(5)]
+
+
 def test_op2_lookup():
     writer = sstable.ShardWriter()
     data = b""
