@@ -7,10 +7,10 @@ one's ``docs``. All but the last return the columns of ``docs`` in their order.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import ship, stash
+from locusframe.llm.common import Steps, ship, stash, unused
 from locusframe.llm.leaks import without_leaks
 from locusframe.llm.lines import dedup_lines
 from locusframe.llm.neardup import near_duplicates
@@ -24,52 +24,66 @@ SHINGLE, PERCENT = 5, 80
 ORACLE_SQL = None
 
 
+def _same(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, Column]:
+    """``rows`` (doc_id, text_hash) under names that ``docs`` hasn't, and the condition that a document is one of them."""
+    i, h = unused(docs.columns, "_lf_i", "_lf_h")
+    return rows.select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct(), F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the quality classifier predicts as label 1; fitted on the labels of ``sf_dir`` outside the held-out quarter."""
+    """Rows that the quality classifier predicts as label 1; fitted on the labels of ``sf_dir`` outside the held-out quarter.
+
+    Null texts are judged as empty ones; rows that agree in identifier and text go or stay together.
+    """
     ship(spark)
     voter = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_quality(docs.select("doc_id", "text"), voter, keep_hash=True)
-    good = scored.filter("predicted = 1").select(F.col("doc_id").alias("_lf_i"), F.col("text_hash").alias("_lf_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_lf_i")) & (F.xxhash64("text") == F.col("_lf_h"))
-    return docs.join(stash(good, "good"), same, "left_semi")
+    good, same = _same(docs, stash(scored.filter("predicted = 1").select("doc_id", "text_hash"), "good"))
+    return docs.join(good, same, "left_semi")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines. Rows that lose their last word to it go; n_chars follows the text."""
-    out = dedup_lines(docs)
-    emptied = (F.col("n_removed") > 0) & (F.trim("text", F.lit(SPACE)) == "")
+    """Texts without later repeated passages. Rows that lose their last word to it go; n_chars follows the text. Null and empty texts stay as they are."""
+    lines, removed = unused(docs.columns, "n_lines", "n_removed")
+    out = dedup_lines(docs, names=(lines, removed))
+    emptied = (F.col(removed) > 0) & (F.trim("text", F.lit(SPACE)) == "")
     out = out.filter(~emptied)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least doc_id, of each group of near-duplicates; documents without links stay."""
+    """One document, the least doc_id, of each group of near-duplicates; documents without links, null and empty texts stay.
+
+    Rows that agree in identifier and text are dropped or stay together.
+    """
     ship(spark)
-    found = near_duplicates(docs, k=SHINGLE, percent=PERCENT).filter(~F.col("kept")).select(F.col("doc_id").alias("_lf_i"), F.col("text_hash").alias("_lf_h")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_lf_i")) & (F.xxhash64("text") == F.col("_lf_h"))
-    return docs.join(stash(found, "near-gone"), same, "left_anti")
+    gone, same = _same(docs, near_duplicates(docs.select("doc_id", "text"), k=SHINGLE, percent=PERCENT).filter(~F.col("kept")).select("doc_id", "text_hash"))
+    return docs.join(gone, same, "left_anti")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark of ``sf_dir``."""
+    """Documents that hold no item of the benchmark of ``sf_dir``; null and empty texts stay."""
     ship(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of each document, with their inclusion scores."""
+    """Sampled segmentations of each document, with their inclusion scores; null and empty texts have one empty segmentation."""
     ship(spark)
-    return sampled_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return sampled_segmentations(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("encoding", encoding)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents of ``sf_dir`` through all stages; each stage's rows are written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The documents of ``sf_dir`` through all stages; each stage's rows are written and read again, those before them deleted."""
+    steps, docs, last = Steps(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = steps.stash(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if last is not None:
+            steps.drop(last)
+        last = docs
     return docs
