@@ -24,12 +24,14 @@ _LAST = [""]
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the setting is missing (tests, one machine) a temporary folder of this machine is made,
-    one for each application.
+    Only where the setting is missing and Spark runs in one process (tests, one machine) a temporary folder of this
+    machine is made, one for each application; on a cluster that is an error, since executors wouldn't see each other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="locusframe-")
@@ -84,6 +86,17 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores in front of those that are names of columns already."""
+    taken, out = {x.lower() for x in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Steps:
     """The stashed steps of one operator, deleted when they aren't needed any more."""
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, as_bytes, flat, ragged, slices, span_hashes, stash, word_spans
+from .common import Steps, as_bytes, flat, ragged, slices, span_hashes, unused, word_spans
 
 FEATURES, RANK, OVERSAMPLE = 8192, 48, 8
 #: Windows start every STRIDE words, for items of fewer than four strides at most every quarter of the item; so many of a document are searched at a time.
@@ -291,7 +291,7 @@ def _leaks(rows: DataFrame, index: Index) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_lf_i"), F.col("text_hash").alias("_lf_h")).distinct()
-    found = stash(found, "leak-found")
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_lf_i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_lf_h"))
+    i, h = unused(docs.columns, "_lf_i", "_lf_h")
+    found = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
     return docs.join(found, same, "left_anti")

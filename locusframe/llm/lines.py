@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unused
 from .rules import SPACE, _let
 
 #: A line feed in front of a line with a word; splitting there and joining by a line feed gives the text again.
@@ -79,6 +79,10 @@ def _spans(runs: Column, min_words: int) -> Column:
     return _let(F.array_sort(runs), of)
 
 
+def _key(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, h (identifier, null as a number below all, and text hash) and gone (first and last word of passages to delete) of each document with repeats.
 
@@ -94,8 +98,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     The first place of a content is the least one, so a link is one row however often the content occurs. Rows
     that agree in identifier and text are one document. Two independent hashes of 64 bits tell windows apart.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i")
-    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
+    rows = docs.select(_key(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
 
     def long_enough(hashes: Column) -> Column:
         return F.when(F.size(hashes) >= min_words, _marks(hashes, min_words))
@@ -139,22 +142,23 @@ def _without(text: Column, gone: Column) -> Column:
     return _let(_units(F.concat(lead, F.array_join(F.transform(pieces, tagged), ""))), of)
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
     """All columns of each row, the text without later repeated passages of ``min_words`` words or more, n_lines, and n_removed (lines that lost words).
 
     Words are compared; lines and white space don't matter. A passage is deleted where an equal one comes earlier, in
     another document (by identifier, then text hash) or the same one: whole lines with their line feed, of a line that
     is repeated in part just those words. Texts without such passages stay as they are, null too; a text may become
-    empty. Columns named n_lines or n_removed are replaced.
+    empty. Rows that agree in identifier and text are one document, and keep the same. The last two columns are called
+    ``names``; other columns of these names are replaced. An empty table gives an empty result.
     """
-    gone = repeated_passages(docs, min_words, id_col, text_col).select(F.col("i").alias("_lf_i"), F.col("h").alias("_lf_h"), F.col("gone").alias("_lf_gone"))
+    i, h, cut_out, new = unused([*docs.columns, *names], "_lf_i", "_lf_h", "_lf_gone", "_lf_text")
+    gone = repeated_passages(docs, min_words, id_col, text_col).select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(cut_out))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_lf_i": F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)), "_lf_h": F.xxhash64(text)})
-    joined = keyed.join(gone, ["_lf_i", "_lf_h"], "left")
-    lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias("n_lines")
-    old = F.struct(lines, F.lit(0).cast("long").alias("n_removed"), F.col(text_col).cast("string").alias("_lf_text"))
-    cut = _let(_without(text, F.col("_lf_gone")), lambda x: F.struct(lines, x["n"].cast("long").alias("n_removed"), x["t"].alias("_lf_text")))
-    others = [c for c in docs.columns if c not in ("n_lines", "n_removed", text_col)]
+    joined = docs.withColumns({i: _key(id_col), h: F.xxhash64(text)}).join(gone, [i, h], "left")
+    lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias(names[0])
+    old = F.struct(lines, F.lit(0).cast("long").alias(names[1]), F.col(text_col).cast("string").alias(new))
+    cut = _let(_without(text, F.col(cut_out)), lambda x: F.struct(lines, x["n"].cast("long").alias(names[1]), x["t"].alias(new)))
+    others = [c for c in docs.columns if c not in (*names, text_col)]
     # a generator computes its rows once, however often their columns are used
-    made = joined.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(F.when(F.col("_lf_gone").isNull(), old).otherwise(cut))))
-    return made.select(*[F.col("_lf_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+    made = joined.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(F.when(F.col(cut_out).isNull(), old).otherwise(cut))))
+    return made.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in names], *names)
