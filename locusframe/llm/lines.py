@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, unused
+from .common import Steps, unused
 from .rules import SPACE, _let
 
 #: A line feed in front of a line with a word; splitting there and joining by a line feed gives the text again.
@@ -103,20 +103,23 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     def long_enough(hashes: Column) -> Column:
         return F.when(F.size(hashes) >= min_words, _marks(hashes, min_words))
 
-    marks = stash(rows.filter(F.length("t") >= 2 * min_words - 1).select("i", "h", F.explode(_let(_words(F.col("t")), long_enough)).alias("x")).select("i", "h", "x.*"), "lines-marks")
+    steps = Steps(docs.sparkSession)
+    marks = steps.stash(rows.filter(F.length("t") >= 2 * min_words - 1).select("i", "h", F.explode(_let(_words(F.col("t")), long_enough)).alias("x")).select("i", "h", "x.*"), "lines-marks")
     again = marks.groupBy("a").agg(F.sum("places").alias("n")).filter("n > 1").select("a")
     here = F.struct("i", "h", "s", "e").alias("src")
-    stretches = stash(marks.join(again, "a", "left_semi"), "lines-again")
-    firsts = stash(stretches.groupBy("a", "c").agg(F.min(here).alias("src"), F.count(F.lit(1)).alias("n"), F.max("places").alias("places")), "lines-first")
+    stretches = steps.stash(marks.join(again, "a", "left_semi"), "lines-again")
+    steps.drop(marks)
+    firsts = steps.stash(stretches.groupBy("a", "c").agg(F.min(here).alias("src"), F.count(F.lit(1)).alias("n"), F.max("places").alias("places")), "lines-first")
     copies = stretches.join(firsts.filter("n > 1").select("a", "c", "src"), ["a", "c"]).filter(F.struct("i", "h", "s", "e") != F.col("src"))
     mixed = firsts.groupBy("a").agg(F.sum("places").alias("n")).filter("n > 1").select("a")
-    held = stash(firsts.join(mixed, "a", "left_semi").select("src.*", "a").groupBy("i", "h").agg(F.collect_list(F.struct("a", "s", "e")).alias("marks")), "lines-held")
+    held = steps.stash(firsts.join(mixed, "a", "left_semi").select("src.*", "a").groupBy("i", "h").agg(F.collect_list(F.struct("a", "s", "e")).alias("marks")), "lines-held")
     windows = rows.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
-    kept = stash(windows.select("i", "h", "x.*"), "lines-windows")
+    kept = steps.stash(windows.select("i", "h", "x.*"), "lines-windows")
+    steps.drop(held)
     first = kept.groupBy("g", "a").agg(F.min(F.struct("i", "h", "at")).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a", "src")
     later = kept.join(first, ["g", "a"]).filter(F.struct("i", "h", "at") != F.col("src"))
     gone = copies.select("i", "h", "s", "e").union(later.select("i", "h", F.col("at").alias("s"), F.col("at").alias("e")))
-    return gone.groupBy("i", "h").agg(_spans(F.collect_set(F.struct("s", "e")), min_words).alias("gone"))
+    return steps.keep(gone.groupBy("i", "h").agg(_spans(F.collect_set(F.struct("s", "e")), min_words).alias("gone")), "lines-gone")
 
 
 def _without(text: Column, gone: Column) -> Column:

@@ -165,7 +165,7 @@ def posterior(model: dict) -> Column:
 
 
 def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Measures, votes, quality (posterior) and kept of each row.
+    """The base measures, base_failed, kept, quality (posterior), other measures and votes of each row.
 
     kept is false where base_failed is true, else quality >= threshold. The measures are written to the shared
     folder once, narrow rows without texts; patterns are counted over all documents with a map-side part.
@@ -177,4 +177,6 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id
     counted = scored.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     model = fit_accuracies(counted, names)
     quality = posterior(model)
-    return scored.withColumn("quality", quality).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    kept = (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept")
+    base = [id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return scored.withColumn("quality", quality).select(*base, kept, "quality", *[c for c in scored.columns if c not in base])

@@ -56,6 +56,35 @@ def test_op1_measures(docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def test_op1_columns(docs):
+    assert rules.quality_rules(docs).columns[:8] == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+
+
+def test_op1_expectation_maximisation(spark):
+    """Accuracies and posterior against the same rounds in plain Python, and against the truth that made the votes."""
+    r, names = random.Random(4), ["a", "b", "c", "d"]
+    truth = {"a": (0.95, 0.8), "b": (0.9, 0.7), "c": (0.97, 0.6), "d": (0.85, 0.9)}
+    rows = []
+    for _ in range(3000):
+        good = r.random() < 0.7
+        rows.append((good, [0 if r.random() < 0.2 else (1 if good else -1) * (1 if r.random() < truth[k][0 if good else 1] else -1) for k in names]))
+    counted = Counter(tuple(v) for _, v in rows)
+    got = rules.fit_accuracies(spark.createDataFrame([(*v, n) for v, n in counted.items()], "a int, b int, c int, d int, n long"), names)
+
+    prior, g, b = 0.8, [0.999] * 4, [0.3] * 4
+    post = lambda v: 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(np.log(g[k] / (1 - b[k])) if x == 1 else np.log((1 - g[k]) / b[k]) if x == -1 else 0 for k, x in enumerate(v)))))
+    for _ in range(30):
+        p = {v: post(v) for v in counted}
+        share = lambda k, c, w: (sum(n * w(v) for v, n in counted.items() if v[k] == c) + 0.5) / (sum(n * w(v) for v, n in counted.items() if v[k]) + 1)
+        new = [min(0.9999, max(0.5, share(k, 1, p.get))) for k in range(4)]
+        bad = [min(0.9999, max(1.02 * (1 - new[k]), share(k, -1, lambda v: 1 - p[v]))) for k in range(4)]
+        prior, g, b = min(0.99, max(0.01, sum(n * p[v] for v, n in counted.items()) / len(rows))), new, bad
+    assert np.allclose([got["prior"], *got["good"].values(), *got["bad"].values()], [prior, *g, *b], atol=1e-9)
+    assert abs(got["prior"] - 0.7) < 0.05 and all(abs(got["good"][k] - truth[k][0]) < 0.06 and abs(got["bad"][k] - truth[k][1]) < 0.12 for k in names)
+    one = spark.createDataFrame([(1, 0, -1, 1)], "a int, b int, c int, d int").select(rules.posterior(got)).first()[0]
+    assert abs(one - post((1, 0, -1, 1))) < 1e-9
+
+
 def test_op2_and_op3(docs, empty):
     from tokenizers import Tokenizer
 
@@ -420,6 +449,27 @@ def test_op9_components(spark, docs, empty, small, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_op10_votes_are_those_of_all_products():
+    texts = [(prose(i, 40) if i % 3 else "BUY $$ now !! " * (5 + i)).encode() for i in range(90)]
+    voter = quality.Voter(texts[:60], [int(i % 3 > 0) for i in range(60)], 0.6)
+    near = voter.embed(texts) @ voter.vectors.T
+    for got, sims in zip(voter.scores(texts), near, strict=True):
+        best = sorted(range(60), key=lambda j: -sims[j])[: voter.k]
+        w = [max(float(sims[j]), 0) ** 4 * voter.weight[j] for j in best]
+        assert abs(got - (sum(x for x, j in zip(w, best, strict=True) if voter.labels[j]) + 1e-3 * 0.6) / (sum(w) + 1e-3)) < 1e-3
+
+
+def test_op10_string_identifiers_hot_rows_and_conflicting_labels(spark):
+    rows = [("a" + str(i), prose(i, 60) if i % 2 else "$$ ## BUY now !!! " * 12) for i in range(80)] + [("a1", prose(1, 60))] * 50
+    labels = spark.createDataFrame([("a" + str(i), i % 2) for i in range(80)] + [("a0", 1), ("a0", 1)], "doc_id string, quality int")
+    voter = quality.fit_quality(spark.createDataFrame(rows, "doc_id string, text string"), labels, rows=30)
+    assert len(voter.labels) <= 60 and 0 < voter.labels.mean() < 1
+    got = {r.doc_id: r.predicted for r in quality.score_quality(spark.createDataFrame(rows, "doc_id string, text string"), voter).collect()}
+    assert sum(got[f"a{i}"] == i % 2 for i in range(80)) > 74
+    short = quality.fit_quality(spark.createDataFrame(rows, "doc_id string, text string"), labels, max_bytes=2 * 250)
+    assert len(short.labels) >= 2
+
+
 def test_op10_quality(docs, empty, spark):
     rows = [(i, prose(i, 60) if i % 2 else "$$ ## BUY now !!! " * 12) for i in range(120)]
     labels = spark.createDataFrame([*[(i, i % 2, 0) for i, _ in rows], (None, 1, 0), (5000, None, 0)], "doc_id long, quality int, toxic int")
