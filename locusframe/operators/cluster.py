@@ -16,6 +16,16 @@ _ORDER = ["read_idx", "obs_idx"]
 _BATCH = 256
 
 
+#: Positions are cut into stretches of so many bases, each a window of its own; a row for each stretch, at most some
+#: thousands for a chromosome, carries what has to be known across their edges.
+STRETCH = 1 << 20
+
+
+def _before(keys: list[str]):
+    """All stretches before one."""
+    return Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+
+
 def _median(c: str):
     return F.percentile(c, F.lit(0.5)).cast("int")
 
@@ -26,20 +36,31 @@ def gap_merge(candidates: DataFrame, window: int = 50, min_support: int = 2) ->
     By start, a row joins while it starts within ``window`` of the largest end so far. Support counts distinct
     reads, the median all rows.
     """
-    key = Window.partitionBy("chrom", "sv_type").orderBy("start", "end", "read_name")
-    before = F.max("end").over(key.rowsBetween(Window.unboundedPreceding, -1))
-    marked = candidates.withColumn("_new", F.when(F.col("start") <= before + window, 0).otherwise(1))
-    numbered = marked.withColumn("_c", F.sum("_new").over(key.rowsBetween(Window.unboundedPreceding, 0)))
+    keys = ["chrom", "sv_type"]
+    rows = candidates.withColumn("_stretch", F.floor(F.col("start") / STRETCH))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy("start", "end", "read_name")
+    reach = rows.groupBy(*keys, "_stretch").agg(F.max("end").alias("_end"))
+    reach = reach.select(*keys, "_stretch", F.max("_end").over(_before(keys)).alias("_carry"))
+    largest = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
+    marked = rows.join(reach, [*keys, "_stretch"]).withColumn("_new", F.when(F.col("start") <= largest + window, 0).otherwise(1))
+    offsets = marked.groupBy(*keys, "_stretch").agg(F.sum("_new").alias("_k"))
+    offsets = offsets.select(*keys, "_stretch", F.coalesce(F.sum("_k").over(_before(keys)), F.lit(0)).alias("_offset"))
+    counted = marked.withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = counted.join(offsets, [*keys, "_stretch"]).withColumn("_c", F.col("_offset") + F.col("_inner"))
     out = numbered.groupBy("chrom", "sv_type", "_c").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("read_name").alias("support"), _median("sv_len").alias("median_sv_len"), F.array_sort(F.collect_set("read_name")).alias("reads"))
     return out.filter(F.col("support") >= min_support).select("chrom", "start", "end", F.col("sv_type").alias("type"), "support", "median_sv_len", "reads")
 
 
 def islands(rows: DataFrame, keys: list[str], pos: str, window: int, order: list[str]) -> DataFrame:
     """``rows`` with _island and _n, its size: a gap of more than ``window`` between sorted positions starts a new island."""
-    w = Window.partitionBy(*keys).orderBy(pos, *order)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) <= window, 0).otherwise(1)
-    marked = rows.withColumn("_new", new)
-    numbered = marked.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    cut = rows.withColumn("_stretch", F.floor(F.col(pos) / STRETCH))
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order)
+    new = F.when(F.col(pos) - F.lag(pos).over(inside) <= window, 0).otherwise(1)
+    counted = cut.withColumn("_new", new).withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    edges = counted.groupBy(*keys, "_stretch").agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.max("_inner").alias("_k"))
+    joined = F.when(F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_stretch")) <= window, 1).otherwise(0)
+    edges = edges.withColumn("_joined", joined).select(*keys, "_stretch", (F.coalesce(F.sum(F.col("_k") - F.col("_joined")).over(_before(keys)), F.lit(0)) - F.col("_joined")).alias("_offset"))
+    numbered = counted.join(edges, [*keys, "_stretch"]).withColumn("_island", F.col("_offset") + F.col("_inner")).drop("_new", "_inner", "_offset", "_stretch")
     return numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island")))
 
 

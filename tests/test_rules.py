@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from locusframe import schema
@@ -91,6 +93,27 @@ def test_interval_join_across_bins(spark):
     assert got == [(1, "x"), (1, "y"), (2, "x")]
 
 
+def test_interval_join_of_all_lengths(spark):
+    r = random.Random(2)
+    spans = lambda n: [(i, r.choice("ab"), s, s + r.choice([0, 1, 5, 300, 3000, 90_000, 5_000_000])) for i in range(n) for s in [r.randrange(3_000_000)]]
+    x, y = spans(150), spans(150)
+    a, b = spark.createDataFrame(x, "i int, c string, s int, t int"), spark.createDataFrame(y, "j int, c string, b int, e int")
+    got = sorted((q.i, q.j) for q in intervals.interval_join(a, b, ["c"], ("s", "t"), ("b", "e")).collect())
+    assert got == sorted((i, j) for i, c, s, t in x for j, d, u, v in y if c == d and s < t and u < v and s < v and u < t)
+
+
+def test_clusters_across_stretches(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, 0, "1", s, s + r.choice([0, 3, 40, 200]), f"r{i}", r.choice(["DEL", "INS"]), 5) for i in range(300) for s in [r.randrange(4000)]]
+    df = spark.createDataFrame(rows, PER_READ)
+    found = []
+    for stretch in (1 << 20, 64):
+        monkeypatch.setattr(cluster, "STRETCH", stretch)
+        islands = cluster.islands(df, ["chrom", "sv_type"], "start", 7, ["read_idx"])
+        found.append((sorted(map(str, cluster.gap_merge(df, window=5).collect())), sorted((q.read_idx, q["_island"], q["_n"]) for q in islands.collect())))
+    assert found[0] == found[1] and len({x[1] for x in found[0][1]}) > 20
+
+
 def test_files(spark, tmp_path):
     sam = tmp_path / "a.sam"
     sam.write_text("@HD\tVN:1.6\n@RG\tID:g\tPL:ONT\nr1\t0\tchr1\t101\t60\t40M25I40M\t*\t0\t0\t" + "ACGTC" * 21 + "\t*\tRG:Z:g\tSA:Z:chr2,5,+,10S40M,60,0;\nr2\t4\t*\t0\t0\t*\t*\t0\t0\t*\t*\n")
