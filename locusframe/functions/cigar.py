@@ -32,14 +32,16 @@ def ref_span(operations: Column) -> Column:
 def placed(operations: Column, wanted) -> Column:
     """The operations that pass ``wanted``, with the bases of reference (ref) and read (read) in front of each.
 
-    Cursors are sums over the operations in front, worked out for the few operations that pass only.
+    One fold with both cursors, so a read costs in proportion to its operations; what passes is added to the result.
     """
+    none = F.array().cast("array<struct<i:int,op:string,len:int,ref:int,read:int>>")
 
-    def place(x: Column) -> Column:
-        front = lambda kinds: consumed(F.slice(operations, F.lit(1), x["i"]), kinds)
-        return F.struct(x["i"].alias("i"), x["op"].alias("op"), x["len"].alias("len"), front(REF).alias("ref"), front(READ).alias("read"))
+    def step(acc: Column, x: Column) -> Column:
+        here = F.struct(x["i"].alias("i"), x["op"].alias("op"), x["len"].alias("len"), acc["ref"].alias("ref"), acc["read"].alias("read"))
+        on = lambda c, kinds: (acc[c] + F.when(x["op"].isin(*kinds), x["len"]).otherwise(F.lit(0))).alias(c)
+        return F.struct(on("ref", REF), on("read", READ), F.when(wanted(x), F.array_append(acc["out"], here)).otherwise(acc["out"]).alias("out"))
 
-    return F.transform(F.filter(operations, wanted), place)
+    return F.aggregate(operations, F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), none.alias("out")), step, lambda acc: acc["out"])
 
 
 def is_poly_at(seq: Column, min_len: Column | int = 20, share: float = 0.8) -> Column:
