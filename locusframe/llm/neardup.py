@@ -200,28 +200,33 @@ def _pairs_within(rows: DataFrame, by: str) -> DataFrame:
 
 
 def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rows (g, pivot, node, comp) with linked (the node's set is similar enough to the pivot's), d (the elements in which the two sets differ) and most.
+    """rows (g, pivot, node, comp) with linked (the node's set is similar enough to the pivot's), size (in how many elements the two differ), these elements (more, less), most and least.
 
     Two sets of similarity s = percent / 100 differ in at most q = (1 - s) / (1 + s) of the sum of their sizes. If
     A isn't linked to the pivot and B is linked to A, what A and B have in common in their differences from the pivot is
     at least |D(A)| - |A| (1 - s) / s; more than |D(B)| s / (1 + s) if B is linked to the pivot; and not nothing. So in any
-    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common. The one with
+    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common. What the pivot
+    hasn't comes first, since what it has is missing in many; where that is enough, the rest isn't looked at. The one with
     the smaller difference has even |D| - |A| (1 - s) / (2 s) in common with the other, so fewer of its elements do (``least``).
     """
     mine = sets.select("node", F.col("shingles").alias("s"))
     pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("r"))
-    far = rows.join(mine, "node").join(pivots, "pivot").select("g", "pivot", "node", "comp", F.size("s").alias("n"), F.size("r").alias("m"), F.concat(F.array_except("s", "r"), F.array_except("r", "s")).alias("d"))
-    far = far.withColumn("linked", (100 + percent) * F.size("d") <= (100 - percent) * (F.col("n") + F.col("m")))
-    overlap = F.greatest(F.lit(1), F.size("d") - F.floor(F.col("n") * (100 - percent) / percent), F.when(F.col("linked"), F.floor(F.size("d") * percent / (100 + percent)) + 1).otherwise(1))
-    of_smaller = F.greatest(overlap, F.size("d") - F.floor(F.col("n") * (100 - percent) / (2 * percent)))
-    return far.select("g", "pivot", "node", "comp", "linked", "d", (F.size("d") - overlap + 1).alias("most"), (F.size("d") - of_smaller + 1).alias("least"))
+    far = rows.join(mine, "node").join(pivots, "pivot").select("g", "pivot", "node", "comp", F.size("s").alias("n"), F.size("r").alias("m"), F.array_except("s", "r").alias("more"), F.array_except("r", "s").alias("less"))
+    far = far.withColumn("size", F.size("more") + F.size("less"))
+    far = far.withColumn("linked", (100 + percent) * F.col("size") <= (100 - percent) * (F.col("n") + F.col("m")))
+    size = F.col("size")
+    overlap = F.greatest(F.lit(1), size - F.floor(F.col("n") * (100 - percent) / percent), F.when(F.col("linked"), F.floor(size * percent / (100 + percent)) + 1).otherwise(1))
+    of_smaller = F.greatest(overlap, size - F.floor(F.col("n") * (100 - percent) / (2 * percent)))
+    least = F.when(F.size("more") < size - overlap + 1, F.col("less")).otherwise(F.array().cast("array<long>"))
+    return far.select("g", "pivot", "node", "comp", "linked", "size", "more", least.alias("less"), (size - overlap + 1).alias("most"), (size - of_smaller + 1).alias("least"))
 
 
 def _rarest(far: DataFrame) -> DataFrame:
     """g, node, comp, linked, size (of the difference), e and first (whether it is one of the ``least``), for the ``most`` elements of each set's difference that are in the fewest differences of its group."""
-    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", "least", F.size("d").alias("size"), F.explode("d").alias("e"))
+    each = lambda c, flag: F.transform(c, lambda e: F.struct(F.lit(flag).alias("missing"), e.alias("e")))
+    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", "least", "size", F.explode(F.concat(each("more", 0), each("less", 1))).alias("x")).select("*", "x.missing", "x.e").drop("x")
     counts = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spread.join(counts, ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "node").orderBy("n", "e")))
+    ranked = spread.join(counts, ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "node").orderBy("missing", "n", "e")))
     return ranked.filter("rank <= most and n > 1").select("g", "node", "comp", "linked", "size", "e", (F.col("rank") <= F.col("least")).alias("first"))
 
 
