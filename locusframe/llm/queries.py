@@ -95,7 +95,28 @@ def op10_quality_classifier(spark, sf_dir):
     return score_quality(docs, fit_quality(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_decontamination, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier)}
+@_query
+def op11_merkle_manifest(spark, sf_dir):
+    from .merkle import document_manifest
+
+    return document_manifest(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_match_fingerprints(spark, sf_dir):
+    from .lexicons import match_fingerprints
+
+    return match_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op13_vector_codes(spark, sf_dir):
+    from .vectorcodes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_shards, op3_token_counts, op4_line_dedup, op5_sentencepiece, op6_decontamination, op7_language, op8_warc, op9_minhash_near_dedup, op10_quality_classifier, op11_merkle_manifest, op12_match_fingerprints, op13_vector_codes)}
 
 #: The largest page_id of equal payloads is the response. Base32 of a SHA-1: eight groups of five hex digits, four characters each.
 _ARCHIVE = """
