@@ -31,6 +31,11 @@ def length_similar(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(5), F.floor(F.greatest(a, b) / 10))
 
 
+def similar_lengths(a: int, b: int) -> bool:
+    """``length_similar`` for numbers."""
+    return abs(a - b) <= max(5, max(a, b) // 10)
+
+
 def overlap_closed(a1: Column, a2: Column, b1: Column, b2: Column) -> Column:
     return (a2 >= b1) & (a1 <= b2)
 

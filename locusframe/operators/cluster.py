@@ -1,29 +1,28 @@
 """Clustering of observations and candidates.
 
-Three algorithms with rules of their own: gap merge with a running maximum (window functions only), greedy leaders, and
-sequential merge into the open group. The latter two work on islands: runs of sorted positions without a gap above the
-window, which no cluster can cross. Islands of one row never reach Python.
+Three algorithms with rules of their own: gap merge with a running maximum (window functions), greedy leaders, and
+sequential merge into the open group. Observations are written once, since each algorithm goes over them more than once and they may
+be dear to make. The latter two fold over what decides, in order: distinct places for leaders, rows for open groups. The order is
+cut into chunks of bounded size, each folded with what the chunk before it leaves open, and only chunks for which that has changed
+are folded again, so that one deep pile of reads is many tasks. Rows without a neighbour within the window are never folded.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
-
-_ORDER = ["read_idx", "obs_idx"]
-#: Neighbouring islands go to Python together, so many: small ones would each cost a call of their own.
-_BATCH = 256
+from collections.abc import Callable
 
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
-#: Positions are cut into stretches of so many bases, each a window of its own; a row for each stretch, at most some
-#: thousands for a chromosome, carries what has to be known across their edges.
-STRETCH = 1 << 20
-
+from ..functions.text import end_of, similar_lengths
+from ..steps import Steps, ship_package
+from . import places
+from .places import before, stretch_of
 
-def _before(keys: list[str]):
-    """All stretches before one."""
-    return Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+_ORDER = ["read_idx", "obs_idx"]
+#: Items of a chunk.
+CHUNK = 1 << 14
 
 
 def _median(c: str):
@@ -37,124 +36,194 @@ def gap_merge(candidates: DataFrame, window: int = 50, min_support: int = 2) ->
     reads, the median all rows.
     """
     keys = ["chrom", "sv_type"]
-    rows = candidates.withColumn("_stretch", F.floor(F.col("start") / STRETCH))
+    rows = Steps(candidates.sparkSession).stash(candidates.select(*keys, "start", "end", "read_name", "sv_len", stretch_of("start").alias("_stretch")), "gap-merge")
     inside = Window.partitionBy(*keys, "_stretch").orderBy("start", "end", "read_name")
     reach = rows.groupBy(*keys, "_stretch").agg(F.max("end").alias("_end"))
-    reach = reach.select(*keys, "_stretch", F.max("_end").over(_before(keys)).alias("_carry"))
+    reach = reach.select(*keys, "_stretch", F.max("_end").over(before(keys)).alias("_carry"))
     largest = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), "_carry")
     marked = rows.join(reach, [*keys, "_stretch"]).withColumn("_new", F.when(F.col("start") <= largest + window, 0).otherwise(1))
     offsets = marked.groupBy(*keys, "_stretch").agg(F.sum("_new").alias("_k"))
-    offsets = offsets.select(*keys, "_stretch", F.coalesce(F.sum("_k").over(_before(keys)), F.lit(0)).alias("_offset"))
+    offsets = offsets.select(*keys, "_stretch", F.coalesce(F.sum("_k").over(before(keys)), F.lit(0)).alias("_offset"))
     counted = marked.withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     numbered = counted.join(offsets, [*keys, "_stretch"]).withColumn("_c", F.col("_offset") + F.col("_inner"))
     out = numbered.groupBy("chrom", "sv_type", "_c").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("read_name").alias("support"), _median("sv_len").alias("median_sv_len"), F.array_sort(F.collect_set("read_name")).alias("reads"))
     return out.filter(F.col("support") >= min_support).select("chrom", "start", "end", F.col("sv_type").alias("type"), "support", "median_sv_len", "reads")
 
 
-def islands(rows: DataFrame, keys: list[str], pos: str, window: int, order: list[str]) -> DataFrame:
-    """``rows`` with _island and _n, its size: a gap of more than ``window`` between sorted positions starts a new island."""
-    cut = rows.withColumn("_stretch", F.floor(F.col(pos) / STRETCH))
-    inside = Window.partitionBy(*keys, "_stretch").orderBy(pos, *order)
-    new = F.when(F.col(pos) - F.lag(pos).over(inside) <= window, 0).otherwise(1)
-    counted = cut.withColumn("_new", new).withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    edges = counted.groupBy(*keys, "_stretch").agg(F.min(pos).alias("_lo"), F.max(pos).alias("_hi"), F.max("_inner").alias("_k"))
-    joined = F.when(F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_stretch")) <= window, 1).otherwise(0)
-    edges = edges.withColumn("_joined", joined).select(*keys, "_stretch", (F.coalesce(F.sum(F.col("_k") - F.col("_joined")).over(_before(keys)), F.lit(0)) - F.col("_joined")).alias("_offset"))
-    numbered = counted.join(edges, [*keys, "_stretch"]).withColumn("_island", F.col("_offset") + F.col("_inner")).drop("_new", "_inner", "_offset", "_stretch")
-    return numbered.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_island")))
+def _near(items: DataFrame, keys: list[str], fields: list[str], window: int) -> DataFrame:
+    """Chunks (keys, _stretch, _part, _from, items) of the items that have a neighbour within the window, in order of ``fields``."""
+    pos = fields[0]
+    inside = Window.partitionBy(*keys, "_stretch").orderBy(*fields)
+    gap = lambda other: F.coalesce(F.abs(F.col(pos) - other) <= window, F.lit(True))  # noqa: E731  unknown at the edges of a stretch
+    near = items.withColumn("_stretch", stretch_of(pos)).withColumn("_near", gap(F.lag(pos).over(inside)) | gap(F.lead(pos).over(inside))).filter("_near")
+    numbered = near.withColumn("_part", F.floor((F.row_number().over(inside) - 1) / CHUNK))
+    item = F.struct(*fields)
+    return numbered.groupBy(*keys, "_stretch", "_part").agg(F.min(pos).alias("_from"), F.array_sort(F.collect_list(item)).alias("items"))
 
 
-def _leaders(positions: list[list[int]], lengths: list[int] | None, window: int) -> list[int]:
-    """For each row, in order, the number of its leader: the first earlier leader that matches, or itself.
+def _settled(chunks: DataFrame, keys: list[str], steps: Steps, fold: Callable[[DataFrame], DataFrame], carry: str, window: int) -> DataFrame:
+    """Chunks folded with what those before them leave open; ``fold`` adds labels and out to items and carry (of type ``carry``).
 
-    Leaders whose first position lies more than the window behind can't match any more.
+    Chunks are folded as if nothing were open; then those are folded again that get something else, until none does. That ends, as the first
+    chunk of a key is right at once and each round settles one more at least; most places settle behind the first gap.
     """
-    out, live = [], []
+    at, none = [*keys, "_stretch", "_part"], F.array().cast(carry)
+    state = steps.stash(fold(chunks.withColumn("carry", none)), "chunks")
+    while True:
+        told = F.lag("out").over(Window.partitionBy(*keys).orderBy("_stretch", "_part"))
+        want = F.coalesce(F.filter(told, lambda x: x["pos"] >= F.col("_from") - window), none)
+        changed = state.select(*at, "_from", "carry", "out").withColumn("_want", want).filter(F.col("_want") != F.col("carry")).select(*at, "_want")
+        if changed.isEmpty():
+            return state
+        changed = steps.stash(changed, "changed")
+        again = fold(state.join(changed, at).drop("labels", "out", "carry").withColumnRenamed("_want", "carry"))
+        settled = steps.stash(state.join(changed, at, "left_anti").unionByName(again), "chunks")
+        for old in (state, changed):
+            steps.drop(old)
+        state = settled
+
+
+def _in_python(step: Callable, columns: list[str], label: str, carry: str) -> Callable[[DataFrame], DataFrame]:
+    """A fold in Python over the Arrow lists of chunks: ``step`` gets the fields of the items and the carry, and gives labels and what it leaves open."""
+
+    def fold(chunks: DataFrame) -> DataFrame:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema)
+        return chunks.mapInArrow(lambda batches: _folded(batches, step, columns, (label, carry)), f"{schema}, labels array<{label}>, out {carry}")
+
+    return fold
+
+
+def _folded(batches, step: Callable, columns: list[str], kinds: tuple[str, str]):
+    for batch in batches:
+        items, carry = batch.column("items"), batch.column("carry").to_pylist()
+        fields = [items.values.field(c).to_pylist() for c in columns]
+        offsets = items.offsets.to_pylist()
+        made = [step([f[a:b] for f in fields], held) for a, b, held in zip(offsets[:-1], offsets[1:], carry, strict=True)]
+        labels = [x for x, _ in made]
+        out = pa.array([x for _, x in made], batch.schema.field("carry").type)
+        kind = items.type if kinds[0].startswith("struct") else pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, kind), out], names=[*batch.schema.names, "labels", "out"])
+
+
+def _leaders(positions: list[list[int]], lengths: list[int] | None, window: int, held: int = 0) -> tuple[list[int], list[int]]:
+    """For each row, in order, the number of its leader, the first earlier leader that matches or itself, and the leaders still open at the end.
+
+    The first ``held`` rows are leaders already. Leaders whose first position lies more than the window behind can't match any more.
+    """
+    out, live = list(range(held)), list(range(held))
     for i, p in enumerate(zip(*positions, strict=True)):
+        if i < held:
+            continue
         live = [j for j in live if positions[0][j] >= p[0] - window]
         for j in live:
-            if all(abs(x - positions[d][j]) <= window for d, x in enumerate(p)) and (lengths is None or abs(lengths[i] - lengths[j]) <= max(5, max(lengths[i], lengths[j]) // 10)):
+            if all(abs(x - positions[d][j]) <= window for d, x in enumerate(p)) and (lengths is None or similar_lengths(lengths[i], lengths[j])):
                 out.append(j)
                 break
         else:
             out.append(i)
             live.append(i)
-    return out
+    return out, live
 
 
-def greedy_leaders(rows: DataFrame, keys: list[str], positions: list[str], window: int, length: str | None = None) -> DataFrame:
-    """``rows`` with leader: read_idx and obs_idx of the row that claims it.
+def greedy_leaders(rows: DataFrame, steps: Steps, keys: list[str], positions: list[str], window: int, length: str | None = None) -> DataFrame:
+    """``rows`` with _leader: positions (and length) of the leader that claims them.
 
     Rows go in the order of (positions, length, read_idx, obs_idx); a row is claimed by the first leader within the
-    window on each position and, if given, of similar length, always measured against the leader.
+    window on each position and, if given, of similar length, always measured against the leader. Rows of equal places have
+    one leader, so distinct places are folded. A single position without lengths is folded by an expression, others in Python.
     """
-    order = [*positions[1:], *([length] if length else []), *_ORDER] if len(positions) > 1 else [*([length] if length else []), *_ORDER]
-    marked = islands(rows, keys, positions[0], window, order)
-    alone = marked.filter("_n = 1").withColumns({"leader_read": F.col("read_idx"), "leader_obs": F.col("obs_idx")})
-    need = [*positions, *([length] if length else []), *_ORDER]
-
-    def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([positions[0], *order], kind="stable")
-        lead = _leaders([pdf[p].tolist() for p in positions], pdf[length].tolist() if length else None, window)
-        return pd.DataFrame({"read_idx": pdf["read_idx"], "obs_idx": pdf["obs_idx"], "leader_read": pdf["read_idx"].to_numpy()[lead], "leader_obs": pdf["obs_idx"].to_numpy()[lead]})
-
-    crowd = marked.filter("_n > 1")
-    led = crowd.select(*keys, "_island", *need).groupBy(*keys, F.floor(F.col("_island") / _BATCH)).applyInPandas(claim, "read_idx long, obs_idx long, leader_read long, leader_obs long")
-    both = crowd.join(led, _ORDER).select(*alone.columns)
-    return alone.unionByName(both).drop("_island", "_n")
-
-
-def _ordered(col: str, order: list[str]):
-    return F.array_sort(F.collect_list(F.struct(*order, col)))
+    places_ = [*positions, *([length] if length else [])]
+    fields = [f"_{c}" if c != positions[0] else "pos" for c in places_]
+    kind = "struct<" + ",".join(f"{f}:int" for f in fields) + ">"
+    named = rows.select(*keys, *[F.col(c).cast("int").alias(f) for c, f in zip(places_, fields, strict=True)]).distinct()
+
+    def claim(items: list[list[int]], carry: list[dict]) -> tuple[list[dict], list[dict]]:
+        columns = [[x[f] for x in carry] + some for f, some in zip(fields, items, strict=True)]
+        n = len(positions)
+        lead, live = _leaders(columns[:n], columns[n] if length else None, window, len(carry))
+        told = lambda j: {f: c[j] for f, c in zip(fields, columns, strict=True)}
+        return [told(j) for j in lead[len(carry) :]], [told(j) for j in live]
+
+    if len(fields) > 1:
+        ship_package(rows.sparkSession)
+    fold = _in_python(claim, fields, kind, f"array<{kind}>") if len(fields) > 1 else lambda chunks: _claimed_natively(chunks, window)
+    chunks = _settled(_near(named, keys, fields, window), keys, steps, fold, f"array<{kind}>", window)
+    pair = F.explode(F.arrays_zip("items", "labels")).alias("x")
+    lead = chunks.select(*keys, pair).select(*keys, *[F.col(f"x.items.{f}").alias(c) for c, f in zip(places_, fields, strict=True)], F.col("x.labels").alias("_lead"))
+    own = F.struct(*[F.col(c).cast("int").alias(f) for c, f in zip(places_, fields, strict=True)])
+    return rows.join(lead, [*keys, *places_], "left").withColumn("_leader", F.coalesce("_lead", own)).drop("_lead")
+
+
+def _claimed_natively(chunks: DataFrame, window: int) -> DataFrame:
+    """Leaders of single positions: the last leader claims what lies within the window behind it. One fold with it as its state."""
+    kind = chunks.schema["items"].dataType.simpleString()
+    start = F.struct(F.element_at("carry", -1)["pos"].alias("lead"), F.array().cast("array<int>").alias("labels"))
+    start = F.when(F.size("carry") > 0, start).otherwise(F.struct(F.lit(None).cast("int").alias("lead"), F.array().cast("array<int>").alias("labels")))
+
+    def step(acc: Column, x: Column) -> Column:
+        lead = F.when(x["pos"] <= acc["lead"] + window, acc["lead"]).otherwise(x["pos"])
+        return F.struct(lead.alias("lead"), F.array_append(acc["labels"], lead).alias("labels"))
+
+    folded = chunks.withColumn("_acc", F.aggregate("items", start, step))
+    wrapped = lambda c: F.transform(c, lambda p: F.struct(p.alias("pos"))).cast(kind)
+    return folded.withColumns({"labels": wrapped(F.col("_acc.labels")), "out": wrapped(F.array("_acc.lead"))}).drop("_acc")
+
+
+def _examples(led: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
+    """Names of the first reads of each cluster. Tasks rank and cut their own rows first, so no task gets all rows of a deep cluster."""
+    by = [*keys, "_leader"]
+    first = led.select(*by, *order, "rname").withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_rank") <= most)
+    return first.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "rname"))), lambda x: x["rname"]), ",").alias("example_reads"))
+
+
+def _clusters(obs: DataFrame, keys: list[str], positions: list[str], window: int, max_names: int, length: str | None, **more: Column) -> DataFrame:
+    """Clusters by greedy leaders: medians of positions, length and mapping quality, support by rows and by reads, first names, and ``more`` aggregates."""
+    steps = Steps(obs.sparkSession)
+    obs = steps.stash(obs, "observations")
+    led = greedy_leaders(obs, steps, keys, positions, window, length)
+    places_ = [*positions, *([length] if length else [])]
+    out = led.groupBy(*keys, "_leader").agg(*[_median(c).alias(c) for c in places_], F.count(F.lit(1)).alias("support"), _median("mapq").alias("median_mapq"), F.countDistinct("rname").alias("support_distinct"), *[c.alias(name) for name, c in more.items()])
+    return out.join(_examples(led, keys, [*places_, *_ORDER], max_names), [*keys, "_leader"]).drop("_leader")
 
 
 def indel_clusters(obs: DataFrame, window: int = 10, max_names: int = 3) -> DataFrame:
     """Greedy-leader clusters of insertions and deletions: medians, row-count support, first names, first inserted sequence, and distinct reads."""
-    led = greedy_leaders(obs, ["chrom", "svtype"], ["pos"], window, "length")
-    order = ["pos", "length", *_ORDER]
-    out = led.groupBy("chrom", "svtype", "leader_read", "leader_obs").agg(
-        _median("pos").alias("pos"),
-        _median("length").alias("length"),
-        F.count(F.lit(1)).alias("support"),
-        _median("mapq").alias("median_mapq"),
-        F.array_join(F.transform(F.slice(_ordered("rname", order), 1, max_names), lambda x: x["rname"]), ",").alias("example_reads"),
-        F.coalesce(F.min_by(F.when((F.col("svtype") == "INS") & (F.col("seq") != ""), F.col("seq")), F.when((F.col("svtype") == "INS") & (F.col("seq") != ""), F.struct(*order))), F.lit("")).alias("example_ins_seq"),
-        F.countDistinct("rname").alias("support_distinct"),
-    )
-    end = F.when(F.col("svtype") == "DEL", F.col("pos") + F.col("length") - 1).otherwise(F.col("pos"))
+    bases = (F.col("svtype") == "INS") & (F.col("seq") != "")
+    first = F.min_by(F.when(bases, F.col("seq")), F.when(bases, F.struct("pos", "length", *_ORDER)))
+    out = _clusters(obs, ["chrom", "svtype"], ["pos"], window, max_names, "length", example_ins_seq=F.coalesce(first, F.lit("")))
+    end = end_of(F.col("svtype"), F.col("pos"), F.col("length"))
     return out.select("chrom", "pos", end.alias("end"), "svtype", "length", "support", "median_mapq", "example_reads", "example_ins_seq", "support_distinct")
 
 
 def clip_clusters(obs: DataFrame, window: int = 10, max_names: int = 3) -> DataFrame:
     """Greedy-leader clusters of clips by position."""
-    led = greedy_leaders(obs, ["chrom", "side"], ["pos"], window)
-    order = ["pos", *_ORDER]
-    out = led.groupBy("chrom", "side", "leader_read", "leader_obs").agg(_median("pos").alias("pos"), F.count(F.lit(1)).alias("support"), _median("mapq").alias("median_mapq"), _median("cliplen").alias("median_cliplen"), F.array_join(F.transform(F.slice(_ordered("rname", order), 1, max_names), lambda x: x["rname"]), ",").alias("example_reads"), F.countDistinct("rname").alias("support_distinct"))
+    out = _clusters(obs, ["chrom", "side"], ["pos"], window, max_names, None, median_cliplen=_median("cliplen"))
     return out.select("chrom", "pos", "side", "support", "median_mapq", "median_cliplen", "example_reads", "support_distinct")
 
 
 def split_clusters(obs: DataFrame, window: int = 10, max_names: int = 3) -> DataFrame:
     """Greedy-leader clusters of split reads between chromosomes, by both positions."""
-    led = greedy_leaders(obs.filter(~F.col("same_chrom")), ["chrom1", "chrom2"], ["pos1", "pos2"], window)
-    order = ["pos1", "pos2", *_ORDER]
-    out = led.groupBy("chrom1", "chrom2", "leader_read", "leader_obs").agg(_median("pos1").alias("pos1"), _median("pos2").alias("pos2"), F.count(F.lit(1)).alias("support"), _median("mapq").alias("median_mapq"), F.array_join(F.array_sort(F.collect_set("note")), "|").alias("notes"), F.array_join(F.transform(F.slice(_ordered("rname", order), 1, max_names), lambda x: x["rname"]), ",").alias("example_reads"), F.countDistinct("rname").alias("support_distinct"))
+    notes = F.array_join(F.array_sort(F.collect_set("note")), "|")
+    out = _clusters(obs.filter(~F.col("same_chrom")), ["chrom1", "chrom2"], ["pos1", "pos2"], window, max_names, None, notes=notes)
     return out.select("chrom1", "pos1", "chrom2", "pos2", "support", "median_mapq", "notes", "example_reads", "support_distinct")
 
 
-def _open_groups(pos: list[int], end: list[int], window: int) -> list[int]:
-    """For each row, in order of position, the number of the first row of its group.
+def _open_groups(pos: list[int], ords: list[int], end: list[int], window: int, carry: list[dict]) -> tuple[list[int], list[dict]]:
+    """For each row, in order of (position, ord), the ord of the first row of its group, and the members of the group that is open at the end.
 
     A row joins the open group if it is within the window of one member on both ends, else it opens a new one.
-    Members whose position lies more than the window behind can't take anyone in any more.
+    Members whose position lies more than the window behind can't take anyone in any more; of members at one place one is enough.
     """
-    out, members, first = [], [], 0
-    for i, (p, e) in enumerate(zip(pos, end, strict=True)):
-        members = [j for j in members if pos[j] >= p - window]
-        if not any(abs(e - end[j]) <= window for j in members):
-            first, members = i, []
-        members.append(i)
+    members = {(x["pos"], x["end"]): None for x in carry}
+    first = carry[0]["first"] if carry else None
+    out = []
+    for p, o, e in zip(pos, ords, end, strict=True):
+        members = {m: None for m in members if m[0] >= p - window} if members and next(iter(members))[0] < p - window else members
+        if not any(abs(e - f) <= window for _, f in members):
+            first, members = o, {}
+        members[p, e] = None
         out.append(first)
-    return out
+    return out, [{"pos": p, "end": e, "first": first} for p, e in members]
 
 
 def sequential_merge(candidates: DataFrame, window: int = 50, min_support: int = 2, compat: bool = False) -> DataFrame:
@@ -164,18 +233,16 @@ def sequential_merge(candidates: DataFrame, window: int = 50, min_support: int =
     median_sv_len); mapq the best; support the sum. With ``compat`` the last group of each (chrom, svtype) is
     lost but for the key that comes last by first appearance.
     """
-    rows = candidates.withColumn("support", F.coalesce("support", F.lit(1)).cast("long"))
-    marked = islands(rows, ["chrom", "svtype"], "pos", window, ["ord"])
-    alone = marked.filter("_n = 1").withColumn("first", F.col("ord"))
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["pos", "ord"], kind="stable")
-        first = _open_groups(pdf["pos"].tolist(), pdf["end"].tolist(), window)
-        return pd.DataFrame({"ord": pdf["ord"], "first": pdf["ord"].to_numpy()[first]})
-
-    crowd = marked.filter("_n > 1")
-    led = crowd.select("chrom", "svtype", "_island", "ord", "pos", "end").groupBy("chrom", "svtype", F.floor(F.col("_island") / _BATCH)).applyInPandas(follow, "ord long, first long")
-    grouped = alone.unionByName(crowd.join(led, "ord").select(*alone.columns))
+    steps, keys = Steps(candidates.sparkSession), ["chrom", "svtype"]
+    ship_package(candidates.sparkSession)
+    rows = steps.stash(candidates.withColumn("support", F.coalesce("support", F.lit(1)).cast("long")), "candidates")
+    items = rows.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), F.col("end").cast("long").alias("end"))
+    follow = lambda fields, carry: _open_groups(*fields, window, carry)
+    carry = "array<struct<pos:bigint,end:bigint,first:bigint>>"
+    chunks = _settled(_near(items, keys, ["pos", "ord", "end"], window), keys, steps, _in_python(follow, ["pos", "ord", "end"], "bigint", carry), carry, window)
+    pair = F.explode(F.arrays_zip("items", "labels")).alias("x")
+    led = chunks.select(pair).select(F.col("x.items.ord").alias("ord"), F.col("x.labels").alias("_first"))
+    grouped = rows.join(led, "ord", "left").withColumn("first", F.coalesce("_first", "ord")).drop("_first")
     best = F.max_by(F.struct("pos", "end", "read", "support"), F.struct("support", -F.struct("pos", "ord")["pos"], -F.col("ord")))
     out = grouped.groupBy("chrom", "svtype", "first").agg(
         best.alias("base"),

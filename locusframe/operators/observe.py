@@ -157,27 +157,59 @@ def read_type(reads: DataFrame) -> DataFrame:
     return reads.agg(F.when(short, "short").when(long, "long").alias("bam_type"))
 
 
-def length_sample(reads: DataFrame, sample: int = 1000, cutoff: int = 1000) -> DataFrame:
-    """bam_type (short if the median is below the cutoff), median, mean and n of the first ``sample`` reads with bases, by read_idx."""
-    first = reads.select("read_idx", F.coalesce(F.length("seq"), F.lit(0)).alias("n")).filter("n > 0").orderBy("read_idx").limit(sample)
-    m = F.percentile("n", F.lit(0.5)).cast("int")
-    return first.agg(F.when(m < cutoff, "short").when(m.isNotNull(), "long").alias("bam_type"), m.alias("median_len"), F.avg("n").alias("mean_len"), F.count("n").alias("n_reads"))
+#: Rows that are read on the driver for a sample, by its size; a sample that isn't complete by then is taken by all tasks.
+_AT_ONCE = 4
 
 
-def insert_sizes(reads: DataFrame, sample: int = 10000) -> DataFrame:
-    """Median, mean and population deviation of the first ``sample`` paired reads with a template length, the cutoff for large inserts, and n_unmapped.
+def _sampled(rows: DataFrame, sample: int) -> tuple[DataFrame, Column]:
+    """The rows (read_idx, hit, …), in file order, up to the one with which the hits are ``sample``, and the condition that a row is among those.
 
-    The cutoff is the median and three deviations, 1000 at least. n_unmapped counts paired reads without a template
-    length whose mate is unmapped, up to the last read of the sample, or all of them if the sample isn't full.
+    Partitions are read one after the other, more at a time, so the first reads of a large file are all that is read. Only where
+    they don't fill the sample (few hits among many other rows) all rows are looked at.
     """
-    paired = reads.filter(F.col("flag").bitwiseAND(PAIRED) != 0)
-    first = paired.filter("tlen <> 0").orderBy("read_idx").limit(sample).select("read_idx", F.abs("tlen").alias("t"))
-    made = first.agg(F.percentile("t", F.lit(0.5)).cast("int").alias("median_tlen"), F.avg("t").alias("mean_tlen"), F.stddev_pop("t").alias("std_tlen"), F.count("t").alias("n_pairs"), F.max("read_idx").alias("_last"))
-    lost = paired.filter((F.coalesce("tlen", F.lit(0)) == 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) != 0)).select("read_idx")
+    got = rows.take(_AT_ONCE * sample)
+    hits = [i for i, r in enumerate(got) if r["hit"]]
+    if len(hits) >= sample or len(got) < _AT_ONCE * sample:
+        kept = got[: hits[sample - 1] + 1] if len(hits) >= sample else got
+        return rows.sparkSession.createDataFrame(kept, rows.schema), F.lit(True)
+    last = rows.filter("hit").orderBy("read_idx").limit(sample).agg(F.max("read_idx").alias("_last"), F.count(F.lit(1)).alias("_hits"))
     # one row on one side
-    counted = lost.join(F.broadcast(made), (F.col("n_pairs") < sample) | (F.col("read_idx") < F.col("_last"))).agg(F.count("read_idx").alias("n_unmapped"))
-    made = made.join(F.broadcast(counted)).drop("_last")
-    return made.withColumn("cutoff", F.greatest(F.lit(1000), F.coalesce((F.col("median_tlen") + 3 * F.col("std_tlen")).cast("int"), F.lit(1000))))
+    return rows.join(F.broadcast(last)), (F.col("_hits") < sample) | (F.col("read_idx") <= F.col("_last"))
+
+
+def _error(reads: DataFrame) -> Column:
+    """Whether a row is a line that is no alignment; reads without that column have none."""
+    return F.col("error").isNotNull() if "error" in reads.columns else F.lit(False)
+
+
+def length_sample(reads: DataFrame, sample: int = 5000, cutoff: int = 1000) -> DataFrame:
+    """bam_type (short if the median is below the cutoff), median, mean and n of the first ``sample`` reads with bases, and n_skipped.
+
+    Reads come in file order; of rows of ``sources.text.sam_lines`` those that are no alignments are skipped and counted, up to the last
+    read of the sample. Without reads bam_type is null and the others are 0.
+    """
+    n = F.coalesce(F.length("seq"), F.lit(0))
+    rows = reads.select("read_idx", (~_error(reads) & (n > 0)).alias("hit"), _error(reads).alias("bad"), n.alias("n")).filter("hit or bad")
+    rows, among = _sampled(rows, sample)
+    n = F.when(F.col("hit"), F.col("n"))
+    m = F.percentile(n, F.lit(0.5)).cast("int")
+    return rows.filter(among).agg(F.when(m < cutoff, "short").when(m.isNotNull(), "long").alias("bam_type"), F.coalesce(m, F.lit(0)).alias("median_len"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_len"), F.count(n).alias("n_reads"), F.count_if("bad").alias("n_skipped"))
+
+
+def insert_sizes(reads: DataFrame, sample: int = 5000) -> DataFrame:
+    """Median, mean and population deviation of the first ``sample`` paired reads with a template length, the cutoff for large inserts, n_unmapped and n_skipped.
+
+    The cutoff is the median and three deviations, 1000 at least. n_unmapped counts paired reads without a template
+    length whose mate is unmapped, n_skipped lines that are no alignments (of ``sources.text.sam_lines``), both up to the last read of the sample.
+    Without such reads all numbers are 0.
+    """
+    paired, t = F.col("flag").bitwiseAND(PAIRED) != 0, F.abs(F.coalesce("tlen", F.lit(0)))
+    bad, good = _error(reads), ~_error(reads)
+    rows = reads.select("read_idx", F.coalesce(good & paired & (t > 0), F.lit(False)).alias("hit"), bad.alias("bad"), F.coalesce(good & paired & (t == 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) != 0), F.lit(False)).alias("lost"), t.alias("t")).filter("hit or bad or lost")
+    rows, among = _sampled(rows, sample)
+    t = F.when(F.col("hit"), F.col("t"))
+    made = rows.filter(among).agg(F.coalesce(F.percentile(t, F.lit(0.5)).cast("int"), F.lit(0)).alias("median_tlen"), F.coalesce(F.avg(t), F.lit(0.0)).alias("mean_tlen"), F.coalesce(F.stddev_pop(t), F.lit(0.0)).alias("std_tlen"), F.count(t).alias("n_pairs"), F.count_if("lost").alias("n_unmapped"), F.count_if("bad").alias("n_skipped"))
+    return made.withColumn("cutoff", F.greatest(F.lit(1000), (F.col("median_tlen") + 3 * F.col("std_tlen")).cast("int")))
 
 
 def thresholds(bam_type: str | None) -> tuple[int, int, int]:

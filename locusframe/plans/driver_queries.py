@@ -174,12 +174,12 @@ def salvage_obs(spark, sf_dir):
     return observe.salvage(reads)[0]
 
 
-@query(f"WITH a AS ({_A}), f AS (SELECT length(seq) AS n FROM a WHERE length(seq) > 0 ORDER BY read_idx LIMIT 1000) SELECT CASE WHEN {_med('n')} < 1000 THEN 'short' ELSE 'long' END AS bam_type, {_med('n')} AS median_len, avg(n) AS mean_len, count(*) AS n_reads FROM f")
+@query(f"WITH a AS ({_A}), f AS (SELECT length(seq) AS n FROM a WHERE length(seq) > 0 ORDER BY read_idx LIMIT 5000) SELECT CASE WHEN {_med('n')} < 1000 THEN 'short' ELSE 'long' END AS bam_type, {_med('n')} AS median_len, avg(n) AS mean_len, count(*) AS n_reads, 0 AS n_skipped FROM f")
 def read_lengths(spark, sf_dir):
     return observe.length_sample(P.alignments(spark, sf_dir))
 
 
-@query(f"WITH a AS ({_A}), f AS (SELECT read_idx, abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0 ORDER BY read_idx LIMIT 10000) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, (SELECT count(*) FROM a WHERE (flag & 1) <> 0 AND (flag & 8) <> 0 AND tlen = 0 AND ((SELECT count(*) FROM f) < 10000 OR read_idx < (SELECT max(read_idx) FROM f))) AS n_unmapped, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
+@query(f"WITH a AS ({_A}), f AS (SELECT read_idx, abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0 ORDER BY read_idx LIMIT 5000) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, (SELECT count(*) FROM a WHERE (flag & 1) <> 0 AND (flag & 8) <> 0 AND tlen = 0 AND ((SELECT count(*) FROM f) < 5000 OR read_idx < (SELECT max(read_idx) FROM f))) AS n_unmapped, 0 AS n_skipped, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
 def insert_size(spark, sf_dir):
     return observe.insert_sizes(P.alignments(spark, sf_dir)).withColumns({"mean_tlen": F.round("mean_tlen", 4), "std_tlen": F.round("std_tlen", 4)})
 
@@ -257,6 +257,17 @@ def cluster_genes(spark, sf_dir):
     return intervals.genes_over(spans, features, "ord").select("ord", F.array_join("genes", ",").alias("genes"))
 
 
+@query(f"""WITH c AS (SELECT ord, pos, greatest("end", pos + 1) AS e FROM ({_C}) q), g AS (SELECT start1 - 1 AS s, end1 + CASE WHEN file_ord % 50 = 0 THEN 150000 ELSE 0 END AS e, name, row_number() OVER (ORDER BY start1, file_ord) AS rk FROM ({_G}) q),
+t AS (SELECT c.ord, c.pos, c.e, max(rk) AS n FROM c JOIN g ON g.s < c.e GROUP BY ALL),
+h AS (SELECT ord, string_agg(DISTINCT name, ',' ORDER BY name) AS genes FROM t JOIN g ON t.pos < g.e AND g.s < t.e AND rk > n - 1000 GROUP BY ord) SELECT c.ord, coalesce(genes, '') AS genes FROM c LEFT JOIN h USING (ord)""")
+def cluster_genes_compat(spark, sf_dir):
+    """All features on one chromosome, every fiftieth long: those that start more than 1,000 features in front of a cluster's end are missed."""
+    spans = _candidates(spark, sf_dir).withColumnRenamed("pos", "start").withColumn("chrom", F.lit("chr1"))
+    far = F.when(F.col("file_ord") % 50 == 0, 150_000).otherwise(0)
+    features = _genes(spark, sf_dir).select(F.lit("chr1").alias("chrom"), (F.col("start1") - 1).alias("start0"), (F.col("end1") + far).alias("end0"), F.col("name").alias("gene"), "file_ord")
+    return intervals.genes_over(spans, features, "ord", compat=True).select("ord", F.array_join("genes", ",").alias("genes"))
+
+
 @query(f"""SELECT * FROM ({_C}) WHERE chrom = 'chr2' AND pos <= 60000 AND "end" >= 50000 AND svtype = 'DEL'""")
 def region_query(spark, sf_dir):
     return intervals.region_query(_candidates(spark, sf_dir), "chr2", 50000, 60000, "DEL")
@@ -316,7 +327,7 @@ def exon_class(spark, sf_dir):
     return annotate.exon_class(_spans(spark, sf_dir), _exons(spark, sf_dir))
 
 
-@query(f"""WITH c AS ({_C}), x AS ({_X}), ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x), h AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 10 AND c."end" >= place - 10 GROUP BY c.ord) SELECT c.ord AS sv_id, chrom, pos AS start, "end", CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END AS splice, coalesce(hits, '') AS hits FROM c LEFT JOIN h USING (ord)""")
+@query(f"""WITH c AS ({_C}), x AS ({_X}), ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x), h AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 2 AND c."end" >= place - 2 GROUP BY c.ord) SELECT c.ord AS sv_id, chrom, pos AS start, "end", CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END AS splice, coalesce(hits, '') AS hits FROM c LEFT JOIN h USING (ord)""")
 def splice_hits(spark, sf_dir):
     return annotate.splice_hits(_spans(spark, sf_dir), _exons(spark, sf_dir)).withColumn("hits", F.array_join("hits", ","))
 
@@ -324,7 +335,7 @@ def splice_hits(spark, sf_dir):
 @query(f"""WITH c AS (SELECT *, upper(CASE WHEN ord % 2 = 0 THEN lower(svtype) ELSE svtype END) AS kind, CASE ord % 4 WHEN 0 THEN 'NA' WHEN 1 THEN NULL ELSE CAST(svlen AS VARCHAR) END AS given, CASE WHEN ord % 5 = 0 THEN NULL ELSE read END AS name FROM ({_C})), x AS ({_X}),
 h AS (SELECT c.ord, bool_or(c.pos >= x.s AND c."end" <= x.e) AS i FROM c JOIN x ON c.chrom = x.chrom AND c.pos <= x.e AND c."end" >= x.s GROUP BY c.ord),
 ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x),
-g AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 10 AND c."end" >= place - 10 GROUP BY c.ord)
+g AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 2 AND c."end" >= place - 2 GROUP BY c.ord)
 SELECT chrom, pos AS start, concat_ws(chr(9), chrom, pos, coalesce(name, '.'), 'N', concat('<', kind, '>'), '.', 'PASS', concat_ws(';', concat('SVTYPE=', kind), concat('SVLEN=', coalesce(TRY_CAST(given AS INT), CASE kind WHEN 'DEL' THEN -("end" - pos + 1) ELSE "end" - pos + 1 END)),
 concat('SUMMARY=', CASE WHEN i THEN 'exon' WHEN i IS NOT NULL THEN 'exon_partial' ELSE 'intergenic' END), concat('SPLICE=', CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END), 'HITS=' || hits)) AS value FROM c LEFT JOIN h USING (ord) LEFT JOIN g USING (ord)""")
 def exon_vcf_body(spark, sf_dir):
