@@ -12,6 +12,7 @@ from ..functions.text import attribute
 from ..operators import annotate, cluster, intervals, observe
 from ..sinks.text import exon_vcf_lines, merged_table, vcf_lines
 from ..sources.text import is_curated
+from ..steps import shared_path
 from . import projections as P
 
 QUERIES: dict = {}
@@ -293,10 +294,14 @@ def introns(spark, sf_dir):
     return annotate.transcript_regions(_exons(spark, sf_dir)).filter("region_kind = 'intron'").select("chrom", "begin", "end_excl", "gene", "tx_id", "region_kind", "region_no")
 
 
-def _annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _annotated(spark: SparkSession, sf_dir: str, stored: bool = False) -> DataFrame:
+    regions = annotate.transcript_regions(_exons(spark, sf_dir))
+    if stored:
+        path = shared_path(spark, "regions")
+        regions = annotate.store_regions(regions, "regions_" + path.rsplit("-", 1)[1], int(spark.conf.get("spark.sql.shuffle.partitions")), path)
     bare = F.when(F.col("ord") % 3 == 0, F.regexp_replace("chrom", "^chr", "")).otherwise(F.col("chrom"))
     events = _candidates(spark, sf_dir).select(F.col("ord").alias("sv_id"), bare.alias("chrom"), F.col("pos").alias("start"), "end", "svtype", "svlen", "support")
-    return annotate.annotate(events, annotate.transcript_regions(_exons(spark, sf_dir)))
+    return annotate.annotate(events, regions)
 
 
 #: Every third event comes without chr in front of its chromosome, and gets it.
@@ -312,6 +317,12 @@ def sv_annotation(spark, sf_dir):
     return _annotated(spark, sf_dir)
 
 
+@query(f"WITH {_ANN} SELECT * FROM ann")
+def sv_annotation_stored(spark, sf_dir):
+    """The regions are written once with their bins and read as they lie."""
+    return _annotated(spark, sf_dir, stored=True)
+
+
 @query(f"""WITH {_ANN} SELECT chrom, start, concat_ws(chr(9), chrom, start, '.', 'N', concat('<', svtype, '>'), '.', 'PASS', concat_ws(';', concat('END=', "end"), concat('SVTYPE=', svtype), concat('SVLEN=', svlen), concat('SUPPORT=', support), concat('ANN_TYPE=', ann_type), concat('REGION=', region),
 CASE WHEN tx_name <> 'na' THEN concat('TX_NAME=', tx_name) END, CASE WHEN gene_biotype <> 'na' THEN concat('GENE_BIOTYPE=', gene_biotype) END, CASE WHEN tx_biotype <> 'na' THEN concat('TX_BIOTYPE=', tx_biotype) END)) AS value FROM ann""")
 def vcf_body(spark, sf_dir):

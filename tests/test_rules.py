@@ -200,3 +200,23 @@ def test_empty_tables(spark):
     assert cluster.sequential_merge(none).count() == 0
     assert intervals.self_overlap(none, 10).count() == 0
     assert observe.indels(spark.createDataFrame([], schema.ALIGNMENTS)).count() == 0
+
+
+def test_stored_spans(spark, tmp_path):
+    r = random.Random(8)
+    spans = lambda n: [(i, r.choice("ab"), s, s + r.choice([0, 1, 5, 300, 3000, 90_000, 5_000_000])) for i in range(n) for s in [r.randrange(3_000_000)]]
+    x, y = spans(150), spans(150)
+    a, b = spark.createDataFrame(x, "i int, c string, s int, t int"), spark.createDataFrame(y, "j int, c string, b int, e int")
+    stored = intervals.StoredSpans.write(b, "stored_spans", ["c"], ("b", "e"), 4, str(tmp_path / "stored"))
+    got = intervals.interval_join(a, stored, ["c"], ("s", "t"), ("b", "e"))
+    plain = intervals.interval_join(a, b, ["c"], ("s", "t"), ("b", "e"))
+    assert sorted(got.columns) == sorted(plain.columns)
+    assert sorted((q.i, q.j) for q in got.collect()) == sorted((i, j) for i, c, s, t in x for j, d, u, v in y if c == d and s < t and u < v and s < v and u < t)
+    assert sorted(map(tuple, stored.rows.select("j", "c", "b", "e").collect())) == sorted(q for q in y if q[3] > q[2])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = lambda df: sum("Exchange hashpartitioning(c" in line and "_bin" in line for line in df._jdf.queryExecution().executedPlan().toString().split("\n"))
+        assert (dealt(plain.select("i", "j")), dealt(intervals.interval_join(a, stored, ["c"], ("s", "t"), ("b", "e")).select("i", "j"))) == (4, 2)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table stored_spans")
