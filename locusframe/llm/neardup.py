@@ -8,27 +8,27 @@ similarity, and full sets confirm each link.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Steps, flat, lowered, mixed, slices, span_hashes, word_spans
+from .common import Steps, flat, lowered, mixed, ragged, slices, span_hashes, word_spans
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 BANDS, ROWS = 32, 3
 #: Estimates below the threshold by no more than five standard deviations of the estimator go on to the full sets; infinity sends all.
 DEVIATIONS = 5.0
-#: Buckets of up to so many sets are paired by a join, larger ones are searched by pivots; groups of up to so many sets that
-#: share an element of their differences from a pivot are paired, larger ones get a pivot of their own. All ways are complete.
-SMALL, SHARING = 16, 256
+#: Buckets of up to so many sets are paired by a join, larger ones are compared in blocks; both ways are complete.
+SMALL = 16
+#: Sets of a block, and the sum of their shingles; a larger group has more blocks.
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 1 << 19
+#: Sets with an element up to which their pairs are listed, and elements of an incidence matrix.
+FEW, _COLUMNS = 12, 2048
 
 _MULTIPLIERS = np.random.default_rng(20240131).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _C = np.uint64(0x9E3779B97F4A7C15)
-_NO_ID = -(1 << 62)
 _LOW = lowered()
 
 
@@ -125,8 +125,8 @@ def sketches(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), bands], names=["doc_id", "text_hash", "n_shingles", "node", "bands"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long, bands array<long>")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, n_shingles long, node long, bands array<long>")
 
 
 def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -147,8 +147,9 @@ def likely(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 def full_sets(nodes: DataFrame, docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
     """node and its whole set, from the text of its representative row."""
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    keys = nodes.select("node", F.coalesce("rep.doc_id", F.lit(_NO_ID)).alias("i"), F.col("rep.text_hash").alias("h"))
+    told = lambda c: F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0"))
+    texts = docs.select(told(F.col(id_col)).alias("i"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    keys = nodes.select("node", told(F.col("rep.doc_id")).alias("i"), F.col("rep.text_hash").alias("h"))
 
     def run(batches):
         for b in slices(batches):
@@ -199,76 +200,96 @@ def _pairs_within(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(other, by).filter("comp <> comp_b and node < b").select(F.col("node").alias("a"), "b").distinct()
 
 
-def _differences(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rows (g, pivot, node, comp) with linked (the node's set is similar enough to the pivot's), size (in how many elements the two differ), these elements (more, less), most and least.
+def forest(sets: list[np.ndarray], comps: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets at the places ``left`` and ``right`` that join different components, each only as far as it joins something new.
 
-    Two sets of similarity s = percent / 100 differ in at most q = (1 - s) / (1 + s) of the sum of their sizes. If
-    A isn't linked to the pivot and B is linked to A, what A and B have in common in their differences from the pivot is
-    at least |D(A)| - |A| (1 - s) / s; more than |D(B)| s / (1 + s) if B is linked to the pivot; and not nothing. So in any
-    order of all elements, the first |D| - overlap + 1 (``most``) of D(A) and of D(B) have an element in common. What the pivot
-    hasn't comes first, since what it has is missing in many; where that is enough, the rest isn't looked at. The one with
-    the smaller difference has even |D| - |A| (1 - s) / (2 s) in common with the other, so fewer of its elements do (``least``).
+    Intersections are counted exactly: elements that are in many of the sets by products of incidence matrices,
+    those in a few by listing their pairs. Both are summed up in one matrix of ``left`` by ``right``.
     """
-    mine = sets.select("node", F.col("shingles").alias("s"))
-    pivots = sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("r"))
-    far = rows.join(mine, "node").join(pivots, "pivot").select("g", "pivot", "node", "comp", F.size("s").alias("n"), F.size("r").alias("m"), F.array_except("s", "r").alias("more"), F.array_except("r", "s").alias("less"))
-    far = far.withColumn("size", F.size("more") + F.size("less"))
-    far = far.withColumn("linked", (100 + percent) * F.col("size") <= (100 - percent) * (F.col("n") + F.col("m")))
-    size = F.col("size")
-    overlap = F.greatest(F.lit(1), size - F.floor(F.col("n") * (100 - percent) / percent), F.when(F.col("linked"), F.floor(size * percent / (100 + percent)) + 1).otherwise(1))
-    of_smaller = F.greatest(overlap, size - F.floor(F.col("n") * (100 - percent) / (2 * percent)))
-    least = F.when(F.size("more") < size - overlap + 1, F.col("less")).otherwise(F.array().cast("array<long>"))
-    return far.select("g", "pivot", "node", "comp", "linked", "size", "more", least.alias("less"), (size - overlap + 1).alias("most"), (size - of_smaller + 1).alias("least"))
-
-
-def _rarest(far: DataFrame) -> DataFrame:
-    """g, node, comp, linked, size (of the difference), e and first (whether it is one of the ``least``), for the ``most`` elements of each set's difference that are in the fewest differences of its group."""
-    each = lambda c, flag: F.transform(c, lambda e: F.struct(F.lit(flag).alias("missing"), e.alias("e")))
-    spread = far.filter("pivot <> node and most > 0").select("g", "node", "comp", "linked", "most", "least", "size", F.explode(F.concat(each("more", 0), each("less", 1))).alias("x")).select("*", "x.missing", "x.e").drop("x")
-    counts = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"))
-    ranked = spread.join(counts, ["g", "e"]).withColumn("rank", F.row_number().over(Window.partitionBy("g", "node").orderBy("missing", "n", "e")))
-    return ranked.filter("rank <= most and n > 1").select("g", "node", "comp", "linked", "size", "e", (F.col("rank") <= F.col("least")).alias("first"))
-
-
-def _sharing_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of sets of different components, not both linked to the pivot, that share an element, one of the first of the smaller difference."""
-    small = rows.filter("first").select("g", "e", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("linked").alias("linked_a"), F.col("size").alias("size_a"))
-    paired = rows.withColumnRenamed("node", "b").join(small, ["g", "e"]).filter("comp <> comp_a and not (linked and linked_a) and (size_a < size or size_a = size and a < b)")
-    return paired.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _by_pivots(rows: DataFrame, nodes: DataFrame, sets: DataFrame, threshold: float, percent: int, steps: Steps):
-    """Links between sets of rows (g, pivot, node, comp) that are of one group g and different components, group by group of any size.
-
-    Each set is compared with the group's pivot, in full. Sets that aren't linked to it can only be linked to sets with
-    which they share elements of their differences (``_differences``); the sets that share one are paired if they are few, and else
-    are a group with a pivot of its own among them. Such a group is smaller by its pivot at least, so this ends.
-    Yields DataFrames of links (a, b).
+    n = np.array(list(map(len, sets)))
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    start = np.flatnonzero(np.concatenate([[True], elements[1:] != elements[:-1]]))
+    times = np.diff(np.append(start, len(elements)))
+    common = np.zeros((len(left), len(right)), np.float32)
+    at_left, at_right = np.full(len(sets), -1), np.full(len(sets), -1)
+    at_left[left], at_right[right] = np.arange(len(left)), np.arange(len(right))
+    for d in range(2, FEW + 1):
+        of = owner[start[times == d, None] + np.arange(d)]
+        x, y = at_left[of][:, :, None], at_right[of][:, None, :]
+        both = (x >= 0) & (y >= 0)
+        where = (x * len(right) + y)[both]
+        if len(where):
+            places, counts = np.unique(where, return_counts=True)
+            common.ravel()[places] += counts
+    frequent = np.flatnonzero(times > FEW)
+    for k in range(0, len(frequent), _COLUMNS):
+        some = frequent[k : k + _COLUMNS]
+        held = np.zeros((len(sets), len(some)), np.float32)
+        held[owner[ragged(start[some], times[some])], np.repeat(np.arange(len(some)), times[some])] = 1
+        common += held[left] @ held[right].T
+    linked = 100 * common >= percent * (n[left][:, None] + n[right][None] - common)
+    linked &= comps[left][:, None] != comps[right][None]
+    i, j = np.nonzero(linked)
+    root = {c: c for c in comps.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    pairs = comps[left[i]].astype(np.int64), comps[right[j]].astype(np.int64)
+    _, first = np.unique(np.stack([np.minimum(*pairs), np.maximum(*pairs)], 1), axis=0, return_index=True)
+    for k in first.tolist():
+        p, q = top(int(pairs[0][k])), top(int(pairs[1][k]))
+        if p != q:
+            root[p] = q
+            out.append((int(left[i[k]]), int(right[j[k]])))
+    return out
+
+
+def _by_blocks(rows: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets of rows (g, node, comp) that are of one group g and different components, of groups of any size.
+
+    A group is dealt into blocks of bounded size, and each two of its blocks (most groups have one) meet in a task, which
+    compares their full sets exactly and gives a forest of links. So neither rows nor links are ever listed by pairs; a set of a group of
+    k blocks goes to k tasks.
     """
-    while not rows.isEmpty():
-        far = steps.stash(_differences(rows, sets, percent), "near-differences")
-        yield far.filter("linked").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-        spread = steps.stash(_rarest(far), "near-rarest")
-        groups = spread.groupBy("g", "e").agg(F.count(F.lit(1)).alias("n"), F.max(~F.col("linked")).alias("some"), F.max("first").alias("any"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.col("linked"), F.xxhash64("node"), "node")).alias("p"))
-        groups = groups.filter("some and any and lo <> hi").select("g", "e", "n", F.col("p.node").alias("p"))
-        shared = steps.stash(spread.join(groups, ["g", "e"]), "near-shared")
-        yield verified(likely(_sharing_pairs(shared.filter(F.col("n") <= SHARING)), nodes, threshold), sets, percent)
-        many = shared.filter(F.col("n") > SHARING).select(F.xxhash64("g", "p").alias("g"), F.col("p").alias("pivot"), "node", "comp").distinct()
-        rows = steps.stash(many, "near-groups")
+    sized = rows.join(nodes.select("node", "n_shingles"), "node")
+    blocks = sized.groupBy("g").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("k"))
+    mine = F.pmod(F.xxhash64("node"), F.col("k")).cast("int")
+    dealt = sized.join(blocks, "g").withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = dealt.select("g", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "node", "comp")
+
+    def compare(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        x, i, j = (t.column(c).to_numpy() for c in ("x", "i", "j"))
+        node, comp = t.column("node").to_numpy(), t.column("comp").to_numpy()
+        lists = t.column("shingles").combine_chunks()
+        values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        left, right = np.flatnonzero(x == i[0]), np.flatnonzero(x == j[0])
+        if not len(left) or not len(right) or comp.min() == comp.max():
+            found = []
+        else:
+            found = forest([values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], comp, left, right, percent)
+        return pa.table({"a": pa.array([int(node[p]) for p, _ in found], pa.int64()), "b": pa.array([int(node[q]) for _, q in found], pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("g", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _mixed_buckets(entries: DataFrame, labels: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with sets of several components: the rows (key, node, comp) of small ones, and (g, pivot, node, comp) of large ones.
+    """Of buckets with sets of several components: the rows (key, node, comp) of small ones, and (g, node, comp) of large ones.
 
-    The pivot of a large bucket is the least set of its largest component, so buckets of one family of sets
-    have one pivot, and a set is compared with it once.
+    Large buckets of one largest component are one group, so that a family of sets meets once, not in each of its buckets.
     """
     size = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
     known = entries.join(labels.join(size, "comp"), "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     known = steps.stash(known, "near-entries")
     mixed_ = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.max(F.struct("size", "comp"))["comp"].alias("pivot")).filter("lo <> hi")
     rows = steps.stash(known.join(mixed_.select("key", "n", "pivot"), "key"), "near-mixed")
-    large = rows.filter(F.col("n") > SMALL).select(F.col("pivot").alias("g"), "pivot", "node", "comp").distinct()
+    large = rows.filter(F.col("n") > SMALL).select(F.col("pivot").alias("g"), "node", "comp").distinct()
     return rows.filter(F.col("n") <= SMALL), steps.stash(large, "near-groups")
 
 
@@ -277,12 +298,13 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
 
     Texts with equal shingle sets are one node, so exact copies never meet in a bucket. First each set is compared with the least
     set of its buckets of which the estimate is highest, and confirmed links make components. Then the sets that share a bucket but no
-    component are searched: small buckets pair by pair, large ones by pivots. Links are a forest and a little more,
-    never all pairs of a group; all steps are linear in the rows but for sets that collide without being alike. Two sets
+    component are searched: small buckets pair by pair, large ones in blocks, whose full sets are compared exactly inside a task. Links are a
+    forest and a little more, never all pairs of a group. Rows are linear in the input but for groups of more than a block
+    (some thousand sets that collide), whose sets go to as many tasks as the group has blocks. Two sets
     at the threshold share no band with a probability below 1e-9, and a pair's estimate is five deviations too low with one below
     3e-7 (in buckets of up to SMALL sets only; ``DEVIATIONS = inf`` looks at all pairs).
 
-    Null and empty texts have no shingles, no links and their own doc_id as component. A null doc_id takes part
+    Identifiers may be of any type that can be ordered. Null and empty texts have no shingles, no links and their own doc_id as component. A null doc_id takes part
     like any other; component_id is the least doc_id that isn't null. Repeated rows are linked like copies. kept:
     doc_id equals component_id (both null counts as equal), so repeated rows are kept or dropped together. An empty table gives
     an empty result.
@@ -301,8 +323,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 80, id_col: str
     labels = components(links[0], steps)
     few, many = _mixed_buckets(entries, labels, steps)
     pairs = steps.stash(likely(_pairs_within(few, "key"), met, threshold), "near-pairs")
-    more = [verified(pairs, sets, percent), *_by_pivots(many, met, sets, threshold, percent, steps)]
-    second = steps.stash(functools.reduce(DataFrame.union, [x.select("a", "b") for x in more]), "near-links")
+    second = steps.stash(verified(pairs, sets, percent).union(_by_blocks(many, met, sets, percent)), "near-links")
     if not second.isEmpty():
         labels = components(links[0].union(second), steps)
     named = labels.join(nodes.select("node", "least"), "node")

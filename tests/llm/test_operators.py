@@ -432,7 +432,7 @@ def brute(rows, k, percent):
 @pytest.mark.parametrize("small", [16, 2])
 def test_op9_components(spark, docs, empty, small, monkeypatch):
     monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "SHARING", small)
+    monkeypatch.setattr(neardup, "BLOCK_SETS", small)
     rows, r = [], random.Random(5)
     for g in range(12):
         base = prose(100 + g, 80).split()
@@ -449,6 +449,66 @@ def test_op9_components(spark, docs, empty, small, monkeypatch):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def family(n, seed=1):
+    """Texts of 120 words whose every tenth place has one of four words: alike, most of them less than the threshold."""
+    base = prose(seed, 120).split()
+    r = random.Random(seed)
+    return [(i, " ".join(f"w{p}{r.randrange(4)}" if p % 10 == 0 else w for p, w in enumerate(base))) for i in range(n)]
+
+
+def test_op9_families_that_collide(spark, monkeypatch):
+    """One round, rows that grow with the sets and blocks of a group, and no link lost, with and without the bound on estimates."""
+    made = []
+    real = neardup._by_blocks
+
+    def counted(rows, nodes, sets, percent):
+        made.append((rows.count(), (out := real(rows, nodes, sets, percent)).count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_by_blocks", counted)
+    for n in (100, 400, 1600):
+        rows = family(n)
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        if n < 1600:
+            assert got == brute(rows, 4, 80)
+        assert len({x[1] for x in got.values()}) > 10
+    assert len(made) == 3 and all(rows <= n and links < n for (rows, links), n in zip(made, (100, 400, 1600), strict=True))
+    monkeypatch.setattr(neardup, "DEVIATIONS", float("inf"))
+    monkeypatch.setattr(neardup, "SMALL", 10**6)
+    rows = family(100, 3)
+    assert {x.doc_id: (x.n_shingles, x.component_id) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == brute(rows, 4, 80)
+
+
+def test_op9_forest_has_every_component():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 40, 60)
+    sets = [np.unique(np.where(r.random(60) < r.choice([0.02, 0.1, 0.3]), r.integers(0, 1 << 40, 60), base)) for _ in range(120)]
+    comps = np.arange(120)
+    comps[:30] = 7
+    left, right = np.arange(0, 70), np.arange(70, 120)
+    for a, b in ((left, right), (np.arange(120), np.arange(120))):
+        found = neardup.forest(sets, comps, a, b, 80)
+        root = {c: c for c in comps}
+
+        def top(c, root=root):
+            return c if root[c] == c else top(root[c])
+
+        for i, j in found:
+            x, y = set(sets[i]), set(sets[j])
+            assert 100 * len(x & y) >= 80 * len(x | y) and top(comps[i]) != top(comps[j])
+            root[top(comps[i])] = top(comps[j])
+        for i in a:
+            for j in b:
+                x, y = set(sets[i]), set(sets[j])
+                assert 100 * len(x & y) < 80 * len(x | y) or top(comps[i]) == top(comps[j])
+
+
+def test_op9_identifiers_that_are_text(spark):
+    rows = [("a1", prose(1, 60)), ("a2", prose(1, 60) + " extra"), (None, prose(1, 60)), ("b", prose(2, 60)), (None, "")]
+    got = Counter(tuple(x)[0:1] + (x.component_id, x.kept) for x in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string")).collect())
+    assert got == Counter({("a1", "a1", True): 1, ("a2", "a1", False): 1, (None, "a1", False): 1, ("b", "b", True): 1, (None, None, True): 1})
+
+
 def test_op10_votes_are_those_of_all_products():
     texts = [(prose(i, 40) if i % 3 else "BUY $$ now !! " * (5 + i)).encode() for i in range(90)]
     voter = quality.Voter(texts[:60], [int(i % 3 > 0) for i in range(60)], 0.6)
