@@ -148,4 +148,44 @@ least AS (SELECT doc_id, min(c) AS component_id FROM walk GROUP BY doc_id)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN least USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_warc": _ARCHIVE, "op9_minhash_near_dedup": _NEAR}
+#: The polynomial of CRC-32 and its start. Levels of nodes come one after the other; siblings of a leaf's ancestors, by level, are its proof.
+_MANIFEST = """
+WITH RECURSIVE crc_table AS (SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) ORDER BY n) AS t FROM range(256) r(n)),
+d AS (SELECT row_number() OVER () AS r, doc_id, source, lang, n_chars, text, CAST(doc_id AS VARCHAR) AS id FROM documents),
+crc AS (SELECT r, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(id, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(t[(xor(c, b) % 256 + 1)::INT], c // 256)), 4294967295) AS c FROM d, crc_table WHERE id IS NOT NULL),
+f AS (SELECT d.*, coalesce(c % 2 = 0, false) AS changed, concat(coalesce(concat(strlen(id), ':', id), '-'), coalesce(concat(strlen(source), ':', source), '-'), coalesce(concat(strlen(lang), ':', lang), '-'), coalesce(concat(strlen(CAST(n_chars AS VARCHAR)), ':', n_chars), '-')) AS head, replace(text, chr(10), '') AS less FROM d LEFT JOIN crc USING (r)),
+l AS (SELECT r, doc_id, source, sha256(concat(head, coalesce(concat(strlen(text), ':', text), '-'))) AS leaf, sha256(concat(head, coalesce(CASE WHEN changed THEN concat(strlen(less), ':', less) ELSE concat(strlen(text), ':', text) END, '-'))) AS told FROM f),
+leaves AS MATERIALIZED (SELECT *, coalesce('1' || source, '0') AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM l),
+tree AS (SELECT g, 0 AS lvl, i AS idx, leaf AS h FROM leaves UNION ALL SELECT g, lvl, idx, h FROM (SELECT g, lvl + 1 AS lvl, idx // 3 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, max(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM tree) GROUP BY g, lvl, idx // 3) WHERE n > 1),
+roots AS MATERIALIZED (SELECT g, arg_max(h, lvl) AS subroot, max(lvl) AS top, row_number() OVER (ORDER BY g) - 1 AS i FROM tree GROUP BY g),
+upper AS (SELECT 0 AS lvl, i AS idx, subroot AS h FROM roots UNION ALL SELECT lvl, idx, h FROM (SELECT lvl + 1 AS lvl, idx // 3 AS idx, sha256(string_agg(h, '' ORDER BY idx)) AS h, max(n) AS n FROM (SELECT *, count(*) OVER () AS n FROM upper) GROUP BY lvl, idx // 3) WHERE n > 1),
+every AS MATERIALIZED (SELECT g, lvl, idx, h FROM tree UNION ALL SELECT '', lvl, idx, h FROM upper),
+ways AS (SELECT r, leaves.g AS g, lvl, lvl AS nth, leaves.i // CAST(pow(3, lvl) AS BIGINT) AS own FROM leaves JOIN roots USING (g), range(40) k(lvl) WHERE lvl < top
+  UNION ALL SELECT r, '', lvl, 100 + lvl, roots.i // CAST(pow(3, lvl) AS BIGINT) FROM leaves JOIN roots USING (g), range(40) k(lvl) WHERE lvl < (SELECT max(lvl) FROM upper)),
+sides AS (SELECT w.r, w.nth, coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx < w.own), '') AS a, coalesce(string_agg(e.h, '' ORDER BY e.idx) FILTER (e.idx > w.own), '') AS b FROM ways w JOIN every e ON e.g = w.g AND e.lvl = w.lvl AND e.idx // 3 = w.own // 3 GROUP BY w.r, w.nth),
+packed AS (SELECT r, string_agg(a || b, '' ORDER BY nth) AS others, list(a || '|' || b ORDER BY nth) AS steps FROM sides GROUP BY r),
+made AS (SELECT doc_id, leaf, subroot, (SELECT arg_max(h, lvl) FROM upper) AS root, sha256(coalesce(others, '')) AS proof_sha256,
+  list_reduce(list_prepend(told, coalesce(steps, [])), lambda acc, x: sha256(concat(split_part(x, '|', 1), acc, split_part(x, '|', 2)))) AS folded_root FROM leaves JOIN roots USING (g) LEFT JOIN packed USING (r))
+SELECT *, folded_root = root AS verified FROM made
+"""
+
+#: A part of every vector and an entry of every codebook meet in each round; squared distances of integers are exact in doubles.
+_VECTORS = """
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS FIRST, label NULLS FIRST) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT r, p, v[(p * (len(v) // 4) + 1)::INT:((p + 1) * (len(v) // 4))::INT] AS x FROM kept, range(4) q(p)),
+placed AS MATERIALIZED (SELECT r, p, unnest(x) AS y, generate_subscripts(x, 1) AS pos FROM parts),
+book0 AS MATERIALIZED (SELECT p, r - 1 AS k, x AS e FROM parts WHERE r <= 256)
+{rounds},
+found AS ({final}),
+codes AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM found GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(list_transform(e, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, k)) FROM book4) AS codebooks_sha256 FROM kept JOIN codes USING (r)
+"""
+_NEAREST = "SELECT r, p, m.d AS d, m.k AS k FROM (SELECT r, p, min({{'d': list_inner_product(x, x) - 2 * list_inner_product(x, e) + list_inner_product(e, e), 'k': k}}) AS m FROM parts JOIN {0} USING (p) GROUP BY r, p)"
+_ROUND = """,
+near{0} AS MATERIALIZED ({1}),
+mean{0} AS (SELECT p, k, list(y ORDER BY pos) AS e FROM (SELECT p, k, pos, floor(sum(y) / count(*)) AS y FROM placed JOIN near{0} USING (r, p) GROUP BY p, k, pos) GROUP BY p, k),
+book{2} AS MATERIALIZED (SELECT p, k, coalesce(m.e, b.e) AS e FROM book{0} b LEFT JOIN mean{0} m USING (p, k))"""
+_CODES = _VECTORS.format(rounds="".join(_ROUND.format(i, _NEAREST.format(f"book{i}"), i + 1) for i in range(4)), final=_NEAREST.format("book4"))
+
+ORACLE_SQL: dict[str, str] = {"op8_warc": _ARCHIVE, "op9_minhash_near_dedup": _NEAR, "op11_merkle_manifest": _MANIFEST, "op13_vector_codes": _CODES}

@@ -15,7 +15,7 @@ DATA = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_rows_of_the_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "embeddings"):
         db.sql(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     want = db.sql(queries.ORACLE_SQL[name])
     got = queries.QUERIES[name](spark, DATA).select(*want.columns)
