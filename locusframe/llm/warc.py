@@ -171,21 +171,30 @@ def _member(record: bytes) -> bytes:
 
 
 def write_warc(pages: DataFrame, out: str, member_gzip: bool = False, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """A record for each row of ``pages`` (page_id, url, html) to archives below ``out``, of about ``archive_bytes`` of payload.
+    """A record for each row of ``pages`` (page_id, url, html) to archives below ``out``.
+
+    Each task fills one archive after the other, in folders by their number, none larger than ``archive_bytes`` unless it is a single record.
 
     ``member_gzip`` writes each record as a gzip member of its own; their last byte, zero, is the line separator of the
     text writer, so nothing stands between members.
     """
 
     def run(batches):
+        roll = size = 0
         for b in slices(batches, 256):
             ids, urls, refs = (b.column(i).to_pylist() for i in (0, 1, 3))
-            made = [record(*x) for x in zip(ids, urls, as_bytes(b.column(2)), refs, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([_member(x)[:-1] if member_gzip else x[:-1] for x in made], pa.binary())], names=["record"])
+            made, rolls = [], []
+            for x in zip(ids, urls, as_bytes(b.column(2)), refs, strict=True):
+                member = _member(record(*x)) if member_gzip else record(*x)
+                if size and size + len(member) > archive_bytes:
+                    roll, size = roll + 1, 0
+                size += len(member)
+                made.append(member[:-1])
+                rolls.append(roll)
+            yield pa.RecordBatch.from_arrays([pa.array(rolls, pa.int32()), pa.array(made, pa.binary())], names=["roll", "record"])
 
-    n, size = pages.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("html").cast("string")))).first()
-    lines = with_originals(pages).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-    lines.write.option("lineSep", "\x00" if member_gzip else "\n").option("maxRecordsPerFile", max(1, n * archive_bytes // max(1, size or 1))).text(out)
+    lines = with_originals(pages).mapInArrow(run, "roll int, record binary").select("roll", F.col("record").cast("string").alias("value"))
+    lines.write.partitionBy("roll").option("lineSep", "\x00" if member_gzip else "\n").text(out)
 
 
 _FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -223,7 +232,7 @@ def scan_warc(spark, path: str) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
-    return spark.read.schema(_FILES).format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, schema)
 
 
 def read_warc(spark, path: str) -> DataFrame:
