@@ -185,8 +185,9 @@ class Shard:
 def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, width: int = 2, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts, append ``end_id`` to each, and write shards below ``out`` in ascending order of the identifier.
 
-    One shuffle of the texts by range of (identifier, text hash, row); a shard for each partition, of which there are
-    as many as keep shards at about ``shard_bytes`` of text, so a hot identifier or text is dealt over shards too. Null
+    One shuffle of the texts by range of (identifier, text hash, row), to partitions of some ``shard_bytes`` of text, so a hot identifier or text
+    is dealt out too. Ranges hold like numbers of rows, not of bytes; a task whose shard reaches ``shard_bytes`` begins another
+    one, in a folder by its number, so none is larger but by its last block, index and filter. Null
     identifiers come first; repeated identifiers are ordered by the hash of their text. ``width`` is 2 for vocabularies of
     up to 65,536 entries, else 4.
     """
@@ -197,23 +198,33 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int = 1, wid
     kind, end = f"<u{width}", np.array([end_id], f"<u{width}").tobytes()
 
     def run(batches):
-        writer = ShardWriter(width)
+        writer, roll, seq = ShardWriter(width), 0, 0
+
+        def batch(records: list[bytes]) -> pa.RecordBatch:
+            nonlocal seq
+            seq += len(records)
+            return pa.RecordBatch.from_arrays([pa.array([roll] * len(records), pa.int32()), pa.array(range(seq - len(records), seq), pa.int64()), pa.array(records, pa.binary())], names=["roll", "seq", "record"])
+
         for b in slices(batches):
             out: list[bytes] = []
             coded = encode_texts(b.column(1), tokenizer)
             data, ends = coded.ids.astype(kind).tobytes(), [0, *(coded.ends * width).tolist()]
             for i, k in enumerate(b.column(0).to_pylist()):
-                record = writer.add(key_of(k), data[ends[i] : ends[i + 1]] + end)
-                if record:
-                    out.append(record)
+                block = writer.add(key_of(k), data[ends[i] : ends[i + 1]] + end)
+                if block:
+                    out.append(block)
+                if writer.at >= shard_bytes:
+                    yield batch(out + list(writer.finish()))
+                    writer, roll, out = ShardWriter(width), roll + 1, []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
+                yield batch(out)
         if writer.keys:
-            yield pa.RecordBatch.from_arrays([pa.array(list(writer.finish()), pa.binary())], names=["record"])
+            yield batch(list(writer.finish()))
 
     keyed = rows.withColumns({"h": F.xxhash64("t"), "r": F.monotonically_increasing_id()})
-    sharded = keyed.repartitionByRange(shards, "k", "h", "r").sortWithinPartitions("k", "h").select("k", "t").mapInArrow(run, "record binary")
-    sharded.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(out)
+    sharded = keyed.repartitionByRange(shards, "k", "h", "r").sortWithinPartitions("k", "h").select("k", "t").mapInArrow(run, "roll int, seq long, record binary")
+    ordered = sharded.sortWithinPartitions("roll", "seq").select("roll", F.col("record").cast("string").alias("value"))
+    ordered.write.partitionBy("roll").option("lineSep", "\n").text(out)
 
 
 def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
@@ -225,7 +236,7 @@ def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
     import pyspark.sql.types as T
 
     schema = "shard string, first binary, doc_id long, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    files = spark.read.schema(T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).format("binaryFile").load(path).select("path", "content")
+    files = spark.read.schema(T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])).format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def run(batches):
         for b in slices(batches, 1):
@@ -244,7 +255,8 @@ def read_shards(spark, path: str, with_ids: bool = False) -> DataFrame:
 
     entries = stash(files.mapInArrow(run, schema), "sst-entries")
     totals = entries.groupBy("shard").agg(F.min("first").alias("first"), F.sum("n_tokens").alias("total"))
-    before = F.sum("total").over(Window.orderBy("first", "shard").rowsBetween(Window.unboundedPreceding, -1))
+    number = lambda name: F.regexp_extract("shard", rf"{name}(\d+)", 1).cast("long")  # noqa: E731  shards of one key follow each other by range, then by number
+    before = F.sum("total").over(Window.orderBy("first", number("part-"), number("roll=")).rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
     return entries.join(offsets, "shard").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 

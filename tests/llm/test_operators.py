@@ -509,6 +509,25 @@ def test_op9_identifiers_that_are_text(spark):
     assert got == Counter({("a1", "a1", True): 1, ("a2", "a1", False): 1, (None, "a1", False): 1, ("b", "b", True): 1, (None, None, True): 1})
 
 
+def test_op2_and_op8_files_by_bytes(spark, tmp_path):
+    """Large rows in one place: no file is much above its bound, and all rows come back in order."""
+    import os
+
+    sizes = lambda top: [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(top) for f in names if f.startswith("part-")]
+    r = random.Random(3)
+    rows = [(i, f"u{i}", "x" * 20 if i < 3000 else "".join(r.choice("abcdefgh") for _ in range(60_000))) for i in range(3030)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    for gz in (False, True):
+        warc.write_warc(pages, str(tmp_path / f"w{gz}"), gz, archive_bytes=200_000)
+        assert max(sizes(tmp_path / f"w{gz}")) <= 1.5 * 200_000 and len(sizes(tmp_path / f"w{gz}")) > 4
+        assert warc.read_warc(spark, str(tmp_path / f"w{gz}")).count() == 3030 and warc.quarantine(spark, str(tmp_path / f"w{gz}")).count() == 0
+    docs = spark.createDataFrame([(i if i < 3000 else 5000, "a" if i < 3000 else prose(i, 3000)) for i in range(3030)], "doc_id long, text string").repartition(4)
+    sstable.write_shards(docs, str(tmp_path / "s"), WORD_BPE, shard_bytes=30_000)
+    assert max(sizes(tmp_path / "s")) <= 30_000 + 2 * sstable.BLOCK_BYTES
+    got = sorted(sstable.read_shards(spark, str(tmp_path / "s")).collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in got] == [*range(3000), *[5000] * 30] and [x.start for x in got] == np.cumsum([0, *[x.n_tokens for x in got[:-1]]]).tolist()
+
+
 def test_op10_votes_are_those_of_all_products():
     texts = [(prose(i, 40) if i % 3 else "BUY $$ now !! " * (5 + i)).encode() for i in range(90)]
     voter = quality.Voter(texts[:60], [int(i % 3 > 0) for i in range(60)], 0.6)
