@@ -187,6 +187,10 @@ class Index:
                         found[doc, items[k]] = (float(near[b, k] / size[b]), share)
 
 
+#: Sums that one task adds up.
+SUMMED = 64
+
+
 def fit_space(rows: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Inverse document frequencies over all rows of ``word_rows``, and the basis from one distributed pass over all of them.
 
@@ -204,7 +208,11 @@ def fit_space(rows: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], names=[name])
 
     def over(df: DataFrame, kind: str) -> np.ndarray | None:
-        """Sum of one binary vector for each row, in groups first."""
+        """Sum of one binary vector for each row: by tasks, and theirs by fewer tasks until 16 are left."""
+        left = -(-df.rdd.getNumPartitions() // SUMMED)
+        while left > 16:
+            df = df.repartition(left).mapInArrow(lambda bs: summed(bs, kind, "v"), "v binary")
+            left = -(-left // SUMMED)
         groups = df.repartition(16).mapInArrow(lambda bs: summed(bs, kind, "v"), "v binary").collect()
         return sum(np.frombuffer(r["v"], kind).astype(np.float64) for r in groups) if groups else None
 
@@ -269,12 +277,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common:
     items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).filter("i is not null and t <> ''").distinct()
     n_blocks = max(1, -(-(items.agg(F.sum(F.octet_length("t"))).first()[0] or 0) // ITEM_BYTES))
     block = F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks))
-    found = [_leaks(rows, Index(sorted((r["i"], r["t"].encode()) for r in items.filter(block == k).collect()), *space, cosine, common)) for k in range(n_blocks)]
+    found = [_leaks(rows, Index(sorted((r["i"], r["t"].encode()) for r in items.filter(block == k).collect()), *space, cosine, common), steps) for k in range(n_blocks)]
     return steps.keep(functools.reduce(DataFrame.union, found), "leak-found")
 
 
-def _leaks(rows: DataFrame, index: Index) -> DataFrame:
-    """The hits of one block of items."""
+def _leaks(rows: DataFrame, index: Index, steps: Steps) -> DataFrame:
+    """The hits of one block of items, written before the next block is collected."""
     shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -286,7 +294,9 @@ def _leaks(rows: DataFrame, index: Index) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "item_id", "cosine", "common"])
 
-    return rows.filter("df is null").select("doc_id", "text_hash", "ids").mapInArrow(run, "doc_id long, text_hash long, item_id long, cosine double, common double")
+    hits = steps.stash(rows.filter("df is null").select("doc_id", "text_hash", "ids").mapInArrow(run, "doc_id long, text_hash long, item_id long, cosine double, common double"), "leak-block")
+    shared.destroy()
+    return hits
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
