@@ -528,6 +528,14 @@ def test_op2_and_op8_files_by_bytes(spark, tmp_path):
     assert [x.doc_id for x in got] == [*range(3000), *[5000] * 30] and [x.start for x in got] == np.cumsum([0, *[x.n_tokens for x in got[:-1]]]).tolist()
 
 
+def test_op6_recall_of_the_cosine(spark):
+    """The cosine loses hardly any document that the subsequence and the answer alone would find in all windows."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "benchmark"))
+    of = lambda **more: {(r.doc_id, r.item_id) for r in leaks.leaks(docs, items, **more).collect()}
+    found, every = of(), of(cosine=-2.0)
+    assert found <= every and len(found) >= 0.9 * len(every) > 10
+
+
 def test_op10_votes_are_those_of_all_products():
     texts = [(prose(i, 40) if i % 3 else "BUY $$ now !! " * (5 + i)).encode() for i in range(90)]
     voter = quality.Voter(texts[:60], [int(i % 3 > 0) for i in range(60)], 0.6)
