@@ -7,6 +7,7 @@ encoded by the library once for as long as the memo holds it. Special strings ar
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from .common import Chunks, Memo, flat, ragged, slices, word_spans
 
-#: Pretokens of up to so many characters have a count at each character.
+#: Pretokens of up to so many characters are encoded at each cut by the library, longer ones go through the prefix dynamic program; both give its counts.
 TABULATED = 256
 _LOADED: dict[tuple, object] = {}
 
@@ -70,6 +71,12 @@ class Pretokens(Chunks):
         self.n_bytes, self.places = np.diff(places), places
 
 
+# The rule by which the vocabulary cuts texts, and the characters that stand for bytes in it.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+_SYMBOL = {b: chr(b) if b in _SHOWN else chr(256 + i) for b, i in zip(range(256), np.cumsum([b not in _SHOWN for b in range(256)]) - 1, strict=True)}
+
+
 class Encoder:
     """Identifiers of pretokens by the library: words many at a time with blanks between them, told apart by the tokens that end a word.
 
@@ -77,6 +84,15 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])]
+        split = ((told["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
+        if (steps, split, told["model"].get("end_of_word_suffix")) != (["NFC", "Replace", "Lowercase"], _SPLIT, "</w>"):
+            raise ValueError(f"{path} cuts texts by rules that aren't known here")
+        self.merges = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(told["model"]["merges"])}
+        self.names, self.longest = told["model"]["vocab"], max(map(len, told["model"]["vocab"]))
+        self.fits: dict[tuple, bool] = {}
         self.tokenizer = _library(path)
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -89,6 +105,48 @@ class Encoder:
             out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(keys[start : start + 2000], add_special_tokens=False)]
         return out
 
+    def merged(self, symbols: list[str]) -> list[str]:
+        """Symbols after all merges, the one of lowest rank first, from left to right."""
+        while len(symbols) > 1:
+            rank, at = min((self.merges.get(pair, len(self.merges)), i) for i, pair in enumerate(zip(symbols[:-1], symbols[1:], strict=True)))
+            if rank == len(self.merges):
+                break
+            symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
+        return symbols
+
+    def _follows(self, before: str, token: str, end: str) -> bool:
+        """Whether token (and end, the mark of a word's end) comes behind another one: merging both together gives just them."""
+        key = (before, token, end)
+        if key not in self.fits:
+            if len(self.fits) > 200_000:
+                self.fits.clear()
+            symbols = [*before, *token[:-1], token[-1] + end]
+            self.fits[key] = self.merged(symbols) == [x for x in (before, token + end) if x]
+        return self.fits[key]
+
+    def prefix_counts(self, word: str) -> np.ndarray:
+        """Tokens of each prefix of a pretoken of byte symbols, if it ended there.
+
+        Dynamic program: the tokens of a prefix are those of a shorter one and a last token, and that is the only
+        one of the vocabulary that can follow its last token. First for prefixes that go on, then for those that end a word.
+        """
+        last, count = [""] * (len(word) + 1), np.zeros(len(word) + 1, np.int64)
+
+        def tail(j: int, end: str) -> tuple[int, str]:
+            for k in range(max(0, j - self.longest), j):
+                token = word[k:j]
+                if token + end in self.names and (k == 0 or last[k]) and self._follows(last[k], token, end):
+                    return k, token
+            raise ValueError("no token ends here")
+
+        out = np.zeros(len(word), np.int64)
+        for j in range(1, len(word) + 1):
+            k, _ = tail(j, "</w>")
+            out[j - 1] = count[k] + 1
+            k, last[j] = tail(j, "")
+            count[j] = count[k] + 1
+        return out
+
     def __call__(self, parts: list[bytes]) -> list[bytes]:
         texts = b"\n".join(parts).decode("utf-8", "replace").split("\n")
         many = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or _PLAIN.fullmatch(t))]
@@ -150,8 +208,8 @@ class PrefixTable:
     The dynamic program runs over the chunks: ``counts[i] = counts[i - 1] + tokens(chunk i)``, which is exact
     for each prefix that ends behind chunk i, or in the white space behind it. A prefix that ends inside a
     chunk takes the entry before it and a table of that one chunk, made once: for each character of the chunk the tokens of
-    the chunk cut there. The text is never encoded again. Only in a pretoken of more than TABULATED characters are no counts
-    stored: ``count`` encodes the part of it that is left by the cut, ``fit`` stops in front of it.
+    the chunk cut there. The text is never encoded again. Only where the library changes the letters of a pretoken of more than TABULATED
+    characters as a whole (combining marks, final sigma) are no counts stored inside it: ``count`` encodes what the cut leaves of it, ``fit`` stops in front of it.
     """
 
     def __init__(self, text: bytes, path: str):
@@ -187,41 +245,55 @@ class PrefixTable:
         i = int(np.searchsorted(self.counts, budget, "right"))
         before, n = (int(self.ends[i - 1]), int(self.counts[i - 1])) if i else (0, 0)
         if i < len(self.starts):
-            ends, counts = self._cuts(i)
-            some = np.flatnonzero((counts >= 0) & (counts <= budget - n))
-            if len(some):
-                return int(self.starts[i] + ends[some[-1]])
+            inside = _fit(self.text[self.starts[i] : self.ends[i]], budget - n, self.path)
+            if inside:
+                return int(self.starts[i]) + inside
         return before
 
 
 def cut_counts(chunk: bytes, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes behind characters of a chunk, and the tokens of the chunk cut there; -1 inside a pretoken of more than TABULATED characters.
+    """Bytes behind characters of a chunk, and the tokens of the chunk cut there; -1 inside a long pretoken whose letters change as a whole.
 
     Pretokens are encoded on their own, so the counts at their borders stay when the cut moves on, and only the pretoken that
-    is cut counts anew. Chunks beyond ASCII are one stretch, since the library may change them as a whole.
+    is cut counts anew: short ones by the library, long ones by ``Encoder.prefix_counts``.
     """
-    tokenizer = _encoder(path).tokenizer
+    encoder = _encoder(path)
+    tokenizer = encoder.tokenizer
     text = chunk.decode("utf-8", "replace")
     ends = np.cumsum([len(c.encode()) for c in text])
-    stops = [b for _, (_, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text.lower())] if text.isascii() and "<|" not in text else []
+    each = [tokenizer.normalizer.normalize_str(c) for c in text]
+    whole = "Σ" in text or "<|" in text or tokenizer.normalizer.normalize_str(text) != "".join(each)
+    places = np.cumsum([0, *map(len, each)])
+    stops = [] if whole else np.searchsorted(places, [b for _, (_, b) in tokenizer.pre_tokenizer.pre_tokenize_str("".join(each))]).tolist()
     counts, base, start = np.full(len(text), -1, np.int64), 0, 0
     for stop in sorted({*stops, len(text)}):
-        cuts = [text[start:j] for j in (range(start + 1, stop + 1) if stop - start <= TABULATED else [stop])]
-        counts[stop - len(cuts) : stop] = [base + len(e.ids) for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
+        if stop - start > TABULATED and not whole:
+            symbols = ["".join(_SYMBOL[b] for b in c.encode()) for c in each[start:stop]]
+            counts[start:stop] = base + encoder.prefix_counts("".join(symbols))[np.cumsum([*map(len, symbols)]) - 1]
+        else:
+            cuts = [text[start:j] for j in (range(start + 1, stop + 1) if stop - start <= TABULATED else [stop])]
+            counts[stop - len(cuts) : stop] = [base + len(e.ids) for e in tokenizer.encode_batch_fast(cuts, add_special_tokens=False)]
         base, start = int(counts[stop - 1]), stop
     return ends, counts
 
 
+def _fit(chunk: bytes, budget: int, path: str) -> int:
+    """Bytes of the longest prefix of a chunk with at most ``budget`` tokens, where counts are stored."""
+    ends, counts = cut_counts(chunk, path)
+    some = np.flatnonzero((counts >= 0) & (counts <= budget))
+    return int(ends[some[-1]]) if len(some) else 0
+
+
 def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
     """Token counts of whole texts by prefix dynamic programming.
 
     A row for each row: the identifier (as it is, null and repeats too), n_bytes (UTF-8), n_tokens,
-    over_limit (n_tokens > limit), n_chunks and fit_chunks (the most leading chunks within the limit, from
-    the prefix counts). With ``store`` also ends and counts: byte offset behind each chunk and tokens up to
+    over_limit (n_tokens > limit), n_chunks, fit_chunks (the most leading chunks within the limit, from
+    the prefix counts) and fit_bytes (bytes of the longest prefix within the limit, inside a chunk too; n_bytes for a whole text). With ``store`` also ends and counts: byte offset behind each chunk and tokens up to
     there. Null and empty texts have no tokens. Narrow: no shuffle, memory for a slice of about a megabyte or the longest text.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, fit_chunks long" + ", ends array<long>, counts array<long>" * store
+    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, n_chunks long, fit_chunks long, fit_bytes long" + ", ends array<long>, counts array<long>" * store
 
     def run(batches):
         for b in slices(batches):
@@ -231,10 +303,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             n = total[before[1:]] - total[before[:-1]]
             fits = np.searchsorted(total, total[before[:-1]] + limit, "right") - 1
             fits = np.minimum(fits, before[1:]) - before[:-1]
-            out = [b.column(0), *map(pa.array, (parts.n_bytes, n, n > limit, np.diff(before), fits))]
+            fit_bytes = parts.n_bytes.copy()
+            for i in np.flatnonzero(n > limit).tolist():
+                c = int(before[i] + fits[i])
+                text, low = b.column(1)[i].as_py().encode(), int(parts.ends[c - 1] - parts.places[i]) if fits[i] else 0
+                chunk = text[low : int(parts.ends[c] - parts.places[i])]
+                blank = len(chunk) - len(chunk.lstrip(b" \t\n\v\f\r"))
+                inside = _fit(chunk[blank:], int(limit - (total[c] - total[before[i]])), path)
+                fit_bytes[i] = low + (blank + inside if inside else 0)
+            out = [b.column(0), *map(pa.array, (parts.n_bytes, n, n > limit, np.diff(before), fits, fit_bytes))]
             if store:
                 spans = pa.array(before, pa.int32())
                 out += [pa.ListArray.from_arrays(spans, pa.array(parts.ends - np.repeat(parts.places[:-1], np.diff(before)))), pa.ListArray.from_arrays(spans, pa.array(total[1:] - np.repeat(total[before[:-1]], np.diff(before))))]
-            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "fit_chunks", *["ends", "counts"] * store])
+            yield pa.RecordBatch.from_arrays(out, names=[id_col, "n_bytes", "n_tokens", "over_limit", "n_chunks", "fit_chunks", "fit_bytes", *["ends", "counts"] * store])
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

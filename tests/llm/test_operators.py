@@ -536,6 +536,30 @@ def test_op6_recall_of_the_cosine(spark):
     assert found <= every and len(found) >= 0.9 * len(every) > 10
 
 
+def test_op3_counts_inside_long_stretches(spark):
+    """Every prefix of texts without blanks by the library, and the longest one within a budget."""
+    from tokenizers import Tokenizer
+
+    tk, r = Tokenizer.from_file(WORD_BPE), random.Random(7)
+    encode = lambda t: len(tk.encode(t, add_special_tokens=False).ids)
+    texts = ["".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(420)), "z" * 700, "é" * 600, "".join(r.choice("etaoinshrdlu") for _ in range(500)), "ab1" + "Straße" * 60 + "!?" * 200 + "x's", "e\u0301" * 200]
+    for t in texts:
+        table = tokens.PrefixTable(t.encode(), WORD_BPE)
+        want = [encode(t[:j]) for j in range(len(t) + 1)]
+        assert [table.count(len(t[:j].encode())) for j in range(len(t) + 1)] == want
+        if "\u0301" not in t:
+            for budget in (1, 60, 200, want[-1] + 5):
+                assert table.fit(budget) == len(t[: max(j for j, n in enumerate(want) if n <= budget)].encode())
+    docs = spark.createDataFrame(list(enumerate(["go on  " + t for t in texts[:5]])), "doc_id long, text string")
+    got = tokens.count_tokens(docs, WORD_BPE, limit=60).collect()
+    for x in got:
+        t = "go on  " + texts[x.doc_id]
+        best = max(j for j in range(len(t) + 1) if encode(t[:j]) <= 60)
+        assert x.fit_bytes == (len(t[:best].rstrip(" ").encode()) if x.over_limit else x.n_bytes)
+    with pytest.raises(ValueError, match="rules"):
+        tokens.PrefixTable(b"x", public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_op10_votes_are_those_of_all_products():
     texts = [(prose(i, 40) if i % 3 else "BUY $$ now !! " * (5 + i)).encode() for i in range(90)]
     voter = quality.Voter(texts[:60], [int(i % 3 > 0) for i in range(60)], 0.6)
