@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import Steps, as_bytes, flat, ragged, slices, span_hashes, unused, word_spans
 
@@ -249,7 +250,7 @@ def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def run(batches):
         df, names = np.zeros(FEATURES), ["doc_id", "text_hash", "ids", "df"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        kinds = [key, pa.int64(), pa.binary(), pa.binary()]
         for b in slices(batches):
             rows = word_ids(b.column(1))
             seen = np.unique(_slot(np.concatenate(rows)) + np.repeat(np.arange(len(rows), dtype=np.int32) * FEATURES, [len(r) for r in rows]))
@@ -259,8 +260,9 @@ def word_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if df.any():
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((None, None, None, df.tobytes()), kinds, strict=True)], names=names)
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, ids binary, df binary")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumn("h", F.xxhash64("t"))
+    key = to_arrow_type(rows.schema["doc_id"].dataType)
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, ids binary, df binary")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common: float = COMMON, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,7 +271,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common:
     Every window of a document that holds half of an item's rarest words is compared with the item. The benchmark is searched in blocks of
     ITEM_BYTES, so neither driver nor tasks hold all of it. Null and empty texts hold nothing; null or empty
     items, and items without an identifier, are not looked for. Repeated documents are reported as often as they
-    occur. Documents shorter than an item are one window. Without benchmark or documents the result is empty.
+    occur; identifiers of documents may be of any type. Documents shorter than an item are one window. Without benchmark or documents the result is empty.
     """
     steps = Steps(docs.sparkSession)
     rows = steps.stash(word_rows(docs, id_col, text_col), "leak-words")
@@ -283,7 +285,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, common:
 
 def _leaks(rows: DataFrame, index: Index, steps: Steps) -> DataFrame:
     """The hits of one block of items, written before the next block is collected."""
-    shared = rows.sparkSession.sparkContext.broadcast(index)
+    shared, key = rows.sparkSession.sparkContext.broadcast(index), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def run(batches):
         model = shared.value
@@ -291,10 +293,10 @@ def _leaks(rows: DataFrame, index: Index, steps: Steps) -> DataFrame:
             ids, hashes, words = (b.column(i).to_pylist() for i in range(3))
             out = [(ids[r], hashes[r], *hit) for r, *hit in model.search([np.frombuffer(x, "<u4") for x in words])]
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                kinds = [key, pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["doc_id", "text_hash", "item_id", "cosine", "common"])
 
-    hits = steps.stash(rows.filter("df is null").select("doc_id", "text_hash", "ids").mapInArrow(run, "doc_id long, text_hash long, item_id long, cosine double, common double"), "leak-block")
+    hits = steps.stash(rows.filter("df is null").select("doc_id", "text_hash", "ids").mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text_hash long, item_id long, cosine double, common double"), "leak-block")
     shared.destroy()
     return hits
 
@@ -303,5 +305,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` whose text holds no benchmark item, with all their columns."""
     i, h = unused(docs.columns, "_lf_i", "_lf_h")
     found = leaks(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias(i), F.col("text_hash").alias(h)).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
     return docs.join(found, same, "left_anti")

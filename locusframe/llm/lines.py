@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Steps, unused
 from .rules import SPACE, _let
@@ -79,8 +80,11 @@ def _spans(runs: Column, min_words: int) -> Column:
     return _let(F.array_sort(runs), of)
 
 
-def _key(id_col: str) -> Column:
-    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+def _key(docs: DataFrame, id_col: str) -> Column:
+    """The identifier without nulls, in its order: a whole number, or the text of any other one; null is below all."""
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
+    return F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.lit("0"))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,7 +102,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     The first place of a content is the least one, so a link is one row however often the content occurs. Rows
     that agree in identifier and text are one document. Two independent hashes of 64 bits tell windows apart.
     """
-    rows = docs.select(_key(id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
+    rows = docs.select(_key(docs, id_col).alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).select("i", F.xxhash64("t").alias("h"), "t")
 
     def long_enough(hashes: Column) -> Column:
         return F.when(F.size(hashes) >= min_words, _marks(hashes, min_words))
@@ -151,13 +155,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     Words are compared; lines and white space don't matter. A passage is deleted where an equal one comes earlier, in
     another document (by identifier, then text hash) or the same one: whole lines with their line feed, of a line that
     is repeated in part just those words. Texts without such passages stay as they are, null too; a text may become
-    empty. Rows that agree in identifier and text are one document, and keep the same. The last two columns are called
+    empty. Identifiers that are no whole numbers go by their text. Rows that agree in identifier and text are one document, and keep the same. The last two columns are called
     ``names``; other columns of these names are replaced. An empty table gives an empty result.
     """
     i, h, cut_out, new = unused([*docs.columns, *names], "_lf_i", "_lf_h", "_lf_gone", "_lf_text")
     gone = repeated_passages(docs, min_words, id_col, text_col).select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(cut_out))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumns({i: _key(id_col), h: F.xxhash64(text)}).join(gone, [i, h], "left")
+    joined = docs.withColumns({i: _key(docs, id_col), h: F.xxhash64(text)}).join(gone, [i, h], "left")
     lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias(names[0])
     old = F.struct(lines, F.lit(0).cast("long").alias(names[1]), F.col(text_col).cast("string").alias(new))
     cut = _let(_without(text, F.col(cut_out)), lambda x: F.struct(lines, x["n"].cast("long").alias(names[1]), x["t"].alias(new)))

@@ -43,3 +43,19 @@ def test_stages_on_awkward_rows(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_stages_on_identifiers_that_are_text(spark, tmp_path):
+    prose = [" ".join(f"w{(i * 7 + j * j) % 500}" for j in range(120)) for i in range(30)]
+    rows = [(f"d{i:02d}", t) for i, t in enumerate(prose)] + [(None, None), ("x", prose[3]), ("y", prose[4] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    spark.createDataFrame([(f"d{i:02d}", 1, 0) for i in range(30)] + [("none", 0, 0)], "doc_id string, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose[20][:150])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES:
+        at = stash(stage(spark, at, str(tmp_path)), "test")
+        ids = {r.doc_id for r in at.collect()}
+        assert dict(at.dtypes)["doc_id"] == "string"
+        if name == "line_dedup":
+            assert not ids & {"x"} and {"d03", "d04", None} <= ids
+    assert "d20" not in ids and {"d01", "d05", None} <= ids
