@@ -46,8 +46,9 @@ def gap_merge(candidates: DataFrame, window: int = 50, min_support: int = 2) ->
     offsets = offsets.select(*keys, "_stretch", F.coalesce(F.sum("_k").over(before(keys)), F.lit(0)).alias("_offset"))
     counted = marked.withColumn("_inner", F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     numbered = counted.join(offsets, [*keys, "_stretch"]).withColumn("_c", F.col("_offset") + F.col("_inner"))
-    out = numbered.groupBy("chrom", "sv_type", "_c").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.countDistinct("read_name").alias("support"), _median("sv_len").alias("median_sv_len"), F.array_sort(F.collect_set("read_name")).alias("reads"))
-    return out.filter(F.col("support") >= min_support).select("chrom", "start", "end", F.col("sv_type").alias("type"), "support", "median_sv_len", "reads")
+    out = numbered.groupBy("chrom", "sv_type", "_c").agg(F.min("start").alias("start"), F.max("end").alias("end"), _median("sv_len").alias("median_sv_len"), F.array_sort(F.collect_set("read_name")).alias("reads"))
+    # the names are part of the row, so they are counted there
+    return out.withColumn("support", F.size("reads").cast("long")).filter(F.col("support") >= min_support).select("chrom", "start", "end", F.col("sv_type").alias("type"), "support", "median_sv_len", "reads")
 
 
 def _near(items: DataFrame, keys: list[str], fields: list[str], window: int) -> DataFrame:
