@@ -528,6 +528,19 @@ def test_op2_and_op8_files_by_bytes(spark, tmp_path):
     assert [x.doc_id for x in got] == [*range(3000), *[5000] * 30] and [x.start for x in got] == np.cumsum([0, *[x.n_tokens for x in got[:-1]]]).tolist()
 
 
+def test_op6_many_blocks_and_repeated_documents(spark, monkeypatch):
+    items = [(k, " ".join(f"q{k}x{j}" for j in range(12))) for k in range(8)]
+    rows = [(i, prose(i, 40) + " " + items[i % 8][1]) for i in range(16)] + [(100 + i, prose(i, 60)) for i in range(20)]
+    docs = spark.createDataFrame([*rows, rows[3], rows[3]], "doc_id long, text string").repartition(40)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    of = lambda: Counter((r.doc_id, r.item_id) for r in leaks.leaks(docs, bench).collect())
+    want = Counter({(i, i % 8): 3 if i == 3 else 1 for i in range(16)})
+    assert of() == want
+    monkeypatch.setattr(leaks, "ITEM_BYTES", 100)
+    monkeypatch.setattr(leaks, "SUMMED", 2)
+    assert of() == want
+
+
 def test_op6_recall_of_the_cosine(spark):
     """The cosine loses hardly any document that the subsequence and the answer alone would find in all windows."""
     docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "benchmark"))
