@@ -27,7 +27,10 @@ def _units(text: Column) -> Column:
 
 def _words(text: Column) -> Column:
     """Hash of each word, a run of characters other than ASCII white space."""
-    return F.transform(F.split(F.trim(text, F.lit(SPACE)), _GAP + "+"), lambda w: F.xxhash64(w))
+    for c in SPACE.replace(" ", ""):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    # a single character is split at without a regular expression
+    return F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w))
 
 
 def _over(values: Column, n: int, join, body, size: int = 1) -> Column:
@@ -40,33 +43,48 @@ def _over(values: Column, n: int, join, body, size: int = 1) -> Column:
     return _let(both, lambda x: _over(x, n, join, body, wide))
 
 
+def _ends(size: int, k: int) -> list[int]:
+    """Places of groups of k words that cover ``size`` words, the last one flush with their end."""
+    return [*range(0, size - k, k), size - k]
+
+
 def _marks(hashes: Column, min_words: int) -> Column:
     """The least hash a of the word groups of each window of ``min_words`` words, once for all neighbouring windows s to e that share it, the hash c of their words, and at how many places in them the least hash is."""
     k = min(RADIX, 1 << max(0, min_words.bit_length() - 2))
 
     width = min_words - k + 1
 
-    def runs(groups: Column, m: Column) -> Column:
+    def runs(groups: Column, m: Column, once: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
 
         def mark(s: Column, at: Column, j: Column) -> Column:
             end = F.coalesce(F.get(s, j + 1), F.size(m)) - 1
-            held = F.slice(groups, at + 1, end - at + width)
-            places = F.size(held) - F.size(F.array_remove(held, F.get(m, at)))
-            return F.struct(F.get(m, at).alias("a"), F.xxhash64(F.slice(hashes, at + 1, end - at + min_words)).alias("c"), at.alias("s"), end.alias("e"), places.alias("places"))
+            least, last = F.get(m, at), end + (width - 1)
+            # groups one behind the other, and the one that ends with the last window, hold each word of the stretch
+            content = F.xxhash64(F.transform(F.sequence(at, last, F.lit(k)), lambda i: F.get(groups, i)), F.get(groups, last), end - at)
+            places = F.when(once, F.lit(1)).otherwise(F.size(F.filter(F.sequence(at, last), lambda i: F.get(groups, i) == least)))
+            return F.struct(least.alias("a"), content.alias("c"), at.alias("s"), end.alias("e"), places.alias("places"))
 
         return _let(starts, lambda s: F.transform(s, lambda at, j: mark(s, at, j)))
 
-    return _over(hashes, k, F.xxhash64, lambda x: _over(x, width, F.least, lambda m: runs(x, m)))
+    # most texts repeat no group, so nothing has to be counted in their windows
+    def of(groups: Column) -> Column:
+        return _let(F.size(F.array_distinct(groups)) == F.size(groups), lambda once: _over(groups, width, F.least, lambda m: runs(groups, m, once)))
+
+    return _over(hashes, k, F.xxhash64, of)
 
 
 def _windows(hashes: Column, marks: Column, min_words: int) -> Column:
-    """Place, hash g and least group a of each window of ``marks``."""
+    """Place, hash g and least group a of each window of ``marks``; only their windows are hashed."""
+    k = min(RADIX, min_words)
 
-    def of(g: Column) -> Column:
-        return F.flatten(F.transform(marks, lambda r: F.transform(F.sequence(r["s"], r["e"]), lambda at: F.struct(at.alias("at"), F.get(g, at).alias("g"), r["a"].alias("a")))))
+    def of(groups: Column) -> Column:
+        def window(at: Column) -> Column:
+            return F.xxhash64(*(F.get(groups, at + p) for p in _ends(min_words, k)))
 
-    return _over(hashes, min_words, F.xxhash64, of)
+        return F.flatten(F.transform(marks, lambda r: F.transform(F.sequence(r["s"], r["e"]), lambda at: F.struct(at.alias("at"), window(at).alias("g"), r["a"].alias("a")))))
+
+    return _over(hashes, k, F.xxhash64, of)
 
 
 def _spans(runs: Column, min_words: int) -> Column:
@@ -129,12 +147,20 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
 def _without(text: Column, gone: Column) -> Column:
     """n (lines that lost words) and t (the text without the words of ``gone``)."""
     lead = F.regexp_extract(text, rf"\A{_GAP}*", 0)
-    # a word with the white space behind it; k or d in front says whether it stays, d stands for the word
+    # a word with the white space behind it; k in front says that it stays, d stands for a word that goes
     pieces = F.regexp_extract_all(text, F.lit(rf"[^ \t\n\x0B\f\r]+{_GAP}*"), F.lit(0))
+    word = F.lit(r"[^ \t\n\x0B\f\r]+")
+
+    def part(p: Column, first: Column, end: Column, mark: str) -> Column:
+        held = F.array_join(F.slice(p, first + 1, F.greatest(end - first, F.lit(0))), "")
+        return F.regexp_replace(held, word, F.lit(mark))
+
+    def marked(p: Column) -> Column:
+        def span(r: Column, j: Column) -> Column:
+            before = F.when(j == 0, F.lit(0)).otherwise(F.get(gone, j - 1)["e"] + 1)
+            return F.concat(part(p, before, r["s"], "k$0"), part(p, F.greatest(before, r["s"]), r["e"] + 1, "d"))
 
-    def tagged(p: Column, j: Column) -> Column:
-        out = F.exists(gone, lambda r: (j >= r["s"]) & (j <= r["e"]))
-        return F.when(out, F.concat(F.lit("d"), F.regexp_extract(p, rf"{_GAP}*\z", 0))).otherwise(F.concat(F.lit("k"), p))
+        return F.concat(lead, F.array_join(F.transform(gone, span), ""), part(p, F.element_at(gone, -1)["e"] + 1, F.size(p), "k$0"))
 
     cut, stays = _START + "d", _START + "k"
 
@@ -146,7 +172,7 @@ def _without(text: Column, gone: Column) -> Column:
         left = F.filter(units, lambda u: u.rlike(stays) | ~u.rlike(cut))
         return F.struct(F.size(F.filter(units, lambda u: u.rlike(cut))).alias("n"), F.array_join(F.transform(left, rest), "\n").alias("t"))
 
-    return _let(_units(F.concat(lead, F.array_join(F.transform(pieces, tagged), ""))), of)
+    return _let(_let(pieces, lambda p: _units(marked(p))), of)
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
