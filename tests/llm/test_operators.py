@@ -186,6 +186,19 @@ def test_op4_against_brute_force(spark, min_words):
     assert any(len(words(r.text)) < len(words(t)) for r, t in zip(out, texts, strict=True))
 
 
+def test_op4_overlapping_spans_and_awkward_words(spark):
+    run = [f"{x}{i}" for i, x in enumerate(["$1", "\\", "k", "d", "é", " ", "$0", "中"] * 13)][:100]
+    gaps = ["\t", "\x0b", "\f", "\r", "\n", " ", "  ", "\n\n"]
+
+    def text(words_, start):
+        return "".join(w + gaps[(start + i) % len(gaps)] for i, w in enumerate(words_))
+
+    rows = [(1, text(run[:60], 0)), (2, text(run[30:], 3)), (3, "k d " + text(run, 5) + "d k"), (4, text(run[30:60], 1)), (5, text(["k", "$0"] + run[11:60], 2) + text(run[:9], 0)), (6, " ".join(run[:60] + ["x"] + run[30:]))]
+    got = {r.doc_id: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].text == rows[i - 1][1] and got[i].n_removed == 0 for i in (1, 2, 4, 5))
+    assert words(got[3].text) == ["k", "d", "d", "k"] and words(got[6].text) == ["x"]
+
+
 def test_op5_samples(docs, empty):
     import sentencepiece
 
