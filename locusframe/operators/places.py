@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bases of a stretch; a chromosome has some hundred of them.
-STRETCH = 1 << 20
+#: Bases of a stretch; a chromosome has some ten thousand of them, a row each in what carries over.
+STRETCH = 1 << 14
 
 
 def stretch_of(pos: str | Column) -> Column:
