@@ -196,8 +196,8 @@ def length_sample(reads: DataFrame, sample: int = 5000, cutoff: int = 1000) -> D
     return rows.filter(among).agg(F.when(m < cutoff, "short").when(m.isNotNull(), "long").alias("bam_type"), F.coalesce(m, F.lit(0)).alias("median_len"), F.coalesce(F.avg(n), F.lit(0.0)).alias("mean_len"), F.count(n).alias("n_reads"), F.count_if("bad").alias("n_skipped"))
 
 
-def insert_sizes(reads: DataFrame, sample: int = 5000) -> DataFrame:
-    """Median, mean and population deviation of the first ``sample`` paired reads with a template length, the cutoff for large inserts, n_unmapped and n_skipped.
+def insert_sizes(reads: DataFrame, sample: int | None = 5000) -> DataFrame:
+    """Median, mean and population deviation of the first ``sample`` paired reads (None: of all) with a template length, the cutoff for large inserts, n_unmapped and n_skipped.
 
     The cutoff is the median and three deviations, 1000 at least. n_unmapped counts paired reads without a template
     length whose mate is unmapped, n_skipped lines that are no alignments (of ``sources.text.sam_lines``), both up to the last read of the sample.
@@ -206,7 +206,7 @@ def insert_sizes(reads: DataFrame, sample: int = 5000) -> DataFrame:
     paired, t = F.col("flag").bitwiseAND(PAIRED) != 0, F.abs(F.coalesce("tlen", F.lit(0)))
     bad, good = _error(reads), ~_error(reads)
     rows = reads.select("read_idx", F.coalesce(good & paired & (t > 0), F.lit(False)).alias("hit"), bad.alias("bad"), F.coalesce(good & paired & (t == 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) != 0), F.lit(False)).alias("lost"), t.alias("t")).filter("hit or bad or lost")
-    rows, among = _sampled(rows, sample)
+    rows, among = _sampled(rows, sample) if sample is not None else (rows, F.lit(True))
     t = F.when(F.col("hit"), F.col("t"))
     made = rows.filter(among).agg(F.coalesce(F.percentile(t, F.lit(0.5)).cast("int"), F.lit(0)).alias("median_tlen"), F.coalesce(F.avg(t), F.lit(0.0)).alias("mean_tlen"), F.coalesce(F.stddev_pop(t), F.lit(0.0)).alias("std_tlen"), F.count(t).alias("n_pairs"), F.count_if("lost").alias("n_unmapped"), F.count_if("bad").alias("n_skipped"))
     return made.withColumn("cutoff", F.greatest(F.lit(1000), (F.col("median_tlen") + 3 * F.col("std_tlen")).cast("int")))

@@ -180,9 +180,9 @@ def read_lengths(spark, sf_dir):
     return observe.length_sample(P.alignments(spark, sf_dir))
 
 
-@query(f"WITH a AS ({_A}), f AS (SELECT read_idx, abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0 ORDER BY read_idx LIMIT 5000) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, (SELECT count(*) FROM a WHERE (flag & 1) <> 0 AND (flag & 8) <> 0 AND tlen = 0 AND ((SELECT count(*) FROM f) < 5000 OR read_idx < (SELECT max(read_idx) FROM f))) AS n_unmapped, 0 AS n_skipped, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
+@query(f"WITH a AS ({_A}), f AS (SELECT read_idx, abs(tlen) AS t FROM a WHERE (flag & 1) <> 0 AND tlen <> 0) SELECT {_med('t')} AS median_tlen, round(avg(t), 4) AS mean_tlen, round(stddev_pop(t), 4) AS std_tlen, count(*) AS n_pairs, (SELECT count(*) FROM a WHERE (flag & 1) <> 0 AND (flag & 8) <> 0 AND tlen = 0) AS n_unmapped, 0 AS n_skipped, greatest(1000, CAST(trunc({_med('t')} + 3 * stddev_pop(t)) AS INT)) AS cutoff FROM f")
 def insert_size(spark, sf_dir):
-    return observe.insert_sizes(P.alignments(spark, sf_dir)).withColumns({"mean_tlen": F.round("mean_tlen", 4), "std_tlen": F.round("std_tlen", 4)})
+    return observe.insert_sizes(P.alignments(spark, sf_dir), sample=None).withColumns({"mean_tlen": F.round("mean_tlen", 4), "std_tlen": F.round("std_tlen", 4)})
 
 
 @query(f"""WITH {_LEGACY}, m AS (SELECT *, CASE WHEN start <= max("end") OVER w + 50 THEN 0 ELSE 1 END AS fresh FROM lg WINDOW w AS (PARTITION BY chrom, sv_type ORDER BY start, "end", read_name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),

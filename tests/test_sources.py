@@ -137,6 +137,12 @@ def test_samples_that_fill_late_or_never(spark, tmp_path):
     assert tuple(observe.insert_sizes(sources.sam_lines(spark, str(tmp_path / "b.sam"))).first())[:4] == (0, 0.0, 0.0, 0)
 
 
+def test_insert_sizes_of_all_reads(spark, tmp_path):
+    (tmp_path / "a.sam").write_text(sam(6000, lost={3, 5999}))
+    got = observe.insert_sizes(sources.sam_lines(spark, str(tmp_path / "a.sam")), None).first()
+    assert (got.n_pairs, got.n_unmapped) == (5998, 2)
+
+
 def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
     (tmp_path / "a.sam").write_text(sam(20, bad={3, 4}))
     lines = sources.sam_lines(spark, str(tmp_path / "a.sam"))
