@@ -338,9 +338,9 @@ def exon_class(spark, sf_dir):
     return annotate.exon_class(_spans(spark, sf_dir), _exons(spark, sf_dir))
 
 
-@query(f"""WITH c AS ({_C}), x AS ({_X}), ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x), h AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 2 AND c."end" >= place - 2 GROUP BY c.ord) SELECT c.ord AS sv_id, chrom, pos AS start, "end", CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END AS splice, coalesce(hits, '') AS hits FROM c LEFT JOIN h USING (ord)""")
+@query(f"""WITH c AS ({_C}), x AS ({_X}), ed AS (SELECT *, 'start' AS edge, s AS place FROM x UNION ALL SELECT *, 'end', e FROM x), h AS (SELECT c.ord, string_agg(concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place), ',' ORDER BY concat_ws('|', tx_id, gene_id, concat('exon', exon_rank), edge, place)) AS hits FROM c JOIN ed ON c.chrom = ed.chrom AND c.pos <= place + 10 AND c."end" >= place - 10 GROUP BY c.ord) SELECT c.ord AS sv_id, chrom, pos AS start, "end", CASE WHEN hits IS NULL THEN 'no' ELSE 'yes' END AS splice, coalesce(hits, '') AS hits FROM c LEFT JOIN h USING (ord)""")
 def splice_hits(spark, sf_dir):
-    return annotate.splice_hits(_spans(spark, sf_dir), _exons(spark, sf_dir)).withColumn("hits", F.array_join("hits", ","))
+    return annotate.splice_hits(_spans(spark, sf_dir), _exons(spark, sf_dir), window=10).withColumn("hits", F.array_join("hits", ","))
 
 
 @query(f"""WITH c AS (SELECT *, upper(CASE WHEN ord % 2 = 0 THEN lower(svtype) ELSE svtype END) AS kind, CASE ord % 4 WHEN 0 THEN 'NA' WHEN 1 THEN NULL ELSE CAST(svlen AS VARCHAR) END AS given, CASE WHEN ord % 5 = 0 THEN NULL ELSE read END AS name FROM ({_C})), x AS ({_X}),
