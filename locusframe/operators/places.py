@@ -50,3 +50,16 @@ def last_before(points: DataFrame, marks: DataFrame, key: str, at: str, pos: str
     inside = Window.partitionBy(key, "_stretch").orderBy("_p", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
     found = both.join(ends, [key, "_stretch"]).withColumn("_found", F.coalesce(F.last("_v", ignorenulls=True).over(inside), "_carry"))
     return found.filter("_side = 1").select(key, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)], F.col("_found.v").cast(kind).alias(name))
+
+
+def furthest_before(points: DataFrame, marks: DataFrame, key: str, at: str, pos: str, end: str, name: str) -> DataFrame:
+    """``points`` with the greatest end of the marks at or in front of the position ``at``; null if there is none.
+
+    Whether a span meets any mark, or lies inside one, follows from it without a pair being made. Places are a row each.
+    """
+    marked = marks.select(key, F.col(pos).cast("long").alias("_p"), F.col(end).cast("long").alias("_v"))
+    places = marked.unionByName(points.select(key, F.col(at).cast("long").alias("_p"), F.lit(None).cast("long").alias("_v"))).groupBy(key, "_p").agg(F.max("_v").alias("_v")).withColumn("_stretch", stretch_of("_p"))
+    carried = places.groupBy(key, "_stretch").agg(F.max("_v").alias("_end")).select(key, "_stretch", F.max("_end").over(before([key])).alias("_carry"))
+    inside = Window.partitionBy(key, "_stretch").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    found = places.join(carried, [key, "_stretch"]).select(key, "_p", F.greatest(F.max("_v").over(inside), "_carry").alias(name))
+    return points.withColumn("_p", F.col(at).cast("long")).join(found, [key, "_p"], "left").select(*points.columns, name)
