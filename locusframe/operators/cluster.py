@@ -209,22 +209,23 @@ def split_clusters(obs: DataFrame, window: int = 10, max_names: int = 3) -> Data
     return out.select("chrom1", "pos1", "chrom2", "pos2", "support", "median_mapq", "notes", "example_reads", "support_distinct")
 
 
-def _open_groups(pos: list[int], ords: list[int], end: list[int], window: int, carry: list[dict]) -> tuple[list[int], list[dict]]:
+def _open_groups(pos: list[int], ords: list[int], end: list[int], window: int, carry: list[dict]) -> tuple[list[int | None], list[dict]]:
     """For each row, in order of (position, ord), the ord of the first row of its group, and the members of the group that is open at the end.
 
+    Rows of the group that the carry holds have no ord, so what is left open doesn't depend on where a long group began.
+
     A row joins the open group if it is within the window of one member on both ends, else it opens a new one.
     Members whose position lies more than the window behind can't take anyone in any more; of members at one place one is enough.
     """
     members = {(x["pos"], x["end"]): None for x in carry}
-    first = carry[0]["first"] if carry else None
-    out = []
+    first, out = None, []
     for p, o, e in zip(pos, ords, end, strict=True):
         members = {m: None for m in members if m[0] >= p - window} if members and next(iter(members))[0] < p - window else members
         if not any(abs(e - f) <= window for _, f in members):
             first, members = o, {}
         members[p, e] = None
         out.append(first)
-    return out, [{"pos": p, "end": e, "first": first} for p, e in members]
+    return out, [{"pos": p, "end": e} for p, e in sorted(members)]
 
 
 def sequential_merge(candidates: DataFrame, window: int = 50, min_support: int = 2, compat: bool = False) -> DataFrame:
@@ -239,10 +240,13 @@ def sequential_merge(candidates: DataFrame, window: int = 50, min_support: int =
     rows = steps.stash(candidates.withColumn("support", F.coalesce("support", F.lit(1)).cast("long")), "candidates")
     items = rows.select(*keys, F.col("pos").cast("long").alias("pos"), F.col("ord").cast("long").alias("ord"), F.col("end").cast("long").alias("end"))
     follow = lambda fields, carry: _open_groups(*fields, window, carry)
-    carry = "array<struct<pos:bigint,end:bigint,first:bigint>>"
+    carry = "array<struct<pos:bigint,end:bigint>>"
     chunks = _settled(_near(items, keys, ["pos", "ord", "end"], window), keys, steps, _in_python(follow, ["pos", "ord", "end"], "bigint", carry), carry, window)
+    # a chunk whose rows all belong to the carried group has no label of its own
+    latest = F.last(F.element_at("labels", -1), ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_stretch", "_part").rowsBetween(Window.unboundedPreceding, -1))
+    opened = chunks.select(*keys, "_stretch", "_part", latest.alias("_open"))
     pair = F.explode(F.arrays_zip("items", "labels")).alias("x")
-    led = chunks.select(pair).select(F.col("x.items.ord").alias("ord"), F.col("x.labels").alias("_first"))
+    led = chunks.join(opened, [*keys, "_stretch", "_part"]).select("_open", pair).select(F.col("x.items.ord").alias("ord"), F.coalesce("x.labels", "_open").alias("_first"))
     grouped = rows.join(led, "ord", "left").withColumn("first", F.coalesce("_first", "ord")).drop("_first")
     best = F.max_by(F.struct("pos", "end", "read", "support"), F.struct("support", -F.struct("pos", "ord")["pos"], -F.col("ord")))
     out = grouped.groupBy("chrom", "svtype", "first").agg(
