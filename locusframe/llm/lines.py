@@ -5,7 +5,7 @@ DataFrame functions only. Lines of a text are units: a line with a word and the
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -113,7 +113,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
        (neighbours that select one hash at several places, as in a text that repeats itself at once, stay).
     2. Neighbouring windows with one selection are a stretch. A stretch with an earlier place is a repeat as a whole.
        It can't hold the first place of a window, so only the windows of first stretches go on.
-    3. Those join the first place, by (identifier, text hash, word), of a window of equal content.
+    3. Those of equal content are put in order of their places, by (identifier, text hash, word); all but the first are repeats.
     4. A passage is a run of neighbouring windows that have an earlier place. Two texts that share a run of
        ``min_words`` words or more share each window of it: no run is missed, wherever lines begin and end.
 
@@ -138,8 +138,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     windows = rows.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
     kept = steps.stash(windows.select("i", "h", "x.*"), "lines-windows")
     steps.drop(held)
-    first = kept.groupBy("g", "a").agg(F.min(F.struct("i", "h", "at")).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a", "src")
-    later = kept.join(first, ["g", "a"]).filter(F.struct("i", "h", "at") != F.col("src"))
+    # the windows are dealt out once; those of one content are numbered as they come
+    later = kept.withColumn("no", F.row_number().over(Window.partitionBy("g", "a").orderBy("i", "h", "at"))).filter("no > 1")
     gone = copies.select("i", "h", "s", "e").union(later.select("i", "h", F.col("at").alias("s"), F.col("at").alias("e")))
     return steps.keep(gone.groupBy("i", "h").agg(_spans(F.collect_set(F.struct("s", "e")), min_words).alias("gone")), "lines-gone")
 
