@@ -19,18 +19,28 @@ _START = r"(?<![^ \t\n\x0B\f\r])"
 _NO_ID = -(1 << 62)
 #: So many groups of words are joined to one at a time; fingerprints are of so many words where windows are long enough.
 RADIX = 7
+#: Mean candidates of a window, rounds that take those out that no window selects, and how many in front of and behind one are looked at where no more are in reach.
+CANDIDATES, ROUNDS, NEAR = 7, 3, 3
+_PLACE = (1 << 31) - 1
+#: Slots of the bits that tell which texts have a partner: 4 MB.
+SLOTS = 1 << 25
 
 
 def _units(text: Column) -> Column:
     return F.split(text, _CUT)
 
 
-def _words(text: Column) -> Column:
-    """Hash of each word, a run of characters other than ASCII white space."""
+def _split(text: Column) -> Column:
+    """The words: runs of characters other than ASCII white space."""
     for c in SPACE.replace(" ", ""):
         text = F.replace(text, F.lit(c), F.lit(" "))
     # a single character is split at without a regular expression
-    return F.transform(F.array_remove(F.split(text, " "), ""), lambda w: F.xxhash64(w))
+    return F.array_remove(F.split(text, " "), "")
+
+
+def _words(text: Column) -> Column:
+    """Hash of each word."""
+    return F.transform(_split(text), lambda w: F.xxhash64(w))
 
 
 def _over(values: Column, n: int, join, body, size: int = 1) -> Column:
@@ -49,29 +59,82 @@ def _ends(size: int, k: int) -> list[int]:
 
 
 def _marks(hashes: Column, min_words: int) -> Column:
-    """The least hash a of the word groups of each window of ``min_words`` words, once for all neighbouring windows s to e that share it, the hash c of their words, and at how many places in them the least hash is."""
-    k = min(RADIX, 1 << max(0, min_words.bit_length() - 2))
+    """The hash a that each window of ``min_words`` words selects, once for all neighbouring windows s to e that share it, the hash c of their words, and at how many places in them it is.
 
+    A place is k words of the window; its value is that of the first two. Places of low value are candidates: a window
+    selects its least one, of equal ones the first, and the hash of its words; one without candidates its least value.
+    So the words of a window decide what it selects, and most places are looked at once only.
+    """
+    k = min(RADIX, 1 << max(0, min_words.bit_length() - 2))
     width = min_words - k + 1
+    low = min((1 << 63) - 1, -(1 << 63) + (CANDIDATES << 64) // width)
 
-    def runs(groups: Column, m: Column, once: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+    def value(i: Column) -> Column:
+        return F.get(hashes, i).bitwiseXOR(F.get(hashes, i + 1)) if k > 1 else F.get(hashes, i)
 
-        def mark(s: Column, at: Column, j: Column) -> Column:
-            end = F.coalesce(F.get(s, j + 1), F.size(m)) - 1
-            least, last = F.get(m, at), end + (width - 1)
-            # groups one behind the other, and the one that ends with the last window, hold each word of the stretch
-            content = F.xxhash64(F.transform(F.sequence(at, last, F.lit(k)), lambda i: F.get(groups, i)), F.get(groups, last), end - at)
-            places = F.when(once, F.lit(1)).otherwise(F.size(F.filter(F.sequence(at, last), lambda i: F.get(groups, i) == least)))
-            return F.struct(least.alias("a"), content.alias("c"), at.alias("s"), end.alias("e"), places.alias("places"))
+    # value and place in one number, whose order is that of the selection
+    def packed(i: Column) -> Column:
+        return value(i).bitwiseAND(F.lit(~_PLACE)).bitwiseOR(i.cast("long"))
 
-        return _let(starts, lambda s: F.transform(s, lambda at, j: mark(s, at, j)))
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_PLACE)).cast("int")
 
-    # most texts repeat no group, so nothing has to be counted in their windows
-    def of(groups: Column) -> Column:
-        return _let(F.size(F.array_distinct(groups)) == F.size(groups), lambda once: _over(groups, width, F.least, lambda m: runs(groups, m, once)))
+    # neighbours that select one hash are one stretch, as where a text repeats itself at once
+    def joined(marks: Column, places) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(marks) - 1), lambda j: (j == 0) | (F.get(marks, j)["a"] != F.get(marks, j - 1)["a"]) | (F.get(marks, j)["s"] != F.get(marks, j - 1)["e"] + 1))
 
-    return _over(hashes, k, F.xxhash64, of)
+        def mark(first: Column, last: Column) -> Column:
+            m, s, e = F.get(marks, first), F.get(marks, first)["s"], F.get(marks, last)["e"]
+            content = F.xxhash64(F.slice(hashes, s + 1, e - s + min_words), e - s)
+            return F.struct(m["a"].alias("a"), content.alias("c"), s.alias("s"), e.alias("e"), places(m["a"], s, e, last - first + 1).alias("places"))
+
+        return F.when(F.size(marks) > 0, _let(starts, lambda x: F.transform(x, lambda first, j: mark(first, F.coalesce(F.get(x, j + 1), F.size(marks)) - 1))))
+
+    # one between two lower ones so near that each window with it has one of them is never selected
+    def fewer(xs: Column) -> Column:
+        def idle(x: Column, j: Column) -> Column:
+            before, behind = F.get(xs, j - 1), F.get(xs, j + 1)
+            return (before < x) & (behind < x) & (place(behind) - place(before) <= width)
+
+        return F.filter(xs, lambda x, j: ~F.coalesce(idle(x, j), F.lit(False)))
+
+    def of(xs: Column) -> Column:
+        n, final = F.size(xs), F.size(hashes) - min_words
+
+        # no more than ``width`` can lie in reach; mostly it is no more than NEAR
+        def stretch(x: Column, j: Column) -> Column:
+            at = place(x)
+            left = F.when(place(F.get(xs, j - NEAR)) > at - width, j - width).otherwise(j - NEAR)
+            right = F.when(place(F.get(xs, j + NEAR)) < at + width, j + width).otherwise(j + NEAR)
+            before = F.array_max(F.filter(F.when(j > 0, F.sequence(F.greatest(left, F.lit(0)), j - 1)), lambda q: F.get(xs, q) < x))
+            behind = F.array_min(F.filter(F.when(j < n - 1, F.sequence(j + 1, F.least(right, n - 1))), lambda q: F.get(xs, q) < x))
+            s = F.greatest(at - (width - 1), F.lit(0), place(F.get(xs, before)) + 1)
+            return F.struct(at.alias("at"), s.alias("s"), F.least(at, final, place(F.get(xs, behind)) - width).alias("e"))
+
+        # windows between neighbouring candidates, in front of the first and behind the last
+        def gap(s: Column, j: Column) -> Column:
+            e = F.coalesce(place(F.get(xs, j)) - width, final)
+            return F.when(s <= e, F.sequence(s, e)).otherwise(F.array().cast("array<int>"))
+
+        def group(x: Column) -> Column:
+            return F.struct(F.xxhash64(*(F.get(hashes, x["at"] + j) for j in range(k))).alias("a"), x["s"].alias("s"), x["e"].alias("e"))
+
+        def least(w: Column) -> Column:
+            return F.struct(F.array_min(F.transform(F.sequence(w, w + (width - 1)), value)).alias("a"), w.alias("s"), w.alias("e"))
+
+        def held(v: Column, s: Column, e: Column, n: Column) -> Column:
+            return F.size(F.filter(F.sequence(s, e + (width - 1)), lambda i: value(i) == v))
+
+        chosen = F.transform(F.filter(F.transform(xs, stretch), lambda x: x["s"] <= x["e"]), group)
+        alone = F.transform(F.flatten(F.transform(F.concat(F.array(F.lit(0)), F.transform(xs, lambda x: place(x) + 1)), gap)), least)
+        none = F.array().cast("array<struct<a:bigint,c:bigint,s:int,e:int,places:int>>")
+        return F.concat(F.coalesce(_let(chosen, lambda m: joined(m, lambda v, s, e, n: n)), none), F.coalesce(_let(alone, lambda m: joined(m, held)), none))
+
+    def settle(xs: Column, rounds: int) -> Column:
+        return _let(fewer(xs), lambda ys: settle(ys, rounds - 1)) if rounds else of(xs)
+
+    candidates = F.filter(F.sequence(F.lit(0), F.size(hashes) - k), lambda i: value(i) <= low)
+    return _let(F.transform(candidates, packed), lambda xs: settle(xs, ROUNDS))
 
 
 def _windows(hashes: Column, marks: Column, min_words: int) -> Column:
@@ -105,6 +168,22 @@ def _key(docs: DataFrame, id_col: str) -> Column:
     return F.coalesce(F.concat(F.lit("1"), F.col(id_col).cast("string")), F.lit("0"))
 
 
+def _among(rows: DataFrame, hash_col: str, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: whether a row's hash may be one of those of ``keys``; never false for one that is.
+
+    The bits of SLOTS slots are broadcast, 4 kB for 32,768 of them, however many keys there are. So rows without a
+    partner needn't be shuffled with their texts. Where keys fill the slots, more rows pass and nothing else changes.
+    """
+    slot = F.pmod(F.col(hash_col), F.lit(SLOTS)) + 1
+    b, bits = unused([*rows.columns, name], "_lf_bucket", "_lf_bits")
+    dealt = keys.select(F.bitmap_bucket_number(F.pmod(F.col("h"), F.lit(SLOTS)) + 1).alias(b), F.bitmap_bit_position(F.pmod(F.col("h"), F.lit(SLOTS)) + 1).alias("at")).repartition(b)
+    maps = dealt.groupBy(b).agg(F.bitmap_construct_agg("at").alias(bits))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring(F.col(bits), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*(F.lit(1 << j) for j in range(8))), (at % 8 + 1).cast("int"))) != 0, F.lit(False))
+    return rows.withColumn(b, F.bitmap_bucket_number(slot)).join(F.broadcast(maps), b, "left").withColumn(name, held).drop(b, bits)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, h (identifier, null as a number below all, and text hash) and gone (first and last word of passages to delete) of each document with repeats.
 
@@ -135,7 +214,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, id_col: str = "doc_i
     copies = stretches.join(firsts.filter("n > 1").select("a", "c", "src"), ["a", "c"]).filter(F.struct("i", "h", "s", "e") != F.col("src"))
     mixed = firsts.groupBy("a").agg(F.sum("places").alias("n")).filter("n > 1").select("a")
     held = steps.stash(firsts.join(mixed, "a", "left_semi").select("src.*", "a").groupBy("i", "h").agg(F.collect_list(F.struct("a", "s", "e")).alias("marks")), "lines-held")
-    windows = rows.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
+    some = _among(rows, "h", held, "maybe").filter("maybe").drop("maybe")
+    windows = some.join(held, ["i", "h"]).select("i", "h", F.explode(_let(_words(F.col("t")), lambda w: _windows(w, F.col("marks"), min_words))).alias("x"))
     kept = steps.stash(windows.select("i", "h", "x.*"), "lines-windows")
     steps.drop(held)
     first = kept.groupBy("g", "a").agg(F.min(F.struct("i", "h", "at")).alias("src"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("g", "a", "src")
@@ -184,14 +264,23 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     empty. Identifiers that are no whole numbers go by their text. Rows that agree in identifier and text are one document, and keep the same. The last two columns are called
     ``names``; other columns of these names are replaced. An empty table gives an empty result.
     """
-    i, h, cut_out, new = unused([*docs.columns, *names], "_lf_i", "_lf_h", "_lf_gone", "_lf_text")
-    gone = repeated_passages(docs, min_words, id_col, text_col).select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(cut_out))
+    i, h, cut_out, new, maybe = unused([*docs.columns, *names], "_lf_i", "_lf_h", "_lf_gone", "_lf_text", "_lf_maybe")
+    found = repeated_passages(docs, min_words, id_col, text_col)
+    gone = found.select(F.col("i").alias(i), F.col("h").alias(h), F.col("gone").alias(cut_out))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumns({i: _key(docs, id_col), h: F.xxhash64(text)}).join(gone, [i, h], "left")
+    rows = _among(docs.withColumns({i: _key(docs, id_col), h: F.xxhash64(text)}), h, found, maybe)
+    others = [c for c in docs.columns if c not in (*names, text_col)]
     lines = F.when(F.trim(text, F.lit(SPACE)) == "", F.lit(0)).otherwise(F.size(_units(text))).cast("long").alias(names[0])
     old = F.struct(lines, F.lit(0).cast("long").alias(names[1]), F.col(text_col).cast("string").alias(new))
+    # texts that go as a whole begin with a word and have no other part
+    whole = (F.size(cut_out) == 1) & (F.get(cut_out, F.lit(0))["s"] == 0) & ~text.rlike(rf"\A{_GAP}") & (F.get(cut_out, F.lit(0))["e"] == F.size(_split(text)) - 1)
+    emptied = F.struct(lines, lines.alias(names[1]), F.lit("").alias(new))
     cut = _let(_without(text, F.col(cut_out)), lambda x: F.struct(lines, x["n"].cast("long").alias(names[1]), x["t"].alias(new)))
-    others = [c for c in docs.columns if c not in (*names, text_col)]
+
     # a generator computes its rows once, however often their columns are used
-    made = joined.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(F.when(F.col(cut_out).isNull(), old).otherwise(cut))))
-    return made.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in names], *names)
+    def made(part: DataFrame, row: Column) -> DataFrame:
+        out = part.select(*[F.col(f"`{c}`") for c in others], F.inline(F.array(row)))
+        return out.select(*[F.col(new).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in names], *names)
+
+    touched = rows.filter(maybe).join(gone, [i, h], "left")
+    return made(rows.filter(~F.col(maybe)), old).union(made(touched, F.when(F.col(cut_out).isNull(), old).when(whole, emptied).otherwise(cut)))

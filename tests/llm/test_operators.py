@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import language, leaks, lines, neardup, quality, rules, segments, sstable, tokens, warc
 
@@ -199,6 +200,41 @@ def test_op4_overlapping_spans_and_awkward_words(spark):
     assert words(got[3].text) == ["k", "d", "d", "k"] and words(got[6].text) == ["x"]
 
 
+def test_op4_texts_without_partners_are_not_shuffled(spark):
+    rows = [(i, prose(1000 + i, 60)) for i in range(300)] + [(300, prose(1007, 60)), (301, prose(5, 60) + " " + prose(1011, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = lines.repeated_passages(docs)
+    near = lines._among(docs.selectExpr("doc_id", "xxhash64(text) h"), "h", found, "maybe").filter("maybe").collect()
+    # 7 has the text of 300, and bits go by text
+    assert {r.doc_id for r in near} == {7, 300, 301}
+    plan = lines.dedup_lines(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and {r.doc_id for r in lines.dedup_lines(docs).filter("n_removed > 0").collect()} == {300, 301}
+
+
+def test_op4_bits_of_every_slot(spark):
+    edge = [0, 1, 7, 8, 32767, 32768, lines.SLOTS - 1, lines.SLOTS, -1, -8, -(1 << 63), (1 << 63) - 1]
+    keys = spark.createDataFrame([(x,) for x in edge], "h long")
+    others = {(x + d) for x in edge for d in (-2, 2, 5)} - {(x + lines.SLOTS * m) for x in edge for m in (-1, 0, 1)}
+    others = {x for x in others if -(1 << 63) <= x < 1 << 63 and x % lines.SLOTS not in {y % lines.SLOTS for y in edge}}
+    got = {r.h: r.maybe for r in lines._among(spark.createDataFrame([(x,) for x in [*edge, *others]], "h long"), "h", keys, "maybe").collect()}
+    assert got == {x: x in edge for x in [*edge, *others]}
+
+
+@pytest.mark.parametrize("min_words", [1, 2, 5, 20, 50])
+def test_op4_marks_hold_each_window_once(spark, min_words):
+    r = random.Random(min_words)
+    texts = [" ".join(f"p{r.randrange(v)}" for _ in range(n)) for v, n in ((1, 300), (2, 300), (50, 51), (3000, 50), (3000, 900))] + [" ".join(f"q{i % 40}" for i in range(400))]
+    marks = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules._let(lines._words(F.col("t")), lambda h: lines._marks(h, min_words)).alias("m"))
+    chosen: dict[tuple, int] = {}
+    for row in marks.collect():
+        w = row.t.split(" ")
+        assert sorted(x for m in row.m for x in range(m.s, m.e + 1)) == list(range(len(w) - min_words + 1))
+        for m in row.m:
+            assert all(chosen.setdefault(tuple(w[x : x + min_words]), m.a) == m.a for x in range(m.s, m.e + 1))
+            # equal windows of one stretch are only where several places are counted
+            assert m.places > 1 or len({tuple(w[x : x + min_words]) for x in range(m.s, m.e + 1)}) == m.e - m.s + 1
+
+
 def test_op5_samples(docs, empty):
     import sentencepiece
 
